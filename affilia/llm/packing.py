@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from struct import pack as pack_ids
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,12 +32,14 @@ END_ID = 1
 OPEN_BINS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the per-worker word cache; it starts anew when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 #: Characters below this code are handled word by word; texts with others go to the tokenizer whole.
 _SIMPLE = 0x250
+#: White space on which the tokenizer and str.split() may differ, a letter whose lower case is two, special tokens.
+UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u0130", "<|")
 
 
 def _char_class(test) -> str:
@@ -57,26 +60,35 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         letters, numbers = _char_class(lambda k: k[0] == "L"), _char_class(lambda k: k[0] == "N")
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
-        odd = "".join(map(re.escape, "\x1c\x1d\x1e\x1f\x85\xa0İ"))
-        self.unusual = re.compile(rf"[^\x00-ɏ]|[{odd}]|<\|")
+        self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+        self.beyond = re.compile("[^\x00-\u024f]")
         # the printable stand-ins that byte-level vocabularies use for bytes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.byte_chars = {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_chars)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = []
-        for part in self.words.findall(word):
-            ids += [t.id for t in self.tokenizer.model.tokenize("".join(map(self.byte_chars.__getitem__, part.encode())))]
+        if word.isalpha():
+            data = self._part(word)
+        elif word[:-1].isalpha():
+            data = self[word[:-1]] + self[word[-1]]
+        else:
+            found = self.parts.findall(word)
+            data = self._part(word) if found == [word] else b"".join(map(self.__getitem__, found))
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = data = b"".join(i.to_bytes(4, "little") for i in ids)
+        self[word] = data
         return data
 
     def encode(self, text: str) -> bytes:
-        if self.unusual.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if any(x in text for x in UNUSUAL) or not text.isascii() and self.beyond.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
