@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, topk
+from . import language, mixing, packing, quality, sharding, topk
 from .common import read
 
 
@@ -22,17 +22,29 @@ def op3_jump_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
 def op8_source_mixing(spark, sf_dir):
     rows = mixing.rates(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def queries():
     return {
         "op1_topk_search": op1_topk_search,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_jump_sharding": op3_jump_sharding,
+        "op4_language_id": op4_language_id,
         "op8_source_mixing": op8_source_mixing,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
