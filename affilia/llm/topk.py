@@ -29,6 +29,8 @@ QUERY_EVERY = 20
 ROW_BLOCK = 4096
 QUERY_BLOCK = 1024
 DIMENSION_BLOCK = 16
+#: Rows are compacted once fewer than this share of them survives; before, dense columns are faster.
+COMPACT_SHARE = 0.1
 
 
 def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -48,39 +50,44 @@ def best_of_block(query_ids, queries, row_ids, rows, k: int, step: int = DIMENSI
     columns = np.ascontiguousarray(rows.T)
     own = np.unique(row_ids, return_counts=True)[1].max(initial=1)  # rows of one id: as many may drop out
     keep = min(k + own, len(rows))
-    scores = queries[:, :step] @ columns[:step]
-    at = min(step, dims)
-    qi = ri = None
-    while True:
-        if at < dims:
-            if qi is None:
-                slack = np.outer(rest_q[:, at], rest_r[:, at]) * (1 + 1e-9) + 1e-6
-                floor = -np.partition(slack - scores, keep - 1, axis=1)[:, keep - 1]
-                qi, ri = np.nonzero(scores + slack >= floor[:, None])
-                scores = scores[qi, ri]
-            else:
-                slack = rest_q[qi, at] * rest_r[ri, at] * (1 + 1e-9) + 1e-6
-                order = np.lexsort((slack - scores, qi))
-                starts = np.searchsorted(qi[order], np.arange(len(queries)))
-                floor = (scores - slack)[order][starts + keep - 1]
-                alive = scores + slack >= floor[qi]
-                qi, ri, scores = qi[alive], ri[alive], scores[alive]
-            to = min(at + step, dims)
-            for s in range(0, len(qi), 1 << 18):
-                part = slice(s, s + (1 << 18))
-                scores[part] += np.einsum("ij,ij->i", queries[qi[part], at:to], rows[ri[part], at:to])
-            at = to
-            continue
-        if qi is None:
-            qi, ri = np.indices(scores.shape).reshape(2, -1)
-            scores = scores.ravel()
-        other = query_ids[qi] != row_ids[ri]
-        qi, ri, scores = qi[other], ri[other], scores[other]
-        order = np.lexsort((row_ids[ri], -scores, qi))
-        qi, ri, scores = qi[order], ri[order], scores[order]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        best = rank < k
-        return qi[best], ri[best], scores[best]
+    scores, at = np.zeros((len(queries), len(rows))), 0
+    probe = slice(None, None, max(1, len(queries) // 32))
+    while at < dims:
+        to = min(at + step, dims)
+        scores += queries[:, at:to] @ columns[at:to]
+        at = to
+        if at < dims and _alive(scores[probe], rest_q[probe, at], rest_r[:, at], keep).mean() < COMPACT_SHARE:
+            break
+    alive = _alive(scores, rest_q[:, at], rest_r[:, at], keep) if at < dims else scores >= _kth(scores, keep)
+    qi, ri = np.nonzero(alive)
+    scores = scores[qi, ri]
+    while at < dims:  # only survivors from here on
+        to = min(at + step, dims)
+        for s in range(0, len(qi), 1 << 18):
+            part = slice(s, s + (1 << 18))
+            scores[part] += np.einsum("ij,ij->i", queries[qi[part], at:to], rows[ri[part], at:to])
+        at = to
+        slack = rest_q[qi, at] * rest_r[ri, at] * (1 + 1e-9) + 1e-6 if at < dims else np.zeros(len(qi))
+        order = np.lexsort((slack - scores, qi))
+        floor = (scores - slack)[order][np.searchsorted(qi[order], np.arange(len(queries))) + keep - 1]
+        alive = scores + slack >= floor[qi]
+        qi, ri, scores = qi[alive], ri[alive], scores[alive]
+    other = query_ids[qi] != row_ids[ri]
+    qi, ri, scores = qi[other], ri[other], scores[other]
+    order = np.lexsort((row_ids[ri], -scores, qi))
+    qi, ri, scores = qi[order], ri[order], scores[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[best], ri[best], scores[best]
+
+
+def _kth(lower: np.ndarray, keep: int) -> np.ndarray:
+    return np.partition(lower, lower.shape[1] - keep, axis=1)[:, lower.shape[1] - keep][:, None]
+
+
+def _alive(scores: np.ndarray, rest_q: np.ndarray, rest_r: np.ndarray, keep: int) -> np.ndarray:
+    """Which rows may still be among the best: their upper bound reaches the keep-th lower bound."""
+    slack = np.outer(rest_q, rest_r) * (1 + 1e-9) + 1e-6
+    return scores + slack >= _kth(scores - slack, keep)
 
 
 def _search_group(k: int):
