@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, sharding, topk
+from . import jaccard, language, mixing, packing, quality, repeats, secrets, sharding, topk, vectors
 from .common import read
 
 
@@ -27,6 +27,20 @@ def op4_language_id(spark, sf_dir):
     return language.predict(docs, language.fit(docs))
 
 
+def op5_repeated_strings(spark, sf_dir):
+    return repeats.repeated(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.findings_per_document(docs, secrets.train(secrets.generated_findings(spark)))
+
+
+def op7_vector_near_duplicates(spark, sf_dir):
+    found = vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_source_mixing(spark, sf_dir):
     rows = mixing.rates(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -37,14 +51,22 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_topk_search": op1_topk_search,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_jump_sharding": op3_jump_sharding,
         "op4_language_id": op4_language_id,
+        "op5_repeated_strings": op5_repeated_strings,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_vector_near_duplicates": op7_vector_near_duplicates,
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
