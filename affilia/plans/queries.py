@@ -47,7 +47,10 @@ def _small_live(spark, sf_dir):
 
 @query
 def scan_roster(spark, sf_dir):
-    return readers.parse_wc5(readers.to_lines(roster(spark, sf_dir, "small"))).where("error is null").drop("error")
+    """Records written as lines (ids from 1) and parsed again."""
+    one = roster(spark, sf_dir, "small").withColumns({c: F.col(c) + 1 for c in ("stid", "crsid")})
+    rows = readers.parse_wc5(readers.to_lines(one)).where("error is null").drop("error")
+    return rows.withColumns({c: F.col(c) - 1 for c in ("stid", "crsid")})
 
 
 @query
@@ -313,17 +316,20 @@ def weighted_betweenness(spark, sf_dir):
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
-def _budgets(spark, sf_dir, view):
-    return removal.budgets_of(_courses(spark, sf_dir, view), SIZES[view])
+def _plain_small(spark, sf_dir):
+    """The small view with uniform hours, and its budgets."""
+    rows = roster(spark, sf_dir, "small", weighted=False)
+    return rows, removal.budgets_of(graph.course_attributes(rows), SIZES["small"])
 
 
 @query
 def report_row(spark, sf_dir):
     """The report for the small view's second budget."""
-    return analysis.sweep(roster(spark, sf_dir, "small", weighted=False), removal.budgets_of(_courses(spark, sf_dir, "small"), SIZES["small"]).where("threshold_id = 2"))
+    rows, budgets = _plain_small(spark, sf_dir)
+    return analysis.sweep(rows, budgets.where("threshold_id = 2"))
 
 
 @query
 def threshold_report(spark, sf_dir):
     """The whole sweep over the small view."""
-    return analysis.sweep(roster(spark, sf_dir, "small", weighted=False), _budgets(spark, sf_dir, "small"))
+    return analysis.sweep(*_plain_small(spark, sf_dir))
