@@ -20,12 +20,12 @@ def tokens(lines: DataFrame) -> DataFrame:
 
 
 def _number(k: int):
-    return F.expr(f"try_cast(t[{k}] as bigint)")
+    return F.expr(f"try_cast(get(t, {k}) as bigint)")
 
 
 def parse_wc5(lines: DataFrame) -> DataFrame:
     """Rows of the five-column layout; ``error`` is set on lines that are no valid record."""
-    rows = tokens(lines).where(~((F.size("t") == 1) & (F.col("t")[0] == "WC")) & (F.size("t") != 2))
+    rows = tokens(lines).where(~((F.size("t") == 1) & (F.get("t", 0) == "WC")) & (F.size("t") != 2))
     columns = [_number(k) for k in range(5)]
     good = (F.size("t") == 5) & (columns[0] >= 1) & (columns[1] >= 1) & columns[2].between(1, 6) & columns[3].isin(0, 1) & (columns[4] >= 1)
     return rows.select(
