@@ -8,10 +8,10 @@ anchors at equal places. Anchors whose gram occurs once need no more work.
 Around the others a context is cut that holds all windows that the anchor
 can stand for. Equal contexts are classes (counted with map-side combine):
 several members repeat as a whole. Where a gram has several contexts, they are
-concatenated, a Burrows-Wheeler transform of bounded size is built, and
-intervals are expanded breadth-first by one symbol to the left per level.
-Each level derives the common prefixes of its length, in increasing order;
-what has none when the minimum length is reached is a repeat.
+aligned at the anchor, and intervals of a positional Burrows-Wheeler transform
+are extended breadth-first by one symbol per level. Each level gives the rows
+that agree so far, in increasing length, until the minimum length is reached;
+what is together then repeats.
 
 A gram with very many contexts is not given to one task: its windows are split
 into bands by their offset, and within a band contexts are dealt by the bytes
@@ -33,22 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .common import cut, slices
 from .ngrams import mixed, powers, prefix_sums
 
 LENGTH, ANCHOR = 400, 64
 #: Contexts of one gram that are sorted together; more are split into BANDS.
-MOST_CONTEXTS, BANDS = 64, 8
-#: Bytes of contexts in one transform, about.
-BLOCK_BYTES = 1 << 20
-#: Symbols that the sort gives before expansion starts.
-FIRST = 20
+MOST_CONTEXTS, BANDS = 4096, 8
+#: Contexts of one transform, about.
+BLOCK_CONTEXTS = 8192
 _POSITION_BITS = 28
 _U = np.uint64
 
 
 def anchors(held: list[bytes], length: int = LENGTH, anchor: int = ANCHOR):
-    """(positions, gram hashes) of each text's anchors, in order."""
+    """(positions, gram hashes, lo, hi) of each text's anchors, in order.
+
+    An anchor stands for the windows that start from ``hi`` down to ``lo`` bytes before it.
+    """
     data = np.frombuffer(b"".join(held), np.uint8)
     offsets = np.cumsum([0] + [len(x) for x in held])
     grams = max(0, len(data) - anchor + 1)
@@ -67,12 +69,13 @@ def anchors(held: list[bytes], length: int = LENGTH, anchor: int = ANCHOR):
         least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if b - a < length:
-            yield np.zeros(0, np.int64), hashes[:0]
+            yield np.zeros(0, np.int64), hashes[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
         part = least[a : b - length + 1]
-        part = part[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
-        at = (mask - (part & mask)).astype(np.int64)
-        yield at - a, hashes[at]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        last = np.append(first[1:], len(part)) - 1
+        at = (mask - (part[first] & mask)).astype(np.int64)
+        yield at - a, hashes[at], at - a - last, at - a - first
 
 
 def _describe(length: int, anchor: int):
@@ -81,44 +84,57 @@ def _describe(length: int, anchor: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, held in slices(texts):
                 rows = []
-                for row, (data, (_, grams)) in enumerate(zip(held, anchors(held, length, anchor)), first):
+                for row, (data, (_, grams, _, _)) in enumerate(zip(held, anchors(held, length, anchor)), first):
                     grams, times = np.unique(grams, return_counts=True)
                     digest = hashlib.sha256(data).digest()
-                    rows.append((ids[row], len(data), digest, int.from_bytes(digest[:8], "little", signed=True), grams.view(np.int64), times > 1))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], ["doc_id", "n_bytes", "sha", "node", "grams", "several"])
+                    rows.append((ids[row], len(data), digest, _node(digest), grams.view(np.int64), times))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["doc_id", "n_bytes", "sha", "node", "grams", "times"])
 
     return run
 
 
-_CONTEXT = "key long, node long, pos long, lo int, hi int, ctx binary, start long, stop long"
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+_CONTEXT = "block long, key long, node long, pos long, lo int, hi int, ctx binary"
+_MARK = "node long, start long, stop long"
 
 
-def _contexts(length: int, anchor: int):
-    """Contexts of the wanted grams; what repeats inside one text is marked at once (start, stop)."""
+def _contexts(length: int, anchor: int, wanted, unwanted, blocks: int):
+    """Contexts of the grams in one bitmap and not in the other.
+
+    What repeats inside one text is sent once; its further places are rows
+    without a key, whose windows are known to repeat.
+    """
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        reach = length - anchor
         for batch in batches:
-            nodes, wanted = batch.column("node").to_pylist(), batch.column("grams")
-            for first, held in slices(batch.column("text").to_pylist()):
+            for _, held in slices(batch.column(0).to_pylist()):
                 rows = []
-                for row, (data, (places, grams)) in enumerate(zip(held, anchors(held, length, anchor)), first):
-                    keep = np.isin(grams.view(np.int64), wanted[row].values.to_numpy())
-                    seen: dict = {}
-                    for at, gram in zip(places[keep].tolist(), grams[keep].view(np.int64).tolist()):
-                        lo, hi = max(0, reach - (len(data) - at - anchor)), min(reach, at)
+                for data, (places, grams, los, his) in zip(held, anchors(held, length, anchor)):
+                    keys = grams.view(np.int64)
+                    keep = bitmaps.has(wanted.value, keys)
+                    if unwanted is not None:
+                        keep &= ~bitmaps.has(unwanted.value, keys)
+                    keep = np.flatnonzero(keep)
+                    if not len(keep):
+                        continue
+                    node, seen = _node(hashlib.sha256(data).digest()), {}
+                    for at, gram, lo, hi in zip(*(x[keep].tolist() for x in (places, keys, los, his))):
                         context = data[at - hi : at - lo + length]
+                        block = gram % blocks
                         if (context, lo, hi) in seen:
                             other = seen[context, lo, hi]
-                            rows += [(None, nodes[row], None, None, None, None, at - hi, at - lo + length)]
+                            rows.append((block, None, node, at, lo, hi, None))
                             if other is not None:
-                                rows += [(None, nodes[row], None, None, None, None, other - hi, other - lo + length)]
+                                rows.append((block, None, node, other, lo, hi, None))
                                 seen[context, lo, hi] = None
                         else:
                             seen[context, lo, hi] = at
-                            rows.append((gram, nodes[row], at, lo, hi, context, None, None))
+                            rows.append((block, gram, node, at, lo, hi, context))
                     if len(rows) > 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows = []
@@ -128,121 +144,92 @@ def _contexts(length: int, anchor: int):
     return run
 
 
-def sorted_suffixes(symbols: np.ndarray, depth: int):
-    """(order, groups): suffixes sorted by their first ``depth`` symbols, and by FIRST symbols each suffix's group."""
-    n, top = len(symbols), int(symbols.max()) + 2
-    bits = n.bit_length()
-    per = max(1, min(FIRST, (63 - bits) // top.bit_length()))
-    key, padded = np.zeros(n, np.int64), np.concatenate([symbols + 1, np.zeros(per, np.int64)])
-    for k in range(per):
-        key = key * top + padded[k : k + n]
-    rank, have, groups = None, 0, None
-    while True:
-        if rank is None:
-            order = np.argsort(key, kind="stable")
-            key, have = key[order], per
-        elif 3 * bits <= 63:  # rank, next rank and place in one number
-            step = have if have >= FIRST else min(have, FIRST - have)
-            after = np.concatenate([rank[step:] + 1, np.zeros(step, np.int64)])[:n]
-            both = np.sort((rank << 2 * bits) | (after << bits) | np.arange(n))
-            order, key, have = both & ((1 << bits) - 1), both >> bits, have + step
-        else:
-            raise ValueError("a block is too long")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        if have == FIRST:
-            groups = rank[order]
-        if have >= depth:
-            return order, groups
-
-
-def repeated_starts(contexts: list[bytes], length: int):
-    """(order, same): suffix order of the joined contexts, and where a suffix shares ``length`` bytes with the one before."""
-    ends = np.cumsum([len(c) + 1 for c in contexts])
-    data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    symbols = data.astype(np.int64) + len(contexts)
-    symbols[ends - 1] = np.arange(len(contexts))  # every separator is a symbol of its own
-    order, groups = sorted_suffixes(symbols, length)
-    n = len(order)
-    transform = symbols[order - 1]
-    back = np.argsort(transform, kind="stable")
-    step_back = np.empty(n, np.int64)
-    step_back[back] = np.arange(n)
-    open_ = np.concatenate([[False], groups[1:] == groups[:-1], [False]])  # boundaries without a common prefix yet
-    starts = np.flatnonzero(~open_[:-1])
-    low, high = starts, np.append(starts[1:], n)
-    usable = transform >= len(contexts)
-    for _ in range(FIRST, length):
-        sizes = high - low
-        total = int(sizes.sum())
-        if not total:
-            break
-        which = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[which]
-        ok = usable[rows]
-        rows, which = rows[ok], which[ok]
-        by = np.argsort(which * 512 + transform[rows] - len(contexts), kind="stable")
-        rows, code = rows[by], (which * 512 + transform[rows] - len(contexts))[by]
-        heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        tails = np.append(heads[1:], len(code)) - 1
-        low, high = step_back[rows[heads]], step_back[rows[tails]] + 1
-        fresh = open_[low] | open_[high]
-        low, high = low[fresh], high[fresh]
-        open_[low] = False
-        open_[high] = False
-    return order, open_[:n]
-
-
-def _expand(length: int):
+def extended(classes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Intervals after one more symbol: rows of a class stay together while their symbols agree.
+
+    One step of a positional Burrows-Wheeler transform: rows are kept in the
+    order of what has been matched, and sorted stably by the next symbol.
+    """
+    n = len(classes)
+    bits = max(1, n.bit_length())
+    both = np.sort(((classes * 257 + symbols) << bits) | np.arange(n))
+    order, key = both & ((1 << bits) - 1), both >> bits
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    return out
+
+
+def repeated_windows(groups: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], length: int, anchor: int) -> np.ndarray:
+    """Matrix (row, d): the window starting d before the row's anchor equals another row's of its group.
+
+    Contexts of a group are aligned at their anchor. Intervals are extended
+    breadth-first, one symbol per level, to the right and to the left; at each
+    level to the left, what agrees in the d symbols before and in the
+    ``length - anchor - d`` symbols after the anchor shares a window.
+    """
+    n, reach = len(contexts), length - anchor
+    table = np.full((n, 2 * reach + anchor), 256, np.int16)  # 256 is no byte: outside the text
+    for row, (context, h) in enumerate(zip(contexts, hi.tolist())):
+        table[row, reach - h : reach - h + len(context)] = np.frombuffer(context, np.uint8)
+    columns = np.ascontiguousarray(table.T)
+    start = np.unique(groups, return_inverse=True)[1].astype(np.int64)
+    after = np.empty((reach + 1, n), np.int32)
+    now = start
+    for level in range(reach + 1):
+        after[level] = now
+        if level < reach:
+            now = extended(now, columns[reach + anchor + level])
+    out, now = np.zeros((n, reach + 1), bool), start
+    for d in range(reach + 1):
+        rows = np.flatnonzero((lo <= d) & (d <= hi))
+        if len(rows):
+            key = now[rows] * (n + 1) + after[reach - d][rows]
+            order = np.argsort(key)
+            same = np.diff(key[order]) == 0
+            out[rows[order], d] = np.append(same, False) | np.concatenate([[False], same])
+        if d < reach:
+            now = extended(now, columns[reach - 1 - d])
+    return out
+
+
+def _expand(length: int, anchor: int):
     def run(table):
         node, pos, lo, hi = (table.column(c).to_numpy() for c in ("node", "pos", "lo", "hi"))
-        contexts = [c.as_py() for c in table.column("ctx")]
-        order, same = repeated_starts(contexts, length)
-        sizes = np.array([len(c) + 1 for c in contexts])
-        begins = np.cumsum(sizes) - sizes
-        which = np.searchsorted(begins, order, "right") - 1
-        start = (pos - hi)[which] + order - begins[which]
-        run_id = np.cumsum(~same) - 1
-        counts = np.bincount(run_id)
-        many = counts[run_id] > 1
-        run_id, which, start = run_id[many], which[many], start[many]
-        # a window met in two contexts of one place is no repeat: look for a second place
-        place = np.lexsort((start, node[which], run_id))
-        run_id, which, start = run_id[place], which[place], start[place]
-        new = np.concatenate([[True], (run_id[1:] != run_id[:-1]) | (start[1:] != start[:-1]) | (node[which[1:]] != node[which[:-1]])]) if len(run_id) else np.zeros(0, bool)
-        run_id, at, start = run_id[new], node[which[new]], start[new]
-        heads = np.flatnonzero(np.concatenate([[True], run_id[1:] != run_id[:-1]])) if len(run_id) else np.zeros(0, np.int64)
-        lengths = np.diff(np.append(heads, len(run_id)))
-        twice = np.repeat(lengths, lengths) > 1
-        at, start = at[twice], start[twice]
-        place = np.lexsort((start, at))
-        at, start = at[place], start[place]
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] > start[:-1] + 1)]) if len(at) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
-        return pa.table({"node": pa.array(at[heads], pa.int64()), "start": pa.array(start[heads], pa.int64()), "stop": pa.array(start[tails] + length, pa.int64())})
+        found = np.zeros((len(node), length - anchor + 1), bool)
+        known = np.array(table.column("key").is_null())
+        found[known] = (lo[known, None] <= np.arange(length - anchor + 1)) & (np.arange(length - anchor + 1) <= hi[known, None])
+        rows = np.flatnonzero(~known)
+        if len(rows):
+            key = table.column("key").take(pa.array(rows)).to_numpy()
+            found[rows] = repeated_windows(key, lo[rows], hi[rows], [c.as_py() for c in table.column("ctx").take(pa.array(rows))], length, anchor)
+        found[np.array(table.column("done"))] = False
+        edges = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, first = np.nonzero(edges == 1)
+        last = np.nonzero(edges == -1)[1] - 1
+        return pa.table({"node": pa.array(node[row], pa.int64()), "start": pa.array(pos[row] - last, pa.int64()), "stop": pa.array(pos[row] - first + length, pa.int64())})
 
     return run
 
 
-_MARK = "node long, start long, stop long"
-
-
-def _marks(found: DataFrame, length: int, anchor: int, most: int) -> DataFrame:
-    """All (node, start, stop) that repeat, from the contexts."""
-    marks = []
-    width = length - anchor + 1
+def _crowded(found: DataFrame, length: int, anchor: int, most: int) -> DataFrame:
+    """(node, start, stop) of what repeats, for grams with very many contexts."""
+    known = found.where("key is null").select("node", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("stop"))
+    marks, width = [known], length - anchor + 1
+    found = found.where("key is not null").select("key", "node", "pos", "lo", "hi", "ctx", F.lit(False).alias("done"))
     while True:
         digest = F.xxhash64("lo", "hi", "ctx")
-        slim = found.select("key", digest.alias("d"), F.md5("ctx").alias("m"), "node", "pos", "lo", "hi")
-        classes = found.groupBy("key", "lo", "hi", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("node", "pos")).alias("rep"))
+        slim = found.where("not done").select("key", digest.alias("d"), F.md5("ctx").alias("m"), "node", "pos", "lo", "hi")
+        # of a class with several members any node and pos will do: its members are marked as a whole
+        classes = found.groupBy("key", "lo", "hi", "ctx").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("pos").alias("pos"), F.max("done").alias("done"))
+        classes = classes.withColumn("done", F.col("done") | (F.col("n") > 1))
         sizes = classes.groupBy("key").agg(F.count("*").alias("contexts"), F.max("n").alias("most")).where("contexts > 1 or most > 1")
-        classes = cut(classes.join(sizes, "key").select("key", "rep.node", "rep.pos", "lo", "hi", "ctx", "n", "contexts"))
+        classes = cut(classes.join(sizes, "key").select("key", "node", "pos", "lo", "hi", "ctx", "n", "done", "contexts"))
         whole = classes.where("n > 1").select("key", digest.alias("d"), F.md5("ctx").alias("m"))
         marks.append(slim.join(whole, ["key", "d", "m"]).select("node", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("stop")))
         small = classes.where(f"contexts between 2 and {most}")
-        blocks = max(1, small.count() * 2 * length // BLOCK_BYTES)
-        marks.append(cut(small.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "node", "pos", "lo", "hi", "ctx").groupBy("block").applyInArrow(_expand(length), _MARK)))
+        blocks = max(1, -(-small.count() // BLOCK_CONTEXTS))
+        dealt = small.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "node", "pos", "lo", "hi", "ctx", "done")
+        marks.append(_expanded(dealt, blocks, length, anchor))
         large = classes.where(f"contexts > {most}")
         if large.isEmpty():
             break
@@ -250,17 +237,34 @@ def _marks(found: DataFrame, length: int, anchor: int, most: int) -> DataFrame:
         bands = F.explode(F.sequence((F.col("lo") / width).cast("int"), (F.col("hi") / width).cast("int")))
         dealt = large.withColumn("band", bands)
         low, high = F.greatest("lo", F.col("band") * width), F.least("hi", F.col("band") * width + (width - 1))
-        dealt = dealt.select("key", "node", "pos", "band", low.alias("lo"), high.alias("hi"), F.expr("hi").alias("was"), "ctx")
-        core_at = F.col("was") - F.col("band") * width
-        core = F.substring("ctx", core_at + 1, F.lit(length - (width - 1)))
+        dealt = dealt.select("key", "node", "pos", "band", low.alias("lo"), high.alias("hi"), F.expr("hi").alias("was"), "ctx", "done")
+        core = F.substring("ctx", F.col("was") - F.col("band") * width + 1, F.lit(length - (width - 1)))
         narrow = F.substring("ctx", F.col("was") - F.col("hi") + 1, F.col("hi") - F.col("lo") + length)
-        found = cut(dealt.select(F.xxhash64("key", "band", core).alias("key"), "node", "pos", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), narrow.alias("ctx")))
+        found = cut(dealt.select(F.xxhash64("key", "band", core).alias("key"), "node", "pos", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), narrow.alias("ctx"), "done"))
     out = marks[0]
     for more in marks[1:]:
         out = out.union(more)
     return out
 
 
+def _expanded(dealt: DataFrame, blocks: int, length: int, anchor: int) -> DataFrame:
+    """Marks from blocks of contexts; rows of classes that are done serve as partners only."""
+    if "done" not in dealt.columns:
+        dealt = dealt.withColumn("done", F.lit(False))
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_expand(length, anchor), _MARK)
+
+
+def _with_node(asked):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            nodes = np.array([_node(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()) for t in texts], np.int64)
+            keep = pa.array(bitmaps.has(asked.value, nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes).filter(keep), batch.column(0).filter(keep)], ["node", "text"])
+
+    return run
+
+
 def _remove(batches):
     for batch in batches:
         rows = []
@@ -285,20 +289,22 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256 for every row; docs: doc_id, text."""
     every = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")
-    rows = cut(texts.mapInArrow(_describe(length, anchor), "doc_id long, n_bytes long, sha binary, node long, grams array<long>, several array<boolean>"))
-    copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("sha").alias("sha"))
-    grams = rows.select("node", F.explode(F.arrays_zip("grams", "several")).alias("g")).select("node", "g.grams", "g.several").withColumnRenamed("grams", "gram")
-    shared = grams.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("several").alias("s")).where("a < b or s").select("gram")
-    wanted = grams.select("node", "gram").distinct().join(shared, "gram").groupBy("node").agg(F.collect_set("gram").alias("grams"))
-    wanted = copies.join(wanted, "node").select("node", "sha", "rep", "grams")
-    joined = wanted.hint("shuffle_hash").join(texts, F.col("rep") == F.col("doc_id")).where(F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("sha"))
-    candidates = cut(joined.select("node", "grams", "text").dropDuplicates(["node"]))
-    found = cut(candidates.mapInArrow(_contexts(length, anchor), _CONTEXT))
-    inside = found.where("key is null").select("node", "start", "stop")
-    marks = inside.union(_marks(found.where("key is not null").select("key", "node", "pos", "lo", "hi", "ctx"), length, anchor, most))
-    per_text = marks.distinct().groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    spans = per_text.join(candidates.select("node", "text"), "node").select("node", "text", "marks").mapInArrow(_remove, "node long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
-    out = rows.select("doc_id", "n_bytes", "sha", "node").join(copies.select("node", "copies"), "node").join(spans, "node", "left")
+    send = docs.sparkSession.sparkContext.broadcast
+    rows = cut(texts.mapInArrow(_describe(length, anchor), "doc_id long, n_bytes long, sha binary, node long, grams array<long>, times array<long>"))
+    copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
+    counts = rows.select(F.explode(F.arrays_zip("grams", "times")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.times").alias("n")).where("n > 1").checkpoint()
+    shared = send(bitmaps.build(counts.select("gram")))
+    hot = counts.where(F.col("n") > most)
+    crowded = None if hot.isEmpty() else send(bitmaps.build(hot.select("gram")))
+    blocks = max(1, -(-(counts.where(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0) // BLOCK_CONTEXTS))
+    marks = _expanded(texts.select("text").mapInArrow(_contexts(length, anchor, shared, crowded, blocks), _CONTEXT), blocks, length, anchor)
+    if crowded is not None:
+        marks = marks.union(_crowded(cut(texts.select("text").mapInArrow(_contexts(length, anchor, crowded, None, 1), _CONTEXT)), length, anchor, most))
+    per_text = cut(marks.groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("marks")))
+    partly = per_text.join(rows.select("node").join(copies, "node").where("copies = 1").select("node"), "node", "left_semi")
+    asked = send(bitmaps.build(partly.select("node")))
+    spans = texts.select("text").mapInArrow(_with_node(asked), "node long, text string").join(partly, "node").select("node", "text", "marks").mapInArrow(_remove, "node long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
+    out = rows.select("doc_id", "n_bytes", "sha", "node").join(copies, "node").join(spans, "node", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     zero = F.lit(0).cast("long")
     nothing = hashlib.sha256(b"").hexdigest()
