@@ -8,22 +8,20 @@ from pyspark.sql import functions as F
 from .graph import both_ways, neighborhoods
 
 
-def student_classes(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
-    """stid, cid: students of equal grad flag and courses; cid is the class's smallest student."""
+def merged(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """cid, grad, mult, nbr, members: students of equal grad flag and courses; cid is the smallest of them."""
     rows = neighborhoods(pairs).join(attributes.select("stid", "grad"), "stid")
-    return rows.withColumn("cid", F.min("stid").over(Window.partitionBy("grad", "nbr"))).select("stid", "grad", "cid")
+    return rows.groupBy("grad", "nbr").agg(F.min("stid").alias("cid"), F.count("*").alias("mult"), F.collect_list("stid").alias("members"))
 
 
 def class_table(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """cid, grad, mult, degree of every class."""
-    rows = neighborhoods(pairs).join(attributes.select("stid", "grad"), "stid")
-    return rows.groupBy("grad", "nbr").agg(F.min("stid").alias("cid"), F.count("*").alias("mult")).select("cid", "grad", "mult", F.size("nbr").cast("long").alias("degree"))
+    return merged(pairs, attributes).select("cid", "grad", "mult", F.size("nbr").cast("long").alias("degree"))
 
 
 def class_edges(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """cid, crsid: one edge per class and course."""
-    rows = neighborhoods(pairs).join(attributes.select("stid", "grad"), "stid")
-    return rows.groupBy("grad", "nbr").agg(F.min("stid").alias("cid")).select("cid", F.explode("nbr").alias("crsid"))
+    return merged(pairs, attributes).select("cid", F.explode("nbr").alias("crsid"))
 
 
 def compressed(edges: DataFrame, vertices: DataFrame) -> DataFrame:

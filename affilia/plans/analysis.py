@@ -26,14 +26,16 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     pairs: stid, crsid. hours: crsid, hours. counted_*: the sources and targets.
     grad: stid, grad; only students of one flag are merged.
     """
+    ensure_checkpoint_dir(pairs.sparkSession)
     marked = grad.join(counted_students.select("stid", F.lit(True).alias("in_src")), "stid", "left").select("stid", F.struct("grad", F.coalesce("in_src", F.lit(False)).alias("in_src")).alias("grad"))
-    classes = contraction.class_table(pairs, marked).select("cid", "mult", F.col("grad.in_src").alias("counted"))
-    edges = contraction.class_edges(pairs, marked)
-    member = contraction.student_classes(pairs, marked).select("stid", "cid")
+    table = contraction.merged(pairs, marked).checkpoint()
+    classes = table.select("cid", "mult", F.col("grad.in_src").alias("counted"))
+    edges = table.select("cid", F.explode("nbr").alias("crsid"))
+    member = table.select("cid", F.explode("members").alias("stid"))
     lengths = hours.select("crsid", (F.lit(SCALE) / F.col("hours")).cast("long").alias("length"))
-    vertex_edges = edges.join(lengths, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length")
+    vertex_edges = edges.join(lengths, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
     course_rows = pairs.select("crsid").distinct().join(counted_courses.select("crsid", F.lit(True).alias("counted")), "crsid", "left")
-    vertices = classes.select((F.col("cid") * 2).alias("vid"), "mult", "counted").union(course_rows.select((F.col("crsid") * 2 + 1).alias("vid"), F.lit(1).cast("long"), F.coalesce("counted", F.lit(False))))
+    vertices = classes.select((F.col("cid") * 2).alias("vid"), "mult", "counted").union(course_rows.select((F.col("crsid") * 2 + 1).alias("vid"), F.lit(1).cast("long"), F.coalesce("counted", F.lit(False)))).checkpoint()
     external = paths.betweenness(vertex_edges, vertices)
     nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours, SCALE)
     internal = contraction.internal_pairs(nearest).select((F.col("crsid") * 2 + 1).alias("vid"), "score")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import connectivity, contraction, graph, ordered, paths, removal
+from ..operators.components import ensure_checkpoint_dir
 from ..sources import readers
 from ..sources.views import SIZES, roster
 from . import analysis
@@ -282,7 +283,8 @@ def _largest_members(edges):
 
 def _scores(spark, sf_dir, view, weighted):
     """vid, raw: ordered-pair betweenness within the largest component, on merged students; vertices outside have 0."""
-    pairs = _pairs(spark, sf_dir, view)
+    ensure_checkpoint_dir(spark)
+    pairs = _pairs(spark, sf_dir, view).checkpoint()
     inside = _largest_members(graph.vertex_edges(pairs))
     hours = _courses(spark, sf_dir, view).select("crsid", "hours" if weighted else F.lit(1).alias("hours"))
     students = inside.where("vid % 2 = 0").select(F.expr("vid div 2").alias("stid"))
