@@ -22,6 +22,8 @@ without secrets keeps its text as it is.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,38 +93,45 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
 
 
 def generated_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """before, candidate, path, label: findings of twelve kinds, the first six of which are secrets."""
-    n, kind = F.col("id").cast("string"), F.col("id") % 12
-    digest = lambda salt: F.sha2(F.concat(F.lit(salt), n), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(digest("m"))), "[+/=]", "q")
-    upper = F.translate(F.upper(F.substring(digest("u"), 1, 16)), "0189", "GKTX")
-    upper = F.translate(upper, "ABCDE", "QNAZR")
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    size = (F.pmod(F.xxhash64(n, F.lit("size")), F.lit(25)) + 12).cast("int")
-    name, joint = pick(["password", "passwd", "pwd", "secret", "api_key", "access_key", "token"], 1), pick(["=", ": ", " = "], 2)
-    mark = pick(["-", "_"], 3)
-    words = F.concat(pick(WORDS, 4), mark, pick(WORDS, 5), mark, pick(WORDS, 6), mark, pick(["2019", "12", "v2", "007"], 7), mark, pick(WORDS, 8))
-    placeholder = pick(["changeme", "your_password_here", "example123", "password1", "xxxxxxxxxxxxxxxx", "<insert-token>", "${TOKEN_VALUE}", "{{secret}}", "********", "00000000000", "placeholder", "test1234"], 9)
-    uuid = F.concat_ws("-", F.substring(digest("i"), 1, 8), F.substring(digest("i"), 9, 4), F.substring(digest("i"), 13, 4), F.substring(digest("i"), 17, 4), F.substring(digest("i"), 21, 12))
-    cases = [
-        F.concat(name, joint, F.substring(digest("p"), 1, 40).substr(F.lit(1), size)),
-        F.concat(F.lit('token = "'), F.substring(digest("t"), 1, 40), F.lit('"')),
-        F.concat(F.lit("AKIA"), upper),
-        F.concat(name, joint, mixed.substr(F.lit(1), size)),
-        F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)),
-        F.concat(name, joint, F.substring(mixed, 1, 7), pick(["!", "#", "%", "@", "$"], 10), F.substring(digest("s"), 1, 6)),
-        F.concat(name, joint, placeholder),
-        F.concat(name, joint, pick(WORDS, 11), pick(["", "s", "ing", "word", "ation"], 12), pick(WORDS, 13)),
-        F.substring(digest("c"), 1, 40),
-        uuid,
-        words,
-        F.concat(F.lit("item"), F.substring(F.conv(F.substring(digest("d"), 1, 14), 16, 10), 1, 16), pick(["0001", "2020", "1111"], 14)),
-    ]
-    candidate = F.coalesce(*[F.when(kind == k, c) for k, c in enumerate(cases)])
-    prose = F.concat_ws(" ", pick(WORDS, 15), pick(WORDS, 16), F.lit(""))
-    before = F.when(kind == 8, F.concat(pick(["commit", "sha1", "checksum:", "digest", "hash:", "revision"], 17), F.lit(" "))).when(kind == 9, F.concat(pick(["uuid", "id", "request", "see"], 18), F.lit(" "))).otherwise(prose)
-    path = F.when(F.pmod(F.xxhash64(n, F.lit(19)), F.lit(10)) < F.when(kind < 6, 1).otherwise(3), pick(["tests/fixtures/a.txt", "docs/example.md"], 20)).otherwise(pick(["src1", "app/settings.py", "deploy/env", ""], 21))
-    return spark.range(0, rows, 1, 1).select(before.alias("before"), candidate.alias("candidate"), path.alias("path"), (kind < 6).cast("double").alias("label"))
+    """before, candidate, path, label: findings of twelve kinds, the first six of which are secrets.
+
+    A bounded table; a row's digests decide everything in it.
+    """
+    names = ("password", "passwd", "pwd", "secret", "api_key", "access_key", "token")
+    dummies = ("changeme", "your_password_here", "example123", "password1", "xxxxxxxxxxxxxxxx", "<insert-token>", "${TOKEN_VALUE}", "{{secret}}", "********", "00000000000", "placeholder", "test1234")
+    found = []
+    for n in range(rows):
+        digest = hashlib.sha256(f"finding {n}".encode()).hexdigest()
+        bits = int(hashlib.sha256(digest.encode()).hexdigest(), 16)
+
+        def pick(options):
+            nonlocal bits
+            bits, k = divmod(bits, len(options))
+            return options[k]
+
+        mixed = base64.b64encode(bytes.fromhex(digest)).decode().translate(str.maketrans("+/=", "qqq"))
+        upper = "".join("QNAZRGKTX234567BCDEFHIJLMOPSUVWY"[int(digest[k : k + 2], 16) % 32] for k in range(0, 32, 2))
+        given, size, prose = pick(names) + pick(("=", ": ", " = ")), pick(range(12, 41)), f"{pick(WORDS)} {pick(WORDS)} "
+        uuid = "-".join((digest[:8], digest[8:12], digest[12:16], digest[16:20], digest[20:32]))
+        candidate = (
+            given + digest[:size],
+            f'token = "{digest[:40]}"',
+            "AKIA" + upper,
+            given + mixed[:size],
+            "ghp_" + mixed[:36],
+            given + mixed[:7] + pick("!#%@$") + digest[:6],
+            given + pick(dummies),
+            given + pick(WORDS) + pick(("", "s", "ing", "word", "ation")) + pick(WORDS),
+            digest[:40],
+            uuid,
+            pick("-_").join((pick(WORDS), pick(WORDS), pick(WORDS), pick(("2019", "12", "v2", "007")), pick(WORDS))),
+            f"item{int(digest[:14], 16)}{pick(('0001', '2020', '1111'))}",
+        )[n % 12]
+        before = {8: pick(("commit", "sha1", "checksum:", "digest", "hash:", "revision")) + " ", 9: pick(("uuid", "id", "request", "see")) + " "}.get(n % 12, prose)
+        sample = pick(range(10)) < (1 if n % 12 < 6 else 3)
+        path = pick(("tests/fixtures/a.txt", "docs/example.md")) if sample else pick(("src1", "app/settings.py", "deploy/env", ""))
+        found.append((before, candidate, path, float(n % 12 < 6)))
+    return spark.createDataFrame(found, "before string, candidate string, path string, label double")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
