@@ -98,5 +98,29 @@ from r
 """
 
 
+OP7_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e,
+    embedding is not null and label is not null and vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and a.ok and b.ok and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+c(v, m) using key (v) as (select vec_id, vec_id from v
+  union (select l.b, min(c.m) from c join l on c.v = l.a join recurring.c k on k.v = l.b where c.m < k.m group by l.b)),
+n as (select a, count(*) as n from l group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.m as component_id, c.m = v.vec_id as kept from v join c on c.v = v.vec_id left join n on n.a = v.vec_id
+"""
+
+OP10_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)),
+c(v, m) using key (v) as (select doc_id, doc_id from d
+  union (select l.b, min(c.m) from c join l on c.v = l.a join recurring.c k on k.v = l.b where c.m < k.m group by l.b))
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.m as component_id from d join c on c.v = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op1_topk_search": OP1_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op7_vector_near_duplicates": OP7_SQL, "op8_source_mixing": OP8_SQL, "op10_jaccard_join": OP10_SQL}
