@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
+from . import bitmaps
 from .common import cut, slices
 from .ngrams import _BASE, mixed, shingle_sets
 from .vectors import forest
@@ -125,13 +126,30 @@ def _describe(words: int, num: int, den: int, bitmap):
     return run
 
 
-def _collect_sets(words: int):
+def _exploded_keys(shared):
+    """(node, key) of the keys whose slot is shared, from the rows' key lists."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, keys = batch.column("f1").to_numpy(), batch.column("keys")
+            flat = keys.flatten().to_numpy()
+            rows = np.repeat(nodes, np.diff(keys.offsets.to_numpy()))
+            inside = bitmaps.has(shared.value, flat >> 32)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[inside]), pa.array(flat[inside])], ["node", "key"])
+
+    return run
+
+
+def _collect_sets(words: int, wanted):
+    """doc_id, fingerprint and set of the texts whose id the bitmap has."""
+
     def run(batches):
         for batch in batches:
-            region, rep, f1, f2 = (batch.column(c).to_pylist() for c in ("region", "rep", "f1", "f2"))
-            rows = [(region[r], rep[r], found.tobytes()) for r, found in _sets(batch, words) if _fingerprint(found) == (f1[r], f2[r])]
+            batch = batch.filter(pa.array(bitmaps.has(wanted.value, batch.column(0).to_numpy())))
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[r], *_fingerprint(found), found.tobytes()) for r, found in _sets(batch, words)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["region", "rep", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "f1", "f2", "set"])
 
     return run
 
@@ -196,9 +214,8 @@ _LINKS = "rep long, root long"
 
 
 def _all_pairs(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """Links inside every region, by pairs of bounded parts."""
-    parts = regions.groupBy("region").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / PART_ROWS).cast("int")).drop("count")
-    dealt = regions.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    """Links inside every region, by pairs of bounded parts. regions: region, n, rep, set."""
+    dealt = regions.where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     i, j = F.least("part", "o"), F.greatest("part", "o")
     dealt = dealt.select("region", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise((F.col("part") == j).cast("int")).alias("side"), "rep", "set")
@@ -219,19 +236,21 @@ def _across(rings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def region_links(regions: DataFrame, num: int, den: int, pivot_rows: int = PIVOT_ROWS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Links (rep, root) that connect what is linked; regions: region, rep, set."""
+    """Links (rep, root) that connect what is linked; regions: region, n (its documents), rep, set."""
     found = []
     for turn in range(rounds):
-        sizes = regions.groupBy("region").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot")).where(F.col("n") > pivot_rows)
-        sizes = cut(sizes)
-        if sizes.isEmpty():
+        large = regions.where(F.col("n") > pivot_rows)
+        chosen = cut(large.groupBy("region").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot")))
+        if chosen.isEmpty():
             break
-        pivots = sizes.join(regions.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"]).dropDuplicates(["region"])
-        rings = cut(regions.join(pivots, "region").select("region", "rep", "set", "pivot", "pivot_set").mapInArrow(_to_pivot(num, den), "region long, rep long, set binary, pivot long, ring int"))
+        pivots = chosen.join(large.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"]).dropDuplicates(["region"])
+        rings = cut(large.join(pivots, "region").select("region", "rep", "set", "pivot", "pivot_set").mapInArrow(_to_pivot(num, den), "region long, rep long, set binary, pivot long, ring int"))
         found.append(rings.where("ring = 0 and rep <> pivot").select("rep", F.col("pivot").alias("root")))
         found.append(cut(_across(rings, num, den)))
-        inner = rings.where("ring > 0").select(F.xxhash64("region", "ring", F.lit(turn)).alias("region"), "rep", "set")
-        regions = cut(regions.join(sizes.select("region"), "region", "left_anti").select("region", "rep", "set").union(inner))
+        inner = rings.where("ring > 0")
+        sizes = inner.groupBy("region", "ring").agg(F.count("*").alias("n"))
+        inner = inner.join(sizes, ["region", "ring"]).select(F.xxhash64("region", "ring", F.lit(turn)).alias("region"), "n", "rep", "set")
+        regions = cut(regions.where(F.col("n") <= pivot_rows).select("region", "n", "rep", "set").union(inner))
     found.append(_all_pairs(regions, num, den))
     out = found[0]
     for more in found[1:]:
@@ -248,12 +267,18 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bitmap = docs.sparkSession.sparkContext.broadcast(frequent_slots(texts.select("text"), words))
     rows = cut(texts.mapInArrow(_describe(words, num, den, bitmap), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
-    keys = rows.select(F.col("f1").alias("node"), F.explode("keys").alias("key"))
+    send = docs.sparkSession.sparkContext.broadcast
+    slots = rows.select(F.explode(F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))).alias("slot"))
+    shared_slots = send(bitmaps.build(slots.groupBy("slot").count().where("count > 1").select(F.col("slot").cast("long"))))
+    keys = rows.select("f1", "keys").mapInArrow(_exploded_keys(shared_slots), "node long, key long").distinct()
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    regions = star_components(keys.join(shared, "key").where("node <> low").select("node", "low"))
+    regions = star_components(keys.join(shared, "key").where("node <> low").select("node", "low")).select(F.col("vid").alias("f1"), F.col("comp_id").alias("region"))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = classes.join(regions.select(F.col("vid").alias("f1"), F.col("comp_id").alias("region")), "f1").select("region", "rep", "f1", "f2")
-    sets = members.hint("shuffle_hash").join(texts, F.col("rep") == F.col("doc_id")).select("region", "rep", "f1", "f2", "text").mapInArrow(_collect_sets(words), "region long, rep long, set binary")
+    members = cut(classes.join(regions, "f1").select("region", "rep", "f1", "f2"))
+    members = members.join(members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region")
+    wanted = send(bitmaps.build(members.select("rep")))
+    sets = texts.where("doc_id is not null").mapInArrow(_collect_sets(words, wanted), "doc_id long, f1 long, f2 long, set binary")
+    sets = members.withColumnRenamed("rep", "doc_id").join(sets, ["doc_id", "f1", "f2"]).select("region", "n", F.col("doc_id").alias("rep"), "set")
     components = star_components(region_links(cut(sets), num, den))
     linked = classes.join(components.withColumnRenamed("vid", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp_id", "rep").alias("component_id"))
     plain = rows.select("doc_id", "n_shingles", "f1", "f2")
@@ -264,10 +289,14 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of every component: the one of smallest doc_id (null ids stay)."""
     found = cut(join(docs, words, num, den))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select("doc_id")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    id_ = F.col("doc_id").cast("long")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), id_ == F.col("_gone"), "left_anti")
-    repeated = again.withColumnRenamed("doc_id", "_again")
-    once = kept.join(repeated, id_ == F.col("_again"), "left_anti")
-    return once.union(kept.join(repeated, id_ == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    marked = docs.sparkSession.sparkContext.broadcast(bitmaps.build(gone.union(again)))
+    names = docs.columns
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"))
+    sure = bitmaps.rows_in(keyed, "_id", marked, wanted=False)
+    asked = bitmaps.rows_in(keyed, "_id", marked).join(gone.distinct().withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    repeated = again.withColumnRenamed("doc_id", "_id")
+    once = asked.join(repeated, "_id", "left_anti")
+    rest = asked.join(repeated, "_id", "left_semi").dropDuplicates(["_id"])
+    return sure.union(once).union(rest.select("_id", "_doc")).select("_doc.*")

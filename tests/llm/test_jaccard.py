@@ -64,7 +64,7 @@ def test_regions_through_pivots(spark, monkeypatch):
         at = rng.integers(0, 60, rng.integers(0, 9))
         s[at] = rng.integers(1, 2**62, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
-    df = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "region long, rep long, set binary")
+    df = spark.createDataFrame([(1, 120, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "region long, n long, rep long, set binary")
     edges = jaccard.region_links(df, 80, 100, pivot_rows=10).collect()
     label = list(range(120))
 
