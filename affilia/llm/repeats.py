@@ -41,7 +41,9 @@ LENGTH, ANCHOR = 400, 64
 #: Contexts of one gram that are sorted together; more are split into BANDS.
 MOST_CONTEXTS, BANDS = 4096, 8
 #: Contexts of one transform, about.
-BLOCK_CONTEXTS = 8192
+BLOCK_CONTEXTS = 4096
+#: Bytes of texts that are hashed at once.
+SLICE_BYTES = 1 << 20
 _POSITION_BITS = 28
 _U = np.uint64
 
@@ -82,7 +84,7 @@ def _describe(length: int, anchor: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, held in slices(texts):
+            for first, held in slices(texts, SLICE_BYTES):
                 rows = []
                 for row, (data, (_, grams, _, _)) in enumerate(zip(held, anchors(held, length, anchor)), first):
                     grams, times = np.unique(grams, return_counts=True)
@@ -112,7 +114,7 @@ def _contexts(length: int, anchor: int, wanted, unwanted, blocks: int):
 
     def run(batches):
         for batch in batches:
-            for _, held in slices(batch.column(0).to_pylist()):
+            for _, held in slices(batch.column(0).to_pylist(), SLICE_BYTES):
                 rows = []
                 for data, (places, grams, los, his) in zip(held, anchors(held, length, anchor)):
                     keys = grams.view(np.int64)
@@ -128,9 +130,9 @@ def _contexts(length: int, anchor: int, wanted, unwanted, blocks: int):
                         block = gram % blocks
                         if (context, lo, hi) in seen:
                             other = seen[context, lo, hi]
-                            rows.append((block, None, node, at, lo, hi, None))
+                            rows.append(((node ^ at) % blocks, None, node, at, lo, hi, None))
                             if other is not None:
-                                rows.append((block, None, node, other, lo, hi, None))
+                                rows.append(((node ^ other) % blocks, None, node, other, lo, hi, None))
                                 seen[context, lo, hi] = None
                         else:
                             seen[context, lo, hi] = at
