@@ -134,14 +134,24 @@ class PathGraph:
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[nodes], sizes)
         return np.repeat(nodes, sizes), at
 
-    def search(self, source: int):
-        """(distance or -1, path counts, steps): steps are (tails, heads) of the shortest-path edges, nearest first."""
-        distance, paths = np.full(self.n, -1, np.int64), np.zeros(self.n)
+    def _scratch(self):
+        """Distances, path counts and gains; every search leaves them as it found them."""
+        if not hasattr(self, "_arrays"):
+            self._arrays = np.full(self.n, -1, np.int64), np.zeros(self.n), np.zeros(self.n)
+        return self._arrays
+
+    def _reach(self, source: int):
+        """(vertices reached, steps) with distances and path counts in the scratch arrays.
+
+        Steps are (tails, heads) of the shortest-path edges, nearest first.
+        """
+        distance, paths, _ = self._scratch()
         distance[source], paths[source] = 0, self.mult[source]
-        steps = []
+        reached, steps = [np.array([source])], []
         if self.uniform:
-            unit, frontier = int(self.length[0]) if len(self.length) else 1, np.array([source])
-            while len(frontier):
+            unit = int(self.length[0]) if len(self.length) else 1
+            while len(reached[-1]):
+                frontier = reached[-1]
                 tails, at = self._out(frontier)
                 heads = self.heads[at]
                 onward = distance[heads] < 0
@@ -152,36 +162,49 @@ class PathGraph:
                 paths[new] *= self.mult[new]
                 if len(heads):
                     steps.append((tails, heads))
-                frontier = new
-            return distance, paths, steps
-        done, queue, best = np.zeros(self.n, bool), [(0, source)], {source: 0}
-        order = []
+                reached.append(new)
+            return np.concatenate(reached), steps
+        queue, best, order = [(0, source)], {source: 0}, []
+        settled: set = set()
         while queue:
             d, v = heapq.heappop(queue)
-            if done[v]:
+            if v in settled:
                 continue
-            done[v] = True
+            settled.add(v)
             distance[v] = d
             order.append(v)
             for k in range(self.first[v], self.first[v + 1]):
                 w, to = int(self.heads[k]), d + int(self.length[k])
-                if not done[w] and to < best.get(w, to + 1):
+                if w not in settled and to < best.get(w, to + 1):
                     best[w] = to
                     heapq.heappush(queue, (to, w))
-        for v in order:
+        for v in order[1:]:
             span = slice(self.first[v], self.first[v + 1])
-            before = self.heads[span][(distance[self.heads[span]] + self.length[span] == distance[v]) & (distance[self.heads[span]] >= 0)]
-            if len(before):
-                paths[v] = paths[before].sum() * self.mult[v]
-                steps.append((before, np.full(len(before), v)))
-        return distance, paths, steps
-
-    def dependencies(self, source: int) -> np.ndarray:
-        """What each class gains from the paths of one source class to all counted ones."""
-        _, paths, steps = self.search(source)
-        dependency = np.zeros(self.n)
+            near = self.heads[span]
+            before = near[(distance[near] + self.length[span] == distance[v]) & (distance[near] >= 0)]
+            paths[v] = paths[before].sum() * self.mult[v]
+            steps.append((before, np.full(len(before), v)))
+        return np.array(order), steps
+
+    def search(self, source: int):
+        """(vertices reached, their distances, their path counts)."""
+        distance, paths, _ = self._scratch()
+        reached, _ = self._reach(source)
+        out = reached, distance[reached], paths[reached]
+        distance[reached], paths[reached] = -1, 0
+        return out
+
+    def add_dependencies(self, source: int, total: np.ndarray) -> None:
+        """Add to ``total`` what each class gains from the paths of one source class to all counted ones.
+
+        Only what the search reached is touched, so a source costs its own
+        component, however many there are.
+        """
+        distance, paths, gain = self._scratch()
+        reached, steps = self._reach(source)
         for tails, heads in reversed(steps):
-            share = (np.where(self.counted[heads], self.mult[heads], 0) + dependency[heads]) * self.mult[heads] / paths[heads]
-            np.add.at(dependency, tails, paths[tails] * share)
-        dependency[source] = 0
-        return dependency * self.mult[source]
+            share = (np.where(self.counted[heads], self.mult[heads], 0) + gain[heads]) * self.mult[heads] / paths[heads]
+            np.add.at(gain, tails, paths[tails] * share)
+        gain[source] = 0
+        total[reached] += gain[reached] * self.mult[source]
+        distance[reached], paths[reached], gain[reached] = -1, 0, 0

@@ -53,9 +53,8 @@ def shortest_paths(edges: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
         vids, graph = held.value
         for batch in batches:
             for i in batch.column("i").to_pylist():
-                distance, paths, _ = graph.search(i)
-                at = np.flatnonzero(distance >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), vids[i])), pa.array(vids[at]), pa.array(distance[at]), pa.array(paths[at])], ["s", "v", "distance", "n_paths"])
+                at, distance, paths = graph.search(i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), vids[i])), pa.array(vids[at]), pa.array(distance), pa.array(paths)], ["s", "v", "distance", "n_paths"])
 
     return _sources(spark, vids, counted).mapInArrow(run, "s long, v long, distance long, n_paths double")
 
@@ -130,7 +129,7 @@ def betweenness(edges: DataFrame, classes: DataFrame, limit: int = BROADCAST_EDG
         total = np.zeros(graph.n)
         for batch in batches:
             for i in batch.column("i").to_pylist():
-                total += graph.dependencies(i)
+                graph.add_dependencies(i, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(vids[at]), pa.array(total[at] / graph.mult[at])], ["vid", "score"])
 
