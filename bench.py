@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
-from affilia.operators import removal, graph
+from affilia.operators import graph, removal
 from affilia.plans import analysis
 from affilia.plans.queries import REGISTRY
 from affilia.sources.views import SIZES, roster
@@ -42,6 +43,7 @@ def main() -> None:
         began = time.time()
         run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - began, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
