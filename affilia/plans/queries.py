@@ -1,17 +1,26 @@
-"""Every operator as a named query over the order tables."""
+"""Every operator as a named query over the order tables.
+
+Queries that SQL can't follow on the whole roster are registered twice: under
+their name on a cut view (see FILTERS), which the SQL shares, and as full_NAME
+on the whole roster.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import connectivity, contraction, graph, ordered, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import readers
-from ..sources.views import SIZES, roster
+from ..sources.views import MASKED_DEGREE, SIZES, roster
 from . import analysis
 
 REGISTRY: dict = {}
+#: full_NAME of every query whose NAME runs on a cut view.
+FULL: dict = {}
 
 
 def query(f):
@@ -19,6 +28,12 @@ def query(f):
     return f
 
 
+def cut(f):
+    """Registers a query on its own view and on the whole roster."""
+    FULL[f"full_{f.__name__}"] = partial(f, view="full")
+    return query(f)
+
+
 def _pairs(spark, sf_dir, view):
     return graph.memberships(roster(spark, sf_dir, view))
 
@@ -39,24 +54,24 @@ def _vertices(edges):
     return graph.both_ways(edges).select(F.col("a").alias("vid")).distinct()
 
 
-def _small_live(spark, sf_dir):
-    """Edges of the small view and its vertices without the courses of degree 4 and more."""
-    edges = _edges(spark, sf_dir, "small")
-    big = _courses(spark, sf_dir, "small").where("degree >= 4").select(fn.course_vid(F.col("crsid")).alias("vid"))
+def _live(spark, sf_dir, view):
+    """Edges of the view and its vertices without the courses of a large degree."""
+    edges = _edges(spark, sf_dir, view)
+    big = _courses(spark, sf_dir, view).where(F.col("degree") >= MASKED_DEGREE[view]).select(fn.course_vid(F.col("crsid")).alias("vid"))
     return edges, _vertices(edges).join(big, "vid", "left_anti")
 
 
-@query
-def scan_roster(spark, sf_dir):
+@cut
+def scan_roster(spark, sf_dir, view="small"):
     """Records written as lines (ids from 1) and parsed again."""
-    one = roster(spark, sf_dir, "small").withColumns({c: F.col(c) + 1 for c in ("stid", "crsid")})
+    one = roster(spark, sf_dir, view).withColumns({c: F.col(c) + 1 for c in ("stid", "crsid")})
     rows = readers.parse_wc5(readers.to_lines(one)).where("error is null").drop("error")
     return rows.withColumns({c: F.col(c) - 1 for c in ("stid", "crsid")})
 
 
-@query
-def dict_encode(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir, "small")
+@cut
+def dict_encode(spark, sf_dir, view="small"):
+    pairs = _pairs(spark, sf_dir, view)
     kinds = [("s", "stid"), ("c", "crsid")]
     out = [ordered.dense_codes(pairs, c).select(F.lit(k).alias("kind"), F.col(c).alias("id"), "code") for k, c in kinds]
     return out[0].union(out[1])
@@ -89,9 +104,9 @@ def course_degree(spark, sf_dir):
     return _courses(spark, sf_dir, "full").select("crsid", "degree")
 
 
-@query
-def student_neighborhood(spark, sf_dir):
-    nbr = graph.neighborhoods(_pairs(spark, sf_dir, "ret45"))
+@cut
+def student_neighborhood(spark, sf_dir, view="ret45"):
+    nbr = graph.neighborhoods(_pairs(spark, sf_dir, view))
     return nbr.select("stid", F.size("nbr").cast("long").alias("degree"), F.array_join("nbr", ",").alias("nbr"))
 
 
@@ -100,21 +115,21 @@ def rank_courses(spark, sf_dir):
     return removal.course_ranks(_courses(spark, sf_dir, "full"))
 
 
-@query
-def masked_degrees(spark, sf_dir):
-    edges, live = _small_live(spark, sf_dir)
+@cut
+def masked_degrees(spark, sf_dir, view="small"):
+    edges, live = _live(spark, sf_dir, view)
     return graph.masked_degrees(_vertices(edges), edges, live)
 
 
-@query
-def included_students(spark, sf_dir):
-    removed = _courses(spark, sf_dir, "ret48").where("degree >= 2")
-    return graph.included_students(_pairs(spark, sf_dir, "ret48"), removed)
+@cut
+def included_students(spark, sf_dir, view="ret48"):
+    removed = _courses(spark, sf_dir, view).where(F.col("degree") >= MASKED_DEGREE[view])
+    return graph.included_students(_pairs(spark, sf_dir, view), removed)
 
 
-@query
-def non0_vertices(spark, sf_dir):
-    return graph.with_neighbor(*_small_live(spark, sf_dir))
+@cut
+def non0_vertices(spark, sf_dir, view="small"):
+    return graph.with_neighbor(*_live(spark, sf_dir, view))
 
 
 @query
@@ -123,14 +138,14 @@ def undergrad_subgraph(spark, sf_dir):
     return _pairs(spark, sf_dir, "full").join(grads, "stid", "left_anti").select("stid", "crsid")
 
 
-@query
-def induced_edges(spark, sf_dir):
-    return graph.induced(*_small_live(spark, sf_dir))
+@cut
+def induced_edges(spark, sf_dir, view="small"):
+    return graph.induced(*_live(spark, sf_dir, view))
 
 
-@query
-def co_enrolment(spark, sf_dir):
-    return graph.co_enrolment(_pairs(spark, sf_dir, "ret45"))
+@cut
+def co_enrolment(spark, sf_dir, view="ret45"):
+    return graph.co_enrolment(_pairs(spark, sf_dir, view))
 
 
 @query
@@ -163,100 +178,100 @@ def budget_greedy_removed(spark, sf_dir):
     return removal.skip_fit_removed(courses, removal.budgets_of(courses, SIZES["full"], less=1))
 
 
-@query
-def contract_students(spark, sf_dir):
-    return contraction.class_table(_pairs(spark, sf_dir, "ret45"), _students(spark, sf_dir, "ret45"))
+@cut
+def contract_students(spark, sf_dir, view="ret45"):
+    return contraction.class_table(_pairs(spark, sf_dir, view), _students(spark, sf_dir, view))
 
 
-@query
-def contracted_edges(spark, sf_dir):
-    return contraction.class_edges(_pairs(spark, sf_dir, "ret45"), _students(spark, sf_dir, "ret45"))
+@cut
+def contracted_edges(spark, sf_dir, view="ret45"):
+    return contraction.class_edges(_pairs(spark, sf_dir, view), _students(spark, sf_dir, view))
 
 
-@query
-def contracted_degree(spark, sf_dir):
-    return contracted_edges(spark, sf_dir).groupBy("crsid").agg(F.count("*").alias("degree"))
+@cut
+def contracted_degree(spark, sf_dir, view="ret45"):
+    return contracted_edges(spark, sf_dir, view).groupBy("crsid").agg(F.count("*").alias("degree"))
 
 
-@query
-def compress_graph(spark, sf_dir):
-    edges = _edges(spark, sf_dir, "ret45")
-    hours = _courses(spark, sf_dir, "ret45").select(fn.course_vid(F.col("crsid")).alias("vid"), "hours")
+@cut
+def compress_graph(spark, sf_dir, view="ret45"):
+    edges = _edges(spark, sf_dir, view)
+    hours = _courses(spark, sf_dir, view).select(fn.course_vid(F.col("crsid")).alias("vid"), "hours")
     vertices = _vertices(edges).join(hours, "vid", "left").select("vid", fn.vid_is_student(F.col("vid")).alias("in_src"), F.coalesce("hours", F.lit(0)).alias("weight"))
     return contraction.compressed(edges, vertices)
 
 
-@query
-def min_weight_neighbors(spark, sf_dir):
-    pairs, students = _pairs(spark, sf_dir, "ret45"), _students(spark, sf_dir, "ret45")
+@cut
+def min_weight_neighbors(spark, sf_dir, view="ret45"):
+    pairs, students = _pairs(spark, sf_dir, view), _students(spark, sf_dir, view)
     classes = contraction.class_table(pairs, students)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, "ret45"))
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, view))
     return nearest.groupBy("cid", "mult", "length").agg(F.count("*").alias("n_nearest"))
 
 
-@query
-def internal_pair_bc(spark, sf_dir):
-    pairs, students = _pairs(spark, sf_dir, "ret45"), _students(spark, sf_dir, "ret45")
+@cut
+def internal_pair_bc(spark, sf_dir, view="ret45"):
+    pairs, students = _pairs(spark, sf_dir, view), _students(spark, sf_dir, view)
     classes = contraction.class_table(pairs, students)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, "ret45"))
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, view))
     return contraction.internal_pairs(nearest).select("crsid", F.round("score", 9).alias("score"))
 
 
-@query
-def connected_components(spark, sf_dir):
-    return connectivity.connected_components(_edges(spark, sf_dir, "ret45"))
+@cut
+def connected_components(spark, sf_dir, view="ret45"):
+    return connectivity.connected_components(_edges(spark, sf_dir, view))
 
 
-@query
-def cc_sizes(spark, sf_dir):
-    return graph.component_sizes(connected_components(spark, sf_dir))
+@cut
+def cc_sizes(spark, sf_dir, view="ret45"):
+    return graph.component_sizes(connected_components(spark, sf_dir, view))
 
 
-@query
-def largest_component(spark, sf_dir):
-    return graph.largest(cc_sizes(spark, sf_dir), "comp_id")
+@cut
+def largest_component(spark, sf_dir, view="ret45"):
+    return graph.largest(cc_sizes(spark, sf_dir, view), "comp_id")
 
 
-@query
-def component_student_sizes(spark, sf_dir):
-    return cc_sizes(spark, sf_dir).groupBy("n_students").agg(F.count("*").alias("n_components"))
+@cut
+def component_student_sizes(spark, sf_dir, view="ret45"):
+    return cc_sizes(spark, sf_dir, view).groupBy("n_students").agg(F.count("*").alias("n_components"))
 
 
-@query
-def biconnected_components(spark, sf_dir):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, "small"))).select("block_id", "vid")
+@cut
+def biconnected_components(spark, sf_dir, view="small"):
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, view))).select("block_id", "vid")
 
 
-@query
-def bicomponents_generic(spark, sf_dir):
-    edges, live = _small_live(spark, sf_dir)
+@cut
+def bicomponents_generic(spark, sf_dir, view="small"):
+    edges, live = _live(spark, sf_dir, view)
     return connectivity.block_members(connectivity.block_edges(graph.induced(edges, live)), live).select("block_id", "vid")
 
 
-def _small_members(spark, sf_dir):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, "small")))
+def _members(spark, sf_dir, view):
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, view)))
 
 
-@query
-def largest_block(spark, sf_dir):
+@cut
+def largest_block(spark, sf_dir, view="small"):
     """The block with the most students, and the student count of the one with the most vertices."""
-    sizes = connectivity.block_sizes(_small_members(spark, sf_dir))
+    sizes = connectivity.block_sizes(_members(spark, sf_dir, view))
     return sizes.agg(F.max("n_students").alias("max_bcc"), F.max("n_vertices").alias("max_vertices"), F.max(F.struct("n_vertices", "n_students"))["n_students"].alias("students_of_max_vertices"))
 
 
-@query
-def cut_vertices(spark, sf_dir):
-    return connectivity.cut_vertices(_small_members(spark, sf_dir))
+@cut
+def cut_vertices(spark, sf_dir, view="small"):
+    return connectivity.cut_vertices(_members(spark, sf_dir, view))
 
 
-@query
-def block_cut_counts(spark, sf_dir):
-    return connectivity.block_cut_counts(_small_members(spark, sf_dir))
+@cut
+def block_cut_counts(spark, sf_dir, view="small"):
+    return connectivity.block_cut_counts(_members(spark, sf_dir, view))
 
 
-@query
-def block_cut_forest(spark, sf_dir):
-    return connectivity.block_cut_forest(_small_members(spark, sf_dir))
+@cut
+def block_cut_forest(spark, sf_dir, view="small"):
+    return connectivity.block_cut_forest(_members(spark, sf_dir, view))
 
 
 def _lengths(spark, sf_dir, view, weighted):
@@ -266,14 +281,14 @@ def _lengths(spark, sf_dir, view, weighted):
     return _edges(spark, sf_dir, view).join(by_vid, "b").select("a", "b", "length")
 
 
-@query
-def bfs_distances(spark, sf_dir):
-    return paths.shortest_paths(_lengths(spark, sf_dir, "tiny", False)).select("s", "v", "distance")
+@cut
+def bfs_distances(spark, sf_dir, view="tiny"):
+    return paths.shortest_paths(_lengths(spark, sf_dir, view, False)).select("s", "v", "distance")
 
 
-@query
-def shortest_path_counts(spark, sf_dir):
-    return paths.shortest_paths(_lengths(spark, sf_dir, "tiny", False)).select("s", "v", "n_paths")
+@cut
+def shortest_path_counts(spark, sf_dir, view="tiny"):
+    return paths.shortest_paths(_lengths(spark, sf_dir, view, False)).select("s", "v", "n_paths")
 
 
 def _largest_members(edges):
@@ -295,43 +310,43 @@ def _scores(spark, sf_dir, view, weighted):
     return scores.select(vid.alias("vid"), F.col("score").alias("raw")), F.lit(n)
 
 
-@query
-def betweenness(spark, sf_dir):
-    scores, n = _scores(spark, sf_dir, "small", False)
+@cut
+def betweenness(spark, sf_dir, view="small"):
+    scores, n = _scores(spark, sf_dir, view, False)
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
-@query
-def betweenness_norms(spark, sf_dir):
-    scores, n = _scores(spark, sf_dir, "tiny", False)
+@cut
+def betweenness_norms(spark, sf_dir, view="tiny"):
+    scores, n = _scores(spark, sf_dir, view, False)
     return scores.select("vid", *[F.round(F.col("raw") * fn.betweenness_norm(k, n), 9).alias(f"norm{k}") for k in range(3)])
 
 
-@query
-def max_betweenness(spark, sf_dir):
-    return betweenness(spark, sf_dir).agg(F.max("score").alias("max_bc"))
+@cut
+def max_betweenness(spark, sf_dir, view="small"):
+    return betweenness(spark, sf_dir, view).agg(F.max("score").alias("max_bc"))
 
 
-@query
-def weighted_betweenness(spark, sf_dir):
-    scores, n = _scores(spark, sf_dir, "tiny", True)
+@cut
+def weighted_betweenness(spark, sf_dir, view="tiny"):
+    scores, n = _scores(spark, sf_dir, view, True)
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
-def _plain_small(spark, sf_dir):
-    """The small view with uniform hours, and its budgets."""
-    rows = roster(spark, sf_dir, "small", weighted=False)
-    return rows, removal.budgets_of(graph.course_attributes(rows), SIZES["small"])
+def _plain(spark, sf_dir, view):
+    """The view with uniform hours, and its budgets."""
+    rows = roster(spark, sf_dir, view, weighted=False)
+    return rows, removal.budgets_of(graph.course_attributes(rows), SIZES[view])
 
 
-@query
-def report_row(spark, sf_dir):
-    """The report for the small view's second budget."""
-    rows, budgets = _plain_small(spark, sf_dir)
+@cut
+def report_row(spark, sf_dir, view="small"):
+    """The report for the view's second budget."""
+    rows, budgets = _plain(spark, sf_dir, view)
     return analysis.sweep(rows, budgets.where("threshold_id = 2"))
 
 
-@query
-def threshold_report(spark, sf_dir):
-    """The whole sweep over the small view."""
-    return analysis.sweep(*_plain_small(spark, sf_dir))
+@cut
+def threshold_report(spark, sf_dir, view="small"):
+    """The whole sweep over the view."""
+    return analysis.sweep(*_plain(spark, sf_dir, view))

@@ -18,6 +18,8 @@ FILTERS = {
 }
 #: Course sizes from which each view's budgets are derived.
 SIZES = {"full": (45, 40, 35, 30), "small": (5, 4, 3), "tiny": (4, 3, 2), "ret48": (3, 2), "ret45": (5, 4, 3)}
+#: Courses from this degree on are taken out where a query masks some.
+MASKED_DEGREE = {"full": 30, "small": 4, "ret48": 2}
 
 
 def roster(spark: SparkSession, sf_dir: str, view: str, weighted: bool = True) -> DataFrame:
