@@ -44,11 +44,11 @@ FORMATS = (
     r"\bAIza[A-Za-z0-9_-]{35}\b",
     r"\bsk-[A-Za-z0-9_-]{20,}+",
     r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+",
-    r"-----BEGIN [A-Z ]*+PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*+PRIVATE KEY-----",
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----",
 )
-ASSIGNED = rf"""(?i:\b(?:{NAMES})s?)["']?\s{{0,3}}[:=]\s{{0,3}}["']?[^\s"']{{6,}}+["']?"""
+ASSIGNED = rf"""(?i:\b(?:{NAMES})s?)["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?!-----BEGIN )[^\s"']{{6,}}+["']?"""
 MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-PATTERN = "|".join((ASSIGNED, *FORMATS, MIXED))
+PATTERN = "|".join((*FORMATS, ASSIGNED, MIXED))
 WORDS = (
     "password passwd secret token example sample changeme change test dummy placeholder insert your here value default admin user name login "
     "access private public client server system data file image figure overview report index version number string null none true false todo "
@@ -127,6 +127,11 @@ def generated_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
             pick("-_").join((pick(WORDS), pick(WORDS), pick(WORDS), pick(("2019", "12", "v2", "007")), pick(WORDS))),
             f"item{int(digest[:14], 16)}{pick(('0001', '2020', '1111'))}",
         )[n % 12]
+        if n % 36 == 4:  # a third of the fifth kind are PEM blocks
+            body, name = "".join(mixed[k:] + mixed[:k] for k in range(0, 44, 2)), pick(("RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""))
+            header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + digest[:32].upper() + "\n\n" if name == "RSA " and size % 2 else ""
+            lines = [body[k : k + 64] for k in range(0, 64 * pick((1, 3, 12)), 64)]
+            candidate = f"-----BEGIN {name}PRIVATE KEY-----\n{header}" + "\n".join(lines) + f"\n-----END {name}PRIVATE KEY-----"
         before = {8: pick(("commit", "sha1", "checksum:", "digest", "hash:", "revision")) + " ", 9: pick(("uuid", "id", "request", "see")) + " "}.get(n % 12, prose)
         sample = pick(range(10)) < (1 if n % 12 < 6 else 3)
         path = pick(("tests/fixtures/a.txt", "docs/example.md")) if sample else pick(("src1", "app/settings.py", "deploy/env", ""))

@@ -31,6 +31,22 @@ def test_scan(spark, forest):
     assert got[50].redacted is None and got[51].redacted == ""
 
 
+def test_private_keys(spark, forest):
+    rng = random.Random(3)
+    body = lambda n: "\n".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(n))
+    pem = lambda name, head, n: f"-----BEGIN {name}PRIVATE KEY-----\n{head}{body(n)}\n-----END {name}PRIVATE KEY-----"
+    keys = [pem("RSA ", "", 24), pem("", "", 2), pem("EC ", "", 1), pem("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-CBC,0A1B2C3D4E5F6071\n\n", 12), pem("OPENSSH ", "", 6).replace("\n", "\\n")]
+    docs = frame(spark, [(k, f"alpha {pem} beta", "en", "src1") for k, pem in enumerate(keys)] + [(9, f'private_key: "{keys[0]}"', "en", "src1")])
+    got = {r.doc_id: r for r in secrets.scan(docs, forest).collect()}
+    for k, key in enumerate(keys):
+        assert got[k].redacted == f"alpha {secrets.REPLACEMENT} beta", key
+        assert [(c.start, c.length, c.kind) for c in got[k].candidates] == [(6, len(key), "format")]
+    assert got[9].redacted == f'private_key: "{secrets.REPLACEMENT}"'
+    from pyspark.sql import functions as F
+
+    assert secrets.generated_findings(spark, 400).where(F.col("candidate").startswith("-----BEGIN")).where("label = 1").count() > 5
+
+
 def test_redact_keeps_columns(spark, forest):
     docs = frame(spark, [(1, "p password=b7db7aa4a5fcc78305 q", "en", None), (2, None, None, None), (2, None, None, None), (3, "clean", "en", "a")])
     out = secrets.redact(docs, forest)
