@@ -46,7 +46,9 @@ FORMATS = (
     r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+",
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----",
 )
-ASSIGNED = rf"""(?i:\b(?:{NAMES})s?)["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?!-----BEGIN )[^\s"']{{6,}}+["']?"""
+#: A telling name within a longer one (DB_PASSWORD, userPassword), up to the sign and quote before its value.
+NAMED = rf"""(?i:(?:(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{{0,40}}?)?(?=[acpst])(?:{NAMES})[A-Za-z0-9_.-]{{0,40}})["']?\s{{0,3}}[:=]\s{{0,3}}["']?"""
+ASSIGNED = rf"""{NAMED}(?!-----BEGIN )[^\s"']{{6,}}+["']?"""
 MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 PATTERN = "|".join((*FORMATS, ASSIGNED, MIXED))
 WORDS = (
@@ -61,7 +63,7 @@ FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "d
 
 def value_of(candidate: Column) -> Column:
     """A candidate without the name it is assigned to and quotes."""
-    bare = F.regexp_replace(candidate, rf"""^(?i:(?:{NAMES})s?)["']?\s{{0,3}}[:=]\s{{0,3}}["']?""", "")
+    bare = F.regexp_replace(candidate, f"^{NAMED}", "")
     return F.regexp_replace(bare, r"""["']$""", "")
 
 
@@ -84,7 +86,7 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "words": covered("|".join(sorted(set(WORDS), key=lambda w: (-len(w), w)))),
         "syllables": covered("(?:[bcdfghjklmnpqrstvwxz]{0,2}[aeiouy]{1,2}[bcdfghjklmnpqrstvwxz]{0,1}){2,}"),
         "runs": flag(value, r"(.)\1{4,}"),
-        "named": flag(candidate, rf"^(?i:(?:{NAMES}))"),
+        "named": flag(candidate, f"^{NAMED}"),
         "known": flag(candidate, "^(?:" + "|".join(FORMATS) + ")"),
         "checksum": flag(before, rf"(?i)\b(?:{CHECKSUMS})\b\W*$"),
         "template": flag(value, r"^(?:\$\{|\{\{|<|%\(|\$\()"),
@@ -111,7 +113,8 @@ def generated_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
 
         mixed = base64.b64encode(bytes.fromhex(digest)).decode().translate(str.maketrans("+/=", "qqq"))
         upper = "".join("QNAZRGKTX234567BCDEFHIJLMOPSUVWY"[int(digest[k : k + 2], 16) % 32] for k in range(0, 32, 2))
-        given, size, prose = pick(names) + pick(("=", ": ", " = ")), pick(range(12, 41)), f"{pick(WORDS)} {pick(WORDS)} "
+        name, sign, size, prose = pick(names), pick(("=", ": ", " = ")), pick(range(12, 41)), f"{pick(WORDS)} {pick(WORDS)} "
+        given = (pick(("DB_", "app.", "user_", "x-")) + name.upper() if n % 5 == 0 else name + pick(("_prod", "s", "-2", "Value")) if n % 5 == 1 else name) + sign
         uuid = "-".join((digest[:8], digest[8:12], digest[12:16], digest[16:20], digest[20:32]))
         candidate = (
             given + digest[:size],
@@ -128,10 +131,10 @@ def generated_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
             f"item{int(digest[:14], 16)}{pick(('0001', '2020', '1111'))}",
         )[n % 12]
         if n % 36 == 4:  # a third of the fifth kind are PEM blocks
-            body, name = "".join(mixed[k:] + mixed[:k] for k in range(0, 44, 2)), pick(("RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""))
-            header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + digest[:32].upper() + "\n\n" if name == "RSA " and size % 2 else ""
+            body, label = "".join(mixed[k:] + mixed[:k] for k in range(0, 44, 2)), pick(("RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""))
+            header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + digest[:32].upper() + "\n\n" if label == "RSA " and size % 2 else ""
             lines = [body[k : k + 64] for k in range(0, 64 * pick((1, 3, 12)), 64)]
-            candidate = f"-----BEGIN {name}PRIVATE KEY-----\n{header}" + "\n".join(lines) + f"\n-----END {name}PRIVATE KEY-----"
+            candidate = f"-----BEGIN {label}PRIVATE KEY-----\n{header}" + "\n".join(lines) + f"\n-----END {label}PRIVATE KEY-----"
         before = {8: pick(("commit", "sha1", "checksum:", "digest", "hash:", "revision")) + " ", 9: pick(("uuid", "id", "request", "see")) + " "}.get(n % 12, prose)
         sample = pick(range(10)) < (1 if n % 12 < 6 else 3)
         path = pick(("tests/fixtures/a.txt", "docs/example.md")) if sample else pick(("src1", "app/settings.py", "deploy/env", ""))
@@ -188,7 +191,7 @@ def scan(docs: DataFrame, forest: list, share: float = SHARE, path: str = "sourc
     parts = cut.withColumn("_parts", F.when(F.size("_found") > 0, F.split("_text", PATTERN, -1)).otherwise(F.array().cast("array<string>")))
     described = parts.withColumn("_items", F.transform("_found", lambda c, i: _item(c, i)))
     scored = described.withColumn("_items", F.transform("_items", lambda x: F.struct(x["candidate"].alias("candidate"), x["known"].alias("known"), votes(forest, x["inputs"]).alias("votes"))))
-    scored = scored.withColumn("_items", F.transform("_items", lambda x: F.struct(x["candidate"].alias("candidate"), F.when(x["known"] == 1, "format").otherwise(F.when(F.regexp_like(x["candidate"], F.lit(rf"^(?i:(?:{NAMES}))")), "assigned").otherwise("token")).alias("kind"), x["votes"].alias("votes"), (x["votes"] >= len(forest) * share).alias("secret"))))
+    scored = scored.withColumn("_items", F.transform("_items", lambda x: F.struct(x["candidate"].alias("candidate"), F.when(x["known"] == 1, "format").otherwise(F.when(F.regexp_like(x["candidate"], F.lit(f"^{NAMED}")), "assigned").otherwise("token")).alias("kind"), x["votes"].alias("votes"), (x["votes"] >= len(forest) * share).alias("secret"))))
     at = lambda i: F.aggregate(F.slice("_parts", 1, i + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice("_found", 1, i), F.lit(0), lambda s, c: s + F.length(c))
     findings = F.transform("_items", lambda x, i: F.struct(at(i).alias("start"), F.length(x["candidate"]).alias("length"), x["kind"].alias("kind"), x["votes"].alias("votes"), x["secret"].alias("secret")))
     pieces = F.transform("_items", lambda x, i: F.concat(F.when(x["secret"], F.lit(REPLACEMENT)).otherwise(x["candidate"]), F.element_at("_parts", i + 2)))

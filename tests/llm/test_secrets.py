@@ -47,6 +47,18 @@ def test_private_keys(spark, forest):
     assert secrets.generated_findings(spark, 400).where(F.col("candidate").startswith("-----BEGIN")).where("label = 1").count() > 5
 
 
+def test_prefixed_names(spark, forest):
+    texts = ['DB_PASSWORD = "hunter2!x"', "db_password: hunter2secret", "DB_PASSWORD=hunter2", 'userPassword = "hunter2!x"', "password_prod=hunter2!x", "--db-password=hunter2!x", f"{'a' * 45}password=hunter!xx", 'app.api_key.v2: "hunter2!x"']
+    got = {r.doc_id: r for r in secrets.scan(frame(spark, [(k, f"alpha {t} beta", "en", "src1") for k, t in enumerate(texts)]), forest).collect()}
+    for k, t in enumerate(texts):
+        assert [c.kind for c in got[k].candidates] == ["assigned"], t
+        assert got[k].candidates[0].start == (51 if k == 6 else 6), t
+    keys = [f"{name}=k3Jq9ZtR7wPb2LmX" for name in ("DB_PASSWORD", "userPassword", "password_prod")]
+    rows = secrets.scan(frame(spark, [(k, f"alpha {t} beta", "en", "src1") for k, t in enumerate(keys)]), forest).collect()
+    assert {r.redacted for r in rows} == {f"alpha {secrets.REPLACEMENT} beta"}
+    assert secrets.scan(frame(spark, [(1, "DB_PASSWORD=changeme", "en", "src1")]), forest).first().redacted == "DB_PASSWORD=changeme"
+
+
 def test_redact_keeps_columns(spark, forest):
     docs = frame(spark, [(1, "p password=b7db7aa4a5fcc78305 q", "en", None), (2, None, None, None), (2, None, None, None), (3, "clean", "en", "a")])
     out = secrets.redact(docs, forest)
