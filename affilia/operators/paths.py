@@ -66,16 +66,25 @@ def _unit_edges(edges: DataFrame) -> DataFrame:
     return both_ways(steps.select(name(F.col("k")).alias("a"), name(F.col("k") + 1).alias("b")))
 
 
-def _levels(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Per level (s, v, n_paths) of a breadth-first search from all sources at once."""
+def _levels(edges: DataFrame, sources: DataFrame, mult: DataFrame | None = None) -> list[DataFrame]:
+    """Per level (s, v, n_paths) of a breadth-first search from all sources at once.
+
+    mult: v (a string), mult of vertices that stand for several; each counts for as many paths.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     unit = _unit_edges(edges).checkpoint()
-    now = sources.select(F.col("vid").cast("string").alias("s"), F.col("vid").cast("string").alias("v"), F.lit(1.0).alias("n_paths")).checkpoint()
+
+    def weighed(level):
+        if mult is None:
+            return level
+        return level.join(mult, "v", "left").select("s", "v", (F.col("n_paths") * F.coalesce("mult", F.lit(1))).alias("n_paths"))
+
+    now = weighed(sources.select(F.col("vid").cast("string").alias("s"), F.col("vid").cast("string").alias("v"), F.lit(1.0).alias("n_paths"))).checkpoint()
     seen, levels = now.select("s", "v"), []
     while not now.isEmpty():
         levels.append(now)
         onward = now.join(unit, now["v"] == unit["a"]).groupBy("s", "b").agg(F.sum("n_paths").alias("n_paths")).withColumnRenamed("b", "v")
-        now = onward.join(seen, ["s", "v"], "left_anti").checkpoint()
+        now = weighed(onward.join(seen, ["s", "v"], "left_anti")).checkpoint()
         seen = seen.union(now.select("s", "v"))
     return levels
 
@@ -90,36 +99,40 @@ def frontier_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFr
     return out if out is not None else edges.sparkSession.createDataFrame([], "s long, v long, distance long, n_paths double")
 
 
-def frontier_betweenness(edges: DataFrame, counted: DataFrame) -> DataFrame:
-    """vid, score of ``betweenness`` as joins, for graphs of any size (without multiplicities)."""
-    unit = _unit_edges(edges)
-    targets = counted.select(F.col("vid").cast("string").alias("v"), F.lit(1.0).alias("hit"))
+def frontier_betweenness(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """vid, score of ``betweenness`` as joins, for graphs of any size."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    unit, classes = _unit_edges(edges), classes.select("vid", "mult", "counted").checkpoint()
+    mult = classes.where("mult <> 1").select(F.col("vid").cast("string").alias("v"), "mult")
+    known = classes.select(F.col("vid").cast("string").alias("v"), F.col("mult").cast("double").alias("mult"), F.when(F.col("counted"), F.col("mult")).otherwise(0).cast("double").alias("hit"))
     gains, after = None, None
-    for level in reversed(_levels(edges, counted)):
-        here = level.join(F.broadcast(targets) if counted.count() <= 1_000_000 else targets, "v", "left").select("s", "v", "n_paths", F.coalesce("hit", F.lit(0.0)).alias("hit"))
+    for level in reversed(_levels(edges, classes.where("counted"), mult)):
+        here = level.join(known, "v", "left").select("s", "v", "n_paths", F.coalesce("mult", F.lit(1.0)).alias("mult"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
         if after is None:
             rows = here.withColumn("gain", F.lit(0.0))
         else:
-            back = after.withColumnRenamed("v", "b").join(unit, "b").select("s", F.col("a").alias("v"), ((F.col("hit") + F.col("gain")) / F.col("n_paths")).alias("share"))
+            back = after.withColumnRenamed("v", "b").join(unit, "b").select("s", F.col("a").alias("v"), ((F.col("hit") + F.col("gain")) * F.col("mult") / F.col("n_paths")).alias("share"))
             back = back.groupBy("s", "v").agg(F.sum("share").alias("share"))
             rows = here.join(back, ["s", "v"], "left").withColumn("gain", F.coalesce(F.col("n_paths") * F.col("share"), F.lit(0.0))).drop("share")
         after = rows.checkpoint()
-        part = after.where("s <> v and instr(v, ':') = 0").select("v", "gain")
+        part = after.where("s <> v and instr(v, ':') = 0").select("s", "v", "gain")
         gains = part if gains is None else gains.union(part)
-    return gains.groupBy(F.col("v").cast("long").alias("vid")).agg(F.sum("gain").alias("score"))
+    if gains is None:
+        return classes.select("vid", F.lit(0.0).alias("score"))
+    of_source = classes.select(F.col("vid").cast("string").alias("s"), F.col("mult").alias("times"))
+    sums = gains.join(of_source, "s").groupBy(F.col("v").cast("long").alias("vid")).agg(F.sum(F.col("gain") * F.col("times")).alias("sum"))
+    return classes.join(sums, "vid", "left").select("vid", F.coalesce(F.col("sum") / F.col("mult"), F.lit(0.0)).alias("score"))
 
 
-def betweenness(edges: DataFrame, classes: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, classes: DataFrame, limit: int | None = None) -> DataFrame:
     """vid, score: ordered-pair sums of every class, per member.
 
     edges: a, b, length (whole numbers). classes: vid, mult, counted; counted
     classes are the sources and targets. Pairs inside a class aren't included.
     """
     edges = edges.select("a", "b", "length")
-    if edges.count() > limit:
-        if classes.where("mult <> 1").isEmpty():
-            return frontier_betweenness(edges, classes.where("counted"))
-        raise ValueError("graphs beyond the broadcast limit are to be given without multiplicities")
+    if edges.count() > (BROADCAST_EDGES if limit is None else limit):
+        return frontier_betweenness(edges, classes)
     spark = edges.sparkSession
     vids, x, y, length, mult, counted = _arrays(edges, classes)
     held = spark.sparkContext.broadcast((vids, PathGraph(len(vids), x, y, length, mult, counted)))

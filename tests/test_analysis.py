@@ -94,3 +94,16 @@ def test_shares_fall_with_the_budget(spark):
     for a, b in itertools.pairwise(out):
         assert a.included >= b.included and a.max_cc >= b.max_cc and a.removed_cost <= b.removed_cost
     assert rows.agg(F.countDistinct("stid")).first()[0] >= out[0].included
+
+
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    """Merged students and vertices that no source reaches, by joins; the sweep with the limit lowered."""
+    e = spark.createDataFrame([(0, 1, 1), (2, 1, 1), (2, 3, 1), (4, 3, 1), (6, 7, 1)], "a long, b long, length long").coalesce(1)
+    classes = spark.createDataFrame([(0, 2, True), (1, 1, True), (2, 3, True), (3, 1, False), (4, 1, True), (6, 2, False), (7, 1, False)], "vid long, mult long, counted boolean").coalesce(1)
+    near = {r.vid: r.score for r in analysis.paths.betweenness(e, classes).collect()}
+    monkeypatch.setattr(analysis.paths, "BROADCAST_EDGES", 0)
+    far = {r.vid: r.score for r in analysis.paths.betweenness(e, classes).collect()}
+    assert near[2] > 0 and far[7] == 0
+    close(far, near)
+    row = analysis.sweep(roster(spark, [(1, 1, 1), (2, 1, 1), (3, 9, 1)]), budgets(spark, 0)).first()
+    assert row.max_cc == 2 and abs(row.max_bc - 2 / 12) < 1e-8
