@@ -1,24 +1,31 @@
 """N-gram Jaccard join: exact links and components over sets of word shingles.
 
-The Jaccard distance is a metric, and the join runs over regions around
-pivots. Whole documents don't serve as the first pivots: unrelated documents
-are all at distance 1 from each other, so no distance tells them apart. The
-first regions therefore stand around *partial sets*. A document's shingles are
-dealt by hash into as many buckets as two linked sets of its size may differ
-in shingles, plus some; by the pigeonhole two linked documents agree on a
-whole bucket, and each one's region keys are its first such buckets. Buckets
-of very frequent shingles come last, so common passages make no crowded
-region. Sizes decide the number of buckets; a document whose size is within
-the threshold of the next size class is replicated into that class. Regions
-that share documents are joined into one region by connected components.
-
-Regions then join exactly. In a crowded one a pivot document is compared with
-all: those within the radius are linked to it and need no test among each
-other; the rest falls into rings one radius wide, and by the triangle
-inequality only documents of one ring or of neighbouring rings can link. Rings
-are regions again, joined recursively; what is small, or doesn't shrink any
-more, is dealt into pairs of bounded parts whose overlaps are counted exactly.
-A part pair returns a spanning forest of its links, never its pairs.
+The Jaccard distance is a metric, and documents are joined in regions around
+pivot documents. Unrelated documents are all at distance 1 from each other, so
+a pivot can tell apart only documents that have something in common with it.
+The first regions follow from that: a document's shingles are dealt by hash
+into as many buckets as two linked sets of its size may differ in shingles, plus
+some. By the pigeonhole two linked documents agree on a whole bucket, so each
+has the first such buckets as keys. The least document of a key is a pivot, and
+all documents that share a key with a pivot are its region; linked documents
+therefore meet in a region. Buckets of very frequent shingles come last, so
+common passages make no crowded region. Sizes decide the number of buckets; a
+document whose size is within the threshold of the next size class is
+replicated into that class.
+
+Inside a region distances are bounded from below by a metric of fixed size: the
+Jaccard distance of the documents' counts of shingles in ``BUCKETS`` hash
+buckets, which never exceeds the distance of the sets. A crowded region is
+split by more pivots into Voronoi cells in that metric: every document goes to
+its nearest pivot, and by the triangle inequality a linked document lies within
+twice the radius of that pivot's distance, so documents in this window are
+replicated into the cell. Cells are split again while they shrink; what is
+small, or dense beyond splitting, is dealt into pairs of bounded parts.
+
+Pairs are verified on the sets: first documents with their pivots; then, of what
+is still apart, a spanning forest of each part's candidates (nearest first);
+then all candidates that are still apart, within their parts. A part returns
+spanning forests, never its pairs.
 
 Defined results: equal sets are one class throughout; null or empty texts, and
 texts without words, have no shingles and link with nothing (each is its own
@@ -45,8 +52,9 @@ WORDS, NUM, DEN = 3, 90, 100
 #: Slots of the frequency sketch (bits), the count in one input partition that
 #: makes a slot worth reporting, and the share of documents that makes it frequent.
 SKETCH_BITS, LOCAL_COUNT, FREQUENT_SHARE, FREQUENT_LEAST = 22, 8, 1e-4, 24
-#: Documents of one part; a region of more than PIVOT_ROWS goes through pivots.
-PART_ROWS, PIVOT_ROWS, PIVOT_ROUNDS = 128, 512, 3
+#: Hash buckets of the bounding metric; documents of one part; a larger region than
+#: REGION_ROWS is split around about PIVOTS pivots; a cell that keeps this share of its region isn't split again.
+BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, STUCK_SHARE = 256, 128, 256, 32, 0.75
 _U = np.uint64
 
 
@@ -126,46 +134,222 @@ def _describe(words: int, num: int, den: int, bitmap):
     return run
 
 
-def _exploded_keys(shared):
-    """(node, key) of the keys whose slot is shared, from the rows' key lists."""
+_PAIR = "a long, b long"
+_POINT = "region long, node long, comp long, size long, counts binary"
+_CELL = f"{_POINT}, home boolean, within long"
 
+
+def _exploded_keys(batches):
+    """(key, node) from the rows' key lists."""
+    for batch in batches:
+        nodes, keys = batch.column("f1").to_numpy(), batch.column("keys")
+        yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(nodes, np.diff(keys.offsets.to_numpy())))], ["key", "node"])
+
+
+def _in_bitmap(column: str, wanted):
     def run(batches):
         for batch in batches:
-            nodes, keys = batch.column("f1").to_numpy(), batch.column("keys")
-            flat = keys.flatten().to_numpy()
-            rows = np.repeat(nodes, np.diff(keys.offsets.to_numpy()))
-            inside = bitmaps.has(shared.value, flat >> 32)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[inside]), pa.array(flat[inside])], ["node", "key"])
+            yield batch.filter(pa.array(bitmaps.has(wanted.value, batch.column(column).to_numpy())))
 
     return run
 
 
+def pivot_regions(rows: DataFrame) -> DataFrame:
+    """(pivot, node): every node with the least node of each key that it shares."""
+    entries = rows.select("f1", "keys").mapInArrow(_exploded_keys, "key long, node long")
+    shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_high")).where("pivot < _high").select("key", "pivot").checkpoint()
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmaps.build(shared.select("key")))
+    entries = entries.mapInArrow(_in_bitmap("key", wanted), "key long, node long")
+    return entries.join(shared, "key").where("node <> pivot").select("pivot", "node").distinct()
+
+
 def _collect_sets(words: int, wanted):
     """doc_id, fingerprint and set of the texts whose id the bitmap has."""
+    names = ["doc_id", "f1", "f2", "size", "set"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(bitmaps.has(wanted.value, batch.column(0).to_numpy())))
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[r], *_fingerprint(found), found.tobytes()) for r, found in _sets(batch, words)]
+            ids, rows, held = batch.column(0).to_pylist(), [], 0
+            for r, found in _sets(batch, words):
+                rows.append((ids[r], *_fingerprint(found), len(found), found.tobytes()))
+                held += 8 * len(found)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "f1", "f2", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return run
+
+
+def bucket_counts(found: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall into each bucket."""
+    return np.bincount((found & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+
+
+def _points(batches):
+    for batch in batches:
+        counts = [bucket_counts(np.frombuffer(s.as_py(), _U)).tobytes() for s in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(counts, pa.binary())], ["node", "size", "counts"])
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array([np.frombuffer(c.as_py(), np.uint32) for c in column]).reshape(-1, BUCKETS)
+
+
+def most_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of every set of one with every set of two."""
+    out = np.empty((len(one), len(two)), np.int64)
+    for at in range(0, len(one), 16):
+        out[at : at + 16] = np.minimum(one[at : at + 16, None], two[None]).sum(-1)
+    return out
+
+
+def _may_link(num: int, den: int):
+    """Pairs (a, b) whose bucket counts allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = _matrix(batch.column("counts")), _matrix(batch.column("pivot_counts"))
+            common = np.minimum(x, y).sum(1, dtype=np.int64)
+            both = batch.column("size").to_numpy() + batch.column("pivot_size").to_numpy()
+            keep = pa.array(den * common >= num * (both - common))
+            yield pa.RecordBatch.from_arrays([batch.column("pivot").filter(keep), batch.column("node").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _to_pivot(num: int, den: int):
-    """The ring of every document around its region's pivot; ring 0 is linked to it."""
+def _linked(num: int, den: int):
+    """The pairs (a, b) that link, decided on their sets."""
 
     def run(batches):
         for batch in batches:
-            rings = []
-            for one, two in zip(batch.column("set"), batch.column("pivot_set")):
-                a, b = np.frombuffer(one.as_py(), _U), np.frombuffer(two.as_py(), _U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                union = len(a) + len(b) - both
-                rings.append(0 if den * both >= num * union else max(1, -(-(union - both) * den // (union * (den - num))) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("region", "rep", "set", "pivot")] + [pa.array(rings, pa.int32())], ["region", "rep", "set", "pivot", "ring"])
+            keep = []
+            for one, two in zip(batch.column("set"), batch.column("set_b")):
+                x, y = np.frombuffer(one.as_py(), _U), np.frombuffer(two.as_py(), _U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return second.join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "b", "set", "set_b").mapInArrow(_linked(num, den), _PAIR)
+
+
+def _split(num: int, den: int):
+    """Voronoi cells of one part of a region around the region's pivots."""
+    window = 2 * (den - num) / den + 1e-9
+
+    def run(table):
+        is_pivot = np.array(table.column("pivot"))
+        rows, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
+        if not len(rows):
+            return table.slice(0, 0).select(["region", "node", "comp", "size", "counts"]).append_column("home", pa.array([], pa.bool_())).append_column("within", pa.array([], pa.int64()))
+        counts, size, node = _matrix(table.column("counts")), table.column("size").to_numpy(), table.column("node").to_numpy()
+        pivots = pivots[np.argsort(node[pivots])]
+        common = most_common(counts[rows], counts[pivots])
+        distance = 1 - common / (size[rows, None] + size[pivots] - common)
+        home = distance.argmin(1)
+        row, cell = np.nonzero(distance <= distance.min(1)[:, None] + window)
+        taken = table.take(pa.array(rows[row]))
+        with np.errstate(over="ignore"):
+            region = mixed(taken.column("region").to_numpy().view(_U) * _U(_BASE) + node[pivots][cell].view(_U)).view(np.int64)
+        found = [pa.array(region), *(taken.column(c) for c in ("node", "comp", "size", "counts")), pa.array(home[row] == cell), taken.column("n")]
+        return pa.table(dict(zip(("region", "node", "comp", "size", "counts", "home", "within"), found)))
+
+    return run
+
+
+def _cells(regions: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions (with n, their rows) split around pivots that a hash chooses."""
+    chosen = F.pmod(F.xxhash64("node", "region"), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
+    pivots = regions.where(chosen).dropDuplicates(["region", "node"])
+    parts = F.ceil(F.col("n") / REGION_ROWS).cast("int")
+    columns = ["region", "n", "node", "comp", "size", "counts"]
+    members = regions.select(*columns, F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    everywhere = pivots.select(*columns, F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    # a region without a chosen pivot is its own cell
+    bare = regions.join(pivots.select("region").distinct(), "region", "left_anti").select(*columns[:1], *columns[2:], F.lit(True).alias("home"), F.col("n").alias("within"))
+    split = members.join(pivots.select("region").distinct(), "region", "left_semi").union(everywhere)
+    return split.groupBy("region", "part").applyInArrow(_split(num, den), _CELL).union(bare)
+
+
+def _open(points: DataFrame) -> DataFrame:
+    """points of the regions that hold more than one component, with n, the region's rows."""
+    found = points.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("region", "n")
+    return points.join(found, "region")
+
+
+def _parted(leaves: DataFrame) -> DataFrame:
+    """leaves with i, j (parts) and side: every row in all pairs of its part with another.
+
+    A component that fills parts of its own isn't compared with itself.
+    """
+    sizes = leaves.groupBy("region", "comp").agg(F.count("*").alias("_m"))
+    sizes = sizes.withColumn("_own", F.when(F.col("_m") >= PART_ROWS, F.col("comp")))
+    groups = sizes.groupBy("region", "_own").agg(F.ceil(F.sum("_m") / PART_ROWS).cast("int").alias("_parts"))
+    parts = groups.select("region", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_k"))
+    parts = parts.groupBy("region").agg(F.collect_list(F.struct(F.xxhash64("_own", "_k").alias("part"), F.col("_own").alias("own"))).alias("_all"))
+    groups = groups.select(F.col("region").alias("_r"), F.col("_own").alias("_g"), "_parts")
+    placed = leaves.join(sizes.select("region", "comp", "_own"), ["region", "comp"]).join(groups, F.col("_own").eqNullSafe(F.col("_g")) & (F.col("region") == F.col("_r")))
+    placed = placed.withColumn("_part", F.xxhash64("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")))
+    dealt = placed.join(parts, "region").withColumn("_o", F.explode(F.filter("_all", lambda q: q["own"].isNull() | ~q["own"].eqNullSafe(F.col("_own")))))
+    i, j = F.least("_part", "_o.part"), F.greatest("_part", "_o.part")
+    return dealt.select("region", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise((F.col("_part") == j).cast("int")).alias("side"), "node", "comp", "size", "counts", "home")
+
+
+def _candidates(table, num: int, den: int):
+    """Rows x < y of a pair of parts that may link and are still apart, and their bounds."""
+    side, home, comp, size = (np.array(table.column(c)) for c in ("side", "home", "comp", "size"))
+    counts = _matrix(table.column("counts"))
+    common = most_common(counts, counts)
+    fits = np.triu(den * common >= num * (size[:, None] + size - common), 1)
+    fits &= (home[:, None] | home) & (comp[:, None] != comp)
+    if len(side) and side.min() >= 0:  # sides 0 and 1: only across
+        fits &= side[:, None] != side
+    x, y = np.nonzero(fits)
+    return x, y, 1 - common[x, y] / (size[x] + size[y] - common[x, y])
+
+
+def _nearest_forest(num: int, den: int):
+    """A spanning forest of the candidates over the components, nearest pairs first."""
+
+    def run(table):
+        x, y, distance = _candidates(table, num, den)
+        node = table.column("node").to_numpy()
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1].tolist()
+        root = list(range(len(comp)))
+
+        def find(a):
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            return a
+
+        kept = []
+        for k in np.argsort(distance, kind="stable").tolist():
+            a, b = find(comp[x[k]]), find(comp[y[k]])
+            if a != b:
+                root[a] = b
+                kept.append(k)
+        one, two = node[x[kept]], node[y[kept]]
+        return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+    return run
+
+
+def _still_apart(num: int, den: int):
+    """The rows of a pair of parts that are in a candidate."""
+
+    def run(table):
+        x, y, _ = _candidates(table, num, den)
+        return table.take(pa.array(np.union1d(x, y))).select(["region", "i", "j", "side", "node", "comp", "home"])
 
     return run
 
@@ -192,70 +376,59 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _join_parts(num: int, den: int):
+    """Links of a pair of parts, decided on the sets, as a spanning forest."""
+
     def run(table):
-        side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+        side, node, comp, home = (np.array(table.column(c)) for c in ("side", "node", "comp", "home"))
         sets = [np.frombuffer(s.as_py(), _U) for s in table.column("set")]
         both = overlaps(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
         x, y = np.nonzero(np.triu(both, 1))
         common = both[x, y].astype(np.int64)
-        linked = den * common >= num * (sizes[x] + sizes[y] - common)
-        if side.min() >= 0:  # sides 0 and 1: only across
+        linked = (den * common >= num * (sizes[x] + sizes[y] - common)) & (comp[x] != comp[y]) & (home[x] | home[y])
+        if side.min() >= 0:
             linked &= side[x] != side[y]
         x, y = x[linked], y[linked]
-        root = forest(len(rep), x, y, rep) if len(x) else np.arange(len(rep))
-        moved = rep[root] != rep
-        return pa.table({"rep": rep[moved], "root": rep[root[moved]]})
+        root = forest(len(node), x, y, node) if len(x) else np.arange(len(node))
+        moved = node[root] != node
+        return pa.table({"a": pa.array(node[root[moved]], pa.int64()), "b": pa.array(node[moved], pa.int64())})
 
     return run
 
 
-_LINKS = "rep long, root long"
-
-
-def _all_pairs(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """Links inside every region, by pairs of bounded parts. regions: region, n, rep, set."""
-    dealt = regions.where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    i, j = F.least("part", "o"), F.greatest("part", "o")
-    dealt = dealt.select("region", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise((F.col("part") == j).cast("int")).alias("side"), "rep", "set")
-    return dealt.groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _LINKS)
-
-
-def _across(rings: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between neighbouring rings, by pairs of bounded parts of either."""
-    inner = rings.select("region", "ring", "rep", "set", F.lit(0).alias("side"))
-    outer = rings.where("ring > 0").select("region", (F.col("ring") - 1).alias("ring"), "rep", "set", F.lit(1).alias("side"))
-    both = inner.union(outer)
-    sizes = both.groupBy("region", "ring").agg(F.count(F.when(F.col("side") == 0, 1)).alias("n0"), F.count(F.when(F.col("side") == 1, 1)).alias("n1")).where("n0 > 0 and n1 > 0")
-    parts = sizes.select("region", "ring", F.ceil(F.col("n0") / PART_ROWS).cast("int").alias("p0"), F.ceil(F.col("n1") / PART_ROWS).cast("int").alias("p1"))
-    dealt = both.join(parts, ["region", "ring"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1"))).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p0")) - 1)))
-    i, j = F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("o")), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("part"))
-    return dealt.select("region", "ring", i.alias("i"), j.alias("j"), "side", "rep", "set").groupBy("region", "ring", "i", "j").applyInArrow(_join_parts(num, den), _LINKS)
-
-
-def region_links(regions: DataFrame, num: int, den: int, pivot_rows: int = PIVOT_ROWS, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Links (rep, root) that connect what is linked; regions: region, n (its documents), rep, set."""
-    found = []
-    for turn in range(rounds):
-        large = regions.where(F.col("n") > pivot_rows)
-        chosen = cut(large.groupBy("region").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot")))
-        if chosen.isEmpty():
-            break
-        pivots = chosen.join(large.select("region", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), ["region", "pivot"]).dropDuplicates(["region"])
-        rings = cut(large.join(pivots, "region").select("region", "rep", "set", "pivot", "pivot_set").mapInArrow(_to_pivot(num, den), "region long, rep long, set binary, pivot long, ring int"))
-        found.append(rings.where("ring = 0 and rep <> pivot").select("rep", F.col("pivot").alias("root")))
-        found.append(cut(_across(rings, num, den)))
-        inner = rings.where("ring > 0")
-        sizes = inner.groupBy("region", "ring").agg(F.count("*").alias("n"))
-        inner = inner.join(sizes, ["region", "ring"]).select(F.xxhash64("region", "ring", F.lit(turn)).alias("region"), "n", "rep", "set")
-        regions = cut(regions.where(F.col("n") <= pivot_rows).select("region", "n", "rep", "set").union(inner))
-    found.append(_all_pairs(regions, num, den))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+def _with_components(points: DataFrame, links: DataFrame) -> DataFrame:
+    """points whose comp is the component of their node under the links."""
+    found = star_components(links).select(F.col("vid").alias("node"), "comp_id")
+    return points.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp_id", "node")).drop("comp_id")
+
+
+def region_links(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect whatever links inside a region.
+
+    stars: pivot, node (a pivot is in its own region without a row); sets: node, size, set.
+    """
+    points = sets.mapInArrow(_points, "node long, size long, counts binary")
+    own = points.toDF("pivot", "pivot_size", "pivot_counts")
+    tested = stars.join(points, "node").join(own, "pivot").mapInArrow(_may_link(num, den), _PAIR)
+    links = cut(_verified(tested, sets, num, den))
+
+    members = stars.select(F.col("pivot").alias("region"), "node").union(stars.select("pivot", "pivot").distinct())
+    regions = cut(_open(_with_components(members, links)).join(points, "node").select("region", "node", "comp", "size", "counts", F.lit(True).alias("home"), "n"))
+    leaves = regions.where(F.col("n") <= REGION_ROWS).drop("n")
+    crowded = regions.where(F.col("n") > REGION_ROWS)
+    while not crowded.isEmpty():
+        cells = cut(_open(_cells(crowded, num, den)))
+        done = (F.col("n") <= REGION_ROWS) | (F.col("n") > F.col("within") * STUCK_SHARE)
+        leaves = leaves.union(cells.where(done).drop("n", "within"))
+        crowded = cells.where(~done).drop("within")
+    leaves = cut(leaves)
+
+    parted = lambda points: _parted(_open(points).drop("n")).groupBy("region", "i", "j")
+    more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), sets, num, den)
+    links = cut(links.union(more))
+    apart = parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean")
+    rest = apart.join(sets.select("node", "set"), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
+    return links.union(rest)
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -265,24 +438,22 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     sets of ``words``-word shingles.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(frequent_slots(texts.select("text"), words))
-    rows = cut(texts.mapInArrow(_describe(words, num, den, bitmap), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
     send = docs.sparkSession.sparkContext.broadcast
-    slots = rows.select(F.explode(F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))).alias("slot"))
-    shared_slots = send(bitmaps.build(slots.groupBy("slot").count().where("count > 1").select(F.col("slot").cast("long"))))
-    keys = rows.select("f1", "keys").mapInArrow(_exploded_keys(shared_slots), "node long, key long").distinct()
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    regions = star_components(keys.join(shared, "key").where("node <> low").select("node", "low")).select(F.col("vid").alias("f1"), F.col("comp_id").alias("region"))
+    bitmap = send(frequent_slots(texts.select("text"), words))
+    rows = cut(texts.mapInArrow(_describe(words, num, den, bitmap), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = cut(classes.join(regions, "f1").select("region", "rep", "f1", "f2"))
-    members = members.join(members.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region")
-    wanted = send(bitmaps.build(members.select("rep")))
-    sets = texts.where("doc_id is not null").mapInArrow(_collect_sets(words, wanted), "doc_id long, f1 long, f2 long, set binary")
-    sets = members.withColumnRenamed("rep", "doc_id").join(sets, ["doc_id", "f1", "f2"]).select("region", "n", F.col("doc_id").alias("rep"), "set")
-    components = star_components(region_links(cut(sets), num, den))
-    linked = classes.join(components.withColumnRenamed("vid", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp_id", "rep").alias("component_id"))
+    stars = cut(pivot_regions(rows))
+    nodes = stars.select("node").union(stars.select("pivot")).distinct().withColumnRenamed("node", "f1")
+    named = cut(classes.join(nodes, "f1").select(F.col("rep").alias("doc_id"), "f1", "f2"))
+    wanted = send(bitmaps.build(named.select("doc_id")))
+    sets = texts.where("doc_id is not null").mapInArrow(_collect_sets(words, wanted), "doc_id long, f1 long, f2 long, size long, set binary")
+    sets = cut(sets.join(named, ["doc_id", "f1", "f2"]).select(F.col("f1").alias("node"), "size", "set").dropDuplicates(["node"]))
+    components = star_components(region_links(stars, sets, num, den)).withColumnRenamed("vid", "f1")
+    placed = classes.join(components, "f1", "left").withColumn("comp_id", F.coalesce("comp_id", "f1"))
+    least = placed.groupBy("comp_id").agg(F.min("rep").alias("component_id"))
+    placed = placed.join(least, "comp_id").select("f1", "f2", "n_shingles", "component_id")
     plain = rows.select("doc_id", "n_shingles", "f1", "f2")
-    out = plain.where("n_shingles > 0 and doc_id is not null").join(linked, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    out = plain.where("n_shingles > 0 and doc_id is not null").join(placed, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     return out.union(plain.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

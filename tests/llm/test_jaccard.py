@@ -54,39 +54,61 @@ def test_join(spark, k, num, den, seed):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, k, num, den)
 
 
-def test_regions_through_pivots(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PART_ROWS", 7)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_crowded_regions(spark, monkeypatch, seed):
+    """Cells, parts and both later passes, forced by small bounds."""
+    for name, value in (("PART_ROWS", 7), ("REGION_ROWS", 12), ("PIVOTS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(260):  # chains of small changes: most documents are too far from their pivot
+        w = words(random.Random(i % 2), 60).split() if i < 40 or rng.random() < 0.1 else rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(len(w))] = f"n{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w), "en", "a"))
+    got = jaccard.join(frame(spark, rows), 1, 80, 100).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 1, 80, 100)
+
+
+def test_cells_keep_links_together(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_ROWS", 10)
     rng = np.random.default_rng(5)
-    base = rng.integers(1, 2**62, 60, dtype=np.uint64)
+    bases = [rng.integers(1, 2**62, 60, dtype=np.uint64) for _ in range(6)]
     sets = []
-    for _ in range(120):
-        s = base.copy()
+    for k in range(240):
+        s = bases[k % 6].copy()
         at = rng.integers(0, 60, rng.integers(0, 9))
         s[at] = rng.integers(1, 2**62, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
-    df = spark.createDataFrame([(1, 120, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "region long, n long, rep long, set binary")
-    edges = jaccard.region_links(df, 80, 100, pivot_rows=10).collect()
-    label = list(range(120))
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for r in edges:
-        a, b = sets[r.rep], sets[r.root]
-        label[max(find(r.rep), find(r.root))] = min(find(r.rep), find(r.root))
-    exact = list(range(120))
-    changed = True
-    while changed:
-        changed = False
-        for a in range(120):
-            for b in range(a):
-                both = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and exact[a] != exact[b]:
-                    exact[a] = exact[b] = min(exact[a], exact[b])
-                    changed = True
-    assert [find(x) for x in range(120)] == exact
+    rows = [(1, 240, i, i, len(s), bytearray(jaccard.bucket_counts(s).tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "region long, n long, node long, comp long, size long, counts binary")
+    cells = {}
+    for r in jaccard._cells(df, 90, 100).collect():
+        cells.setdefault(r.region, {})[r.node] = r.home
+    assert len(cells) > 5 and max(map(len, cells.values())) < 240
+    assert sorted(n for c in cells.values() for n, home in c.items() if home) == list(range(240))
+    for a in range(240):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                assert any(a in c and b in c and (c[a] or c[b]) for c in cells.values())
+
+
+def test_bounds():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 400, n, dtype=np.uint64)) for n in (1, 7, 90, 200)]
+    counts = np.array([jaccard.bucket_counts(s) for s in sets])
+    bounds = jaccard.most_common(counts, counts)
+    assert all(bounds[i, j] >= len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(4))
+
+
+def test_many_repeated_rows(spark):
+    base = words(random.Random(8), 80)
+    near = base.split()
+    near[3] = "other"
+    docs = spark.range(5000).selectExpr("id % 50 as doc_id", f"'{base}' as text").union(spark.createDataFrame([(900, " ".join(near))], "doc_id long, text string"))
+    got = jaccard.join(docs, 3, 90, 100).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(i, 0, 100) for i in range(50)} | {(900, 0, 1)}
 
 
 def test_keys_meet_whenever_sets_link():
