@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: 2**BITS bits are 8 MB.
 BITS = 26
 
@@ -42,4 +44,4 @@ def rows_in(df: DataFrame, column: str, words, wanted: bool = True) -> DataFrame
             inside = has(words.value, pc.fill_null(at, 0).to_numpy(zero_copy_only=False)) & ~pc.is_null(at).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(inside == wanted))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)

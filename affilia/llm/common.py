@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import ensure_checkpoint_dir
 
 #: Longest text slice (bytes) that the Arrow kernels vectorise over at once.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 18
+#: Spark's setting for the bytes of an Arrow batch, its default, and what these operators set in the default's place.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +26,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over small batches; after each partition the worker returns freed memory to the system.
+
+    A batch counts several times in an executor (JVM, worker, strings, results);
+    the session's own batch size, where one is set, is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(over, schema)
+
+
 def held_out(doc_id="doc_id"):
     """The fold that no model may learn from: crc32(doc_id as text) mod 3 = 1."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))

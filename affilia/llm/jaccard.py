@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_components
 from . import bitmaps
-from .common import cut, slices
+from .common import cut, mapped, slices
 from .ngrams import _BASE, mixed, shingle_sets
 from .vectors import forest
 
@@ -79,7 +79,7 @@ def _count_frequent(words: int):
 def frequent_slots(texts: DataFrame, words: int) -> np.ndarray:
     """Bitmap of fixed size over the hash slots that many documents fill; it only orders buckets."""
     least = max(FREQUENT_LEAST, FREQUENT_SHARE * texts.count())
-    counts = texts.mapInArrow(_count_frequent(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = mapped(texts, _count_frequent(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bits = counts.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
     out = np.zeros(1 << SKETCH_BITS - 6, np.int64)
     for row in bits.toLocalIterator():
@@ -139,28 +139,27 @@ _POINT = "region long, node long, comp long, size long, counts binary"
 _CELL = f"{_POINT}, home boolean, within long"
 
 
-def _exploded_keys(batches):
-    """(key, node) from the rows' key lists."""
-    for batch in batches:
-        nodes, keys = batch.column("f1").to_numpy(), batch.column("keys")
-        yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(nodes, np.diff(keys.offsets.to_numpy())))], ["key", "node"])
-
+def _exploded_keys(wanted=None):
+    """(key, node) from the rows' key lists, of keys in the bitmap."""
 
-def _in_bitmap(column: str, wanted):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(bitmaps.has(wanted.value, batch.column(column).to_numpy())))
+            nodes, keys = batch.column("f1").to_numpy(), batch.column("keys")
+            flat, rows = keys.flatten(), pa.array(np.repeat(nodes, np.diff(keys.offsets.to_numpy())))
+            if wanted is not None:
+                inside = pa.array(bitmaps.has(wanted.value, flat.to_numpy()))
+                flat, rows = flat.filter(inside), rows.filter(inside)
+            yield pa.RecordBatch.from_arrays([flat, rows], ["key", "node"])
 
     return run
 
 
 def pivot_regions(rows: DataFrame) -> DataFrame:
     """(pivot, node): every node with the least node of each key that it shares."""
-    entries = rows.select("f1", "keys").mapInArrow(_exploded_keys, "key long, node long")
-    shared = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_high")).where("pivot < _high").select("key", "pivot").checkpoint()
+    lists, entry = rows.select("f1", "keys"), "key long, node long"
+    shared = mapped(lists, _exploded_keys(), entry).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_high")).where("pivot < _high").select("key", "pivot").checkpoint()
     wanted = rows.sparkSession.sparkContext.broadcast(bitmaps.build(shared.select("key")))
-    entries = entries.mapInArrow(_in_bitmap("key", wanted), "key long, node long")
-    return entries.join(shared, "key").where("node <> pivot").select("pivot", "node").distinct()
+    return mapped(lists, _exploded_keys(wanted), entry).join(shared, "key").where("node <> pivot").select("pivot", "node").distinct()
 
 
 def _collect_sets(words: int, wanted):
@@ -237,9 +236,18 @@ def _linked(num: int, den: int):
     return run
 
 
+def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of sets that joins on ``nodes`` (one column) need, and few others."""
+    wanted = sets.sparkSession.sparkContext.broadcast(bitmaps.build(nodes))
+    return bitmaps.rows_in(sets, "node", wanted)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    pairs = cut(pairs)
+    sets = _sets_of(sets, pairs.select("a").union(pairs.select("b")))
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return second.join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "b", "set", "set_b").mapInArrow(_linked(num, den), _PAIR)
+    return mapped(second.join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "b", "set", "set_b"), _linked(num, den), _PAIR)
 
 
 def _split(num: int, den: int):
@@ -407,9 +415,9 @@ def region_links(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     stars: pivot, node (a pivot is in its own region without a row); sets: node, size, set.
     """
-    points = sets.mapInArrow(_points, "node long, size long, counts binary")
+    points = cut(mapped(sets, _points, "node long, size long, counts binary"))
     own = points.toDF("pivot", "pivot_size", "pivot_counts")
-    tested = stars.join(points, "node").join(own, "pivot").mapInArrow(_may_link(num, den), _PAIR)
+    tested = mapped(stars.join(points, "node").join(own, "pivot"), _may_link(num, den), _PAIR)
     links = cut(_verified(tested, sets, num, den))
 
     members = stars.select(F.col("pivot").alias("region"), "node").union(stars.select("pivot", "pivot").distinct())
@@ -426,8 +434,8 @@ def region_links(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     parted = lambda points: _parted(_open(points).drop("n")).groupBy("region", "i", "j")
     more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), sets, num, den)
     links = cut(links.union(more))
-    apart = parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean")
-    rest = apart.join(sets.select("node", "set"), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
+    apart = cut(parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean"))
+    rest = apart.join(_sets_of(sets, apart.select("node")).select("node", "set"), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
     return links.union(rest)
 
 
@@ -440,14 +448,16 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     send = docs.sparkSession.sparkContext.broadcast
     bitmap = send(frequent_slots(texts.select("text"), words))
-    rows = cut(texts.mapInArrow(_describe(words, num, den, bitmap), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
+    rows = cut(mapped(texts, _describe(words, num, den, bitmap), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     stars = cut(pivot_regions(rows))
     nodes = stars.select("node").union(stars.select("pivot")).distinct().withColumnRenamed("node", "f1")
     named = cut(classes.join(nodes, "f1").select(F.col("rep").alias("doc_id"), "f1", "f2"))
     wanted = send(bitmaps.build(named.select("doc_id")))
-    sets = texts.where("doc_id is not null").mapInArrow(_collect_sets(words, wanted), "doc_id long, f1 long, f2 long, size long, set binary")
-    sets = cut(sets.join(named, ["doc_id", "f1", "f2"]).select(F.col("f1").alias("node"), "size", "set").dropDuplicates(["node"]))
+    sets = mapped(texts.where("doc_id is not null"), _collect_sets(words, wanted), "doc_id long, f1 long, f2 long, size long, set binary")
+    named = named.toDF("_rep", "f1", "_f2")  # joined by f1 alone, so that one exchange serves the join and the removal of repeated rows
+    sets = sets.join(named, "f1").where("doc_id = _rep and f2 = _f2").select(F.col("f1").alias("node"), "size", "set")
+    sets = cut(sets.dropDuplicates(["node"]))
     components = star_components(region_links(stars, sets, num, den)).withColumnRenamed("vid", "f1")
     placed = classes.join(components, "f1", "left").withColumn("comp_id", F.coalesce("comp_id", "f1"))
     least = placed.groupBy("comp_id").agg(F.min("rep").alias("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, mapped
 from .ngrams import SLOTS, gram_counts
 
 #: Most rows that the weights are fitted on.
@@ -101,13 +101,13 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) ->
     training = docs.where(~held_out() & F.col("lang").isNotNull())
     order = F.xxhash64("doc_id")
     chosen = training.select("doc_id", order.alias("_h")).orderBy("_h", "doc_id").limit(train_rows).select("doc_id").distinct()
-    frequencies = dict(training.select("text").mapInArrow(_document_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False))
+    frequencies = dict(mapped(training.select("text"), _document_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False))
     rows_all = frequencies.pop(-1, 0)
     df = np.zeros(SLOTS)
     if frequencies:
         df[list(frequencies)] = list(frequencies.values())
     idf = np.log((1 + rows_all) / (1 + df)) + 1
-    rows = training.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, used binary, counts binary").toArrow().to_pylist()
+    rows = mapped(training.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text"), _features, "doc_id long, lang string, used binary, counts binary").toArrow().to_pylist()
     rows = sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B1 & 0xFFFFFFFF, r["doc_id"], r["used"], r["lang"]))[: 2 * train_rows]
     names = sorted({r["lang"] for r in rows})
     data = []
@@ -140,4 +140,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 langs[known[k]], scores[known[k]] = names[best], 1 / np.exp(logits - logits[best]).sum()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")), run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, open_b
 
     docs: doc_id, text. Only documents longer than ``capacity`` tokens are cut.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(capacity, end_id, open_bins, vocabulary), PIECES)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pack_partition(capacity, end_id, open_bins, vocabulary), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out
+from .common import held_out, mapped
 from .ngrams import SLOTS, gram_counts, word_hashes
 
 #: Most labelled rows that the model is fitted on.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     order = F.xxhash64("doc_id")
     chosen = known.select(order.alias("_h"), "doc_id", "quality").orderBy("_h", "doc_id", "quality").limit(train_rows).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, used binary").toArrow().to_pylist()
+    rows = mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("quality", "text"), _features, "quality int, used binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["used"], r["quality"]))
     y = np.array([r["quality"] for r in rows])
     found = [np.frombuffer(r["used"], np.int32) for r in rows]
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: dict, keep: str = "") -> DataFrame:
     schema = StructType.fromDDL("doc_id long, held_out boolean, score double, predicted int")
     if keep:
         schema = schema.add(keep, docs.schema[keep].dataType)
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"), *extra).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"), *extra), run, schema)
 
 
 def rejected_removed(docs: DataFrame, model: dict) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .common import cut, slices
+from .common import cut, mapped, slices
 from .ngrams import mixed, powers, prefix_sums
 
 LENGTH, ANCHOR = 400, 64
@@ -292,20 +292,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most:
     every = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")
     send = docs.sparkSession.sparkContext.broadcast
-    rows = cut(texts.mapInArrow(_describe(length, anchor), "doc_id long, n_bytes long, sha binary, node long, grams array<long>, times array<long>"))
+    rows = cut(mapped(texts, _describe(length, anchor), "doc_id long, n_bytes long, sha binary, node long, grams array<long>, times array<long>"))
     copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
     counts = rows.select(F.explode(F.arrays_zip("grams", "times")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.times").alias("n")).where("n > 1").checkpoint()
     shared = send(bitmaps.build(counts.select("gram")))
     hot = counts.where(F.col("n") > most)
     crowded = None if hot.isEmpty() else send(bitmaps.build(hot.select("gram")))
     blocks = max(1, -(-(counts.where(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0) // BLOCK_CONTEXTS))
-    marks = _expanded(texts.select("text").mapInArrow(_contexts(length, anchor, shared, crowded, blocks), _CONTEXT), blocks, length, anchor)
+    marks = _expanded(mapped(texts.select("text"), _contexts(length, anchor, shared, crowded, blocks), _CONTEXT), blocks, length, anchor)
     if crowded is not None:
-        marks = marks.union(_crowded(cut(texts.select("text").mapInArrow(_contexts(length, anchor, crowded, None, 1), _CONTEXT)), length, anchor, most))
+        marks = marks.union(_crowded(cut(mapped(texts.select("text"), _contexts(length, anchor, crowded, None, 1), _CONTEXT)), length, anchor, most))
     per_text = cut(marks.groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("marks")))
     partly = per_text.join(rows.select("node").join(copies, "node").where("copies = 1").select("node"), "node", "left_semi")
     asked = send(bitmaps.build(partly.select("node")))
-    spans = texts.select("text").mapInArrow(_with_node(asked), "node long, text string").join(partly, "node").select("node", "text", "marks").mapInArrow(_remove, "node long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
+    spans = mapped(mapped(texts.select("text"), _with_node(asked), "node long, text string").join(partly, "node").select("node", "text", "marks"), _remove, "node long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
     out = rows.select("doc_id", "n_bytes", "sha", "node").join(copies, "node").join(spans, "node", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     zero = F.lit(0).cast("long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import star_components
-from .common import cut
+from .common import cut, mapped
 
 COSINE = 0.98
 #: Share of the pairs at the threshold that the tables, and the counts, may miss.
@@ -179,7 +179,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block_rows: i
     layouts = classes.groupBy("label").count()
     sizes = F.create_map(*[x for k in range(64) for x in (F.lit(k), F.struct(*[F.lit(n).alias(c) for c, n in zip(("width", "tables"), table_layout(1 << k, cosine, block_rows))]))])
     layouts = layouts.select("label", F.element_at(sizes, F.ceil(F.log2("count")).cast("int")).alias("_l")).select("label", "_l.width", "_l.tables")
-    dealt = cut(classes.join(layouts, "label").select("label", "rep", "n", "width", "tables", "v").mapInArrow(_deal(cosine), "label long, dims int, tab int, cell long, rep long, n long, width int, v array<double>"))
+    dealt = cut(mapped(classes.join(layouts, "label").select("label", "rep", "n", "width", "tables", "v"), _deal(cosine), "label long, dims int, tab int, cell long, rep long, n long, width int, v array<double>"))
     block = ["label", "dims", "tab", "cell"]
     parts = dealt.groupBy(*block).count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
     dealt = dealt.join(parts, block).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
