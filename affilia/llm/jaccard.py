@@ -54,7 +54,7 @@ WORDS, NUM, DEN = 3, 90, 100
 SKETCH_BITS, LOCAL_COUNT, FREQUENT_SHARE, FREQUENT_LEAST = 22, 8, 1e-4, 24
 #: Hash buckets of the bounding metric; documents of one part; a larger region than
 #: REGION_ROWS is split around about PIVOTS pivots; a cell that keeps this share of its region isn't split again.
-BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, STUCK_SHARE = 256, 128, 256, 32, 0.75
+BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, STUCK_SHARE = 512, 128, 256, 32, 0.75
 _U = np.uint64
 
 
@@ -135,8 +135,7 @@ def _describe(words: int, num: int, den: int, bitmap):
 
 
 _PAIR = "a long, b long"
-_POINT = "region long, node long, comp long, size long, counts binary"
-_CELL = f"{_POINT}, home boolean, within long"
+_CELL = "region long, node long, comp long, home boolean, within long"
 
 
 def _exploded_keys(wanted=None):
@@ -226,7 +225,7 @@ def _linked(num: int, den: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column("set"), batch.column("set_b")):
+            for one, two in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(one.as_py(), _U), np.frombuffer(two.as_py(), _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
@@ -246,8 +245,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs (a, b) that link."""
     pairs = cut(pairs)
     sets = _sets_of(sets, pairs.select("a").union(pairs.select("b")))
-    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return mapped(second.join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "b", "set", "set_b"), _linked(num, den), _PAIR)
+    with_sets = pairs
+    for end in "ba":  # two projections alike, so that one exchange serves both
+        with_sets = with_sets.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+    return mapped(with_sets.select("a", "b", "set_a", "set_b"), _linked(num, den), _PAIR)
 
 
 def _split(num: int, den: int):
@@ -258,7 +259,7 @@ def _split(num: int, den: int):
         is_pivot = np.array(table.column("pivot"))
         rows, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
         if not len(rows):
-            return table.slice(0, 0).select(["region", "node", "comp", "size", "counts"]).append_column("home", pa.array([], pa.bool_())).append_column("within", pa.array([], pa.int64()))
+            return table.slice(0, 0).select(["region", "node", "comp"]).append_column("home", pa.array([], pa.bool_())).append_column("within", pa.array([], pa.int64()))
         counts, size, node = _matrix(table.column("counts")), table.column("size").to_numpy(), table.column("node").to_numpy()
         pivots = pivots[np.argsort(node[pivots])]
         common = most_common(counts[rows], counts[pivots])
@@ -268,24 +269,25 @@ def _split(num: int, den: int):
         taken = table.take(pa.array(rows[row]))
         with np.errstate(over="ignore"):
             region = mixed(taken.column("region").to_numpy().view(_U) * _U(_BASE) + node[pivots][cell].view(_U)).view(np.int64)
-        found = [pa.array(region), *(taken.column(c) for c in ("node", "comp", "size", "counts")), pa.array(home[row] == cell), taken.column("n")]
-        return pa.table(dict(zip(("region", "node", "comp", "size", "counts", "home", "within"), found)))
+        found = [pa.array(region), taken.column("node"), taken.column("comp"), pa.array(home[row] == cell), taken.column("n")]
+        return pa.table(dict(zip(("region", "node", "comp", "home", "within"), found)))
 
     return run
 
 
-def _cells(regions: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions (with n, their rows) split around pivots that a hash chooses."""
+def _cells(regions: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions (with n, their rows) split around pivots that a hash chooses; points: node, size, counts."""
+    regions = regions.select("region", "n", "node", "comp")
     chosen = F.pmod(F.xxhash64("node", "region"), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
     pivots = regions.where(chosen).dropDuplicates(["region", "node"])
+    with_pivots = pivots.select("region").distinct()
     parts = F.ceil(F.col("n") / REGION_ROWS).cast("int")
-    columns = ["region", "n", "node", "comp", "size", "counts"]
-    members = regions.select(*columns, F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    everywhere = pivots.select(*columns, F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    members = regions.join(with_pivots, "region", "left_semi").withColumn("pivot", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    everywhere = pivots.withColumn("pivot", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = members.union(everywhere).join(points, "node").groupBy("region", "part").applyInArrow(_split(num, den), _CELL)
     # a region without a chosen pivot is its own cell
-    bare = regions.join(pivots.select("region").distinct(), "region", "left_anti").select(*columns[:1], *columns[2:], F.lit(True).alias("home"), F.col("n").alias("within"))
-    split = members.join(pivots.select("region").distinct(), "region", "left_semi").union(everywhere)
-    return split.groupBy("region", "part").applyInArrow(_split(num, den), _CELL).union(bare)
+    bare = regions.join(with_pivots, "region", "left_anti").select("region", "node", "comp", F.lit(True).alias("home"), F.col("n").alias("within"))
+    return cells.union(bare)
 
 
 def _open(points: DataFrame) -> DataFrame:
@@ -309,7 +311,7 @@ def _parted(leaves: DataFrame) -> DataFrame:
     placed = placed.withColumn("_part", F.xxhash64("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")))
     dealt = placed.join(parts, "region").withColumn("_o", F.explode(F.filter("_all", lambda q: q["own"].isNull() | ~q["own"].eqNullSafe(F.col("_own")))))
     i, j = F.least("_part", "_o.part"), F.greatest("_part", "_o.part")
-    return dealt.select("region", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise((F.col("_part") == j).cast("int")).alias("side"), "node", "comp", "size", "counts", "home")
+    return dealt.select("region", i.alias("i"), j.alias("j"), F.when(i == j, -1).otherwise((F.col("_part") == j).cast("int")).alias("side"), "node", "comp", "home")
 
 
 def _candidates(table, num: int, den: int):
@@ -421,17 +423,17 @@ def region_links(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     links = cut(_verified(tested, sets, num, den))
 
     members = stars.select(F.col("pivot").alias("region"), "node").union(stars.select("pivot", "pivot").distinct())
-    regions = cut(_open(_with_components(members, links)).join(points, "node").select("region", "node", "comp", "size", "counts", F.lit(True).alias("home"), "n"))
+    regions = cut(_open(_with_components(members, links)).select("region", "node", "comp", F.lit(True).alias("home"), "n"))
     leaves = regions.where(F.col("n") <= REGION_ROWS).drop("n")
     crowded = regions.where(F.col("n") > REGION_ROWS)
     while not crowded.isEmpty():
-        cells = cut(_open(_cells(crowded, num, den)))
+        cells = cut(_open(_cells(crowded, points, num, den)))
         done = (F.col("n") <= REGION_ROWS) | (F.col("n") > F.col("within") * STUCK_SHARE)
         leaves = leaves.union(cells.where(done).drop("n", "within"))
         crowded = cells.where(~done).drop("within")
     leaves = cut(leaves)
 
-    parted = lambda points: _parted(_open(points).drop("n")).groupBy("region", "i", "j")
+    parted = lambda leaves: _parted(_open(leaves).drop("n")).join(points, "node").groupBy("region", "i", "j")
     more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), sets, num, den)
     links = cut(links.union(more))
     apart = cut(parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean"))
@@ -455,9 +457,8 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     named = cut(classes.join(nodes, "f1").select(F.col("rep").alias("doc_id"), "f1", "f2"))
     wanted = send(bitmaps.build(named.select("doc_id")))
     sets = mapped(texts.where("doc_id is not null"), _collect_sets(words, wanted), "doc_id long, f1 long, f2 long, size long, set binary")
-    named = named.toDF("_rep", "f1", "_f2")  # joined by f1 alone, so that one exchange serves the join and the removal of repeated rows
-    sets = sets.join(named, "f1").where("doc_id = _rep and f2 = _f2").select(F.col("f1").alias("node"), "size", "set")
-    sets = cut(sets.dropDuplicates(["node"]))
+    sets = sets.dropDuplicates(["doc_id", "f1", "f2"]).join(named, ["doc_id", "f1", "f2"])
+    sets = cut(sets.select(F.col("f1").alias("node"), "size", "set"))
     components = star_components(region_links(stars, sets, num, den)).withColumnRenamed("vid", "f1")
     placed = classes.join(components, "f1", "left").withColumn("comp_id", F.coalesce("comp_id", "f1"))
     least = placed.groupBy("comp_id").agg(F.min("rep").alias("component_id"))

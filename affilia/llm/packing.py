@@ -34,7 +34,7 @@ END_ID = 1
 OPEN_BINS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the per-worker word cache; it starts anew when it is full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -88,10 +88,12 @@ class WordCache(dict):
         return data
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in UNUSUAL) or not text.isascii() and self.beyond.search(text):
+        lowered = text.lower()
+        # what counts is the lower-cased text: some letters below _SIMPLE have lower cases beyond it
+        if any(x in text for x in UNUSUAL) or not lowered.isascii() and self.beyond.search(lowered):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return pack_ids(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, lowered.split()))
 
 
 _caches: dict[str, WordCache] = {}

@@ -80,10 +80,10 @@ def test_cells_keep_links_together(spark, monkeypatch):
         at = rng.integers(0, 60, rng.integers(0, 9))
         s[at] = rng.integers(1, 2**62, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
-    rows = [(1, 240, i, i, len(s), bytearray(jaccard.bucket_counts(s).tobytes())) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "region long, n long, node long, comp long, size long, counts binary")
+    df = spark.createDataFrame([(1, 240, i, i) for i in range(240)], "region long, n long, node long, comp long")
+    points = spark.createDataFrame([(i, len(s), bytearray(jaccard.bucket_counts(s).tobytes())) for i, s in enumerate(sets)], "node long, size long, counts binary")
     cells = {}
-    for r in jaccard._cells(df, 90, 100).collect():
+    for r in jaccard._cells(df, points, 90, 100).collect():
         cells.setdefault(r.region, {})[r.node] = r.home
     assert len(cells) > 5 and max(map(len, cells.values())) < 240
     assert sorted(n for c in cells.values() for n, home in c.items() if home) == list(range(240))

@@ -49,3 +49,20 @@ def test_best_fit_and_fullest_closes():
 
 def test_empty(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_ids_of_random_strings():
+    """Every character below U+0250, with others mixed in, and the capitals whose lower cases lie beyond."""
+    from struct import pack as as_bytes
+
+    rng = random.Random(11)
+    cache = packing.word_cache()
+    low = [chr(c) for c in range(1, 0x250)]
+    mixed = low + [chr(rng.randrange(0x250, 0x3000)) for _ in range(60)] + list("ΣςÅẞſK漢字あ")
+    texts = ["AZƏRBAYCAN-BAKI", "BAKI (AZƏRBAYCAN)", '"ƏSAS"', "mixed ДВА three 漢字 " * 3000]
+    for k in range(4000):
+        letters = low if k % 3 else mixed
+        texts.append("".join(rng.choice(letters) if rng.random() < 0.7 else rng.choice("abcdefghij '-.,0123\n\t") for _ in range(rng.randint(1, 40))))
+    for text in texts:
+        ids = cache.tokenizer.encode(text, add_special_tokens=False).ids
+        assert cache.encode(text) == as_bytes(f"<{len(ids)}I", *ids), text[:80]
