@@ -15,12 +15,13 @@ replicated into that class.
 
 Inside a region distances are bounded from below by a metric of fixed size: the
 Jaccard distance of the documents' counts of shingles in ``BUCKETS`` hash
-buckets, which never exceeds the distance of the sets. A crowded region is
-split by more pivots into Voronoi cells in that metric: every document goes to
+buckets, which never exceeds the distance of the sets. Regions first fall into
+rings of sizes as wide as the radius, with the next smaller ring replicated. A
+crowded ring is split by more pivots into Voronoi cells in that metric: every document goes to
 its nearest pivot, and by the triangle inequality a linked document lies within
 twice the radius of that pivot's distance, so documents in this window are
-replicated into the cell. Cells are split again while they shrink; what is
-small, or dense beyond splitting, is dealt into pairs of bounded parts.
+replicated into the cell. Cells are split again while that saves comparisons;
+what is small, or dense beyond splitting, is dealt into pairs of bounded parts.
 
 Pairs are verified on the sets: first documents with their pivots; then, of what
 is still apart, a spanning forest of each part's candidates (nearest first);
@@ -37,6 +38,8 @@ table gives no rows; other columns are ignored. Shingles are compared by
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +56,8 @@ WORDS, NUM, DEN = 3, 90, 100
 #: makes a slot worth reporting, and the share of documents that makes it frequent.
 SKETCH_BITS, LOCAL_COUNT, FREQUENT_SHARE, FREQUENT_LEAST = 22, 8, 1e-4, 24
 #: Hash buckets of the bounding metric; documents of one part; a larger region than
-#: REGION_ROWS is split around about PIVOTS pivots; a cell that keeps this share of its region isn't split again.
-BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, STUCK_SHARE = 512, 128, 256, 32, 0.75
+#: REGION_ROWS is split around about PIVOTS pivots; a split has to leave at most this share of the region's comparisons.
+BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, SPLIT_SHARE = 512, 128, 256, 32, 0.5
 _U = np.uint64
 
 
@@ -135,7 +138,9 @@ def _describe(words: int, num: int, den: int, bitmap):
 
 
 _PAIR = "a long, b long"
-_CELL = "region long, node long, comp long, home boolean, within long"
+_CELL = "region long, node long, comp long, home boolean, parent long"
+#: The count that stands for itself and anything above.
+_FULL = 65535
 
 
 def _exploded_keys(wanted=None):
@@ -161,48 +166,40 @@ def pivot_regions(rows: DataFrame) -> DataFrame:
     return mapped(lists, _exploded_keys(wanted), entry).join(shared, "key").where("node <> pivot").select("pivot", "node").distinct()
 
 
-def _collect_sets(words: int, wanted):
-    """doc_id, fingerprint and set of the texts whose id the bitmap has."""
-    names = ["doc_id", "f1", "f2", "size", "set"]
+def _hashed(words: int, wanted, what: str, describe):
+    """doc_id, fingerprint, size and describe(set) of the texts whose id the bitmap has."""
+    names = ["doc_id", "f1", "f2", "size", what]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(bitmaps.has(wanted.value, batch.column(0).to_numpy())))
-            ids, rows, held = batch.column(0).to_pylist(), [], 0
+            ids, rows = batch.column(0).to_pylist(), []
             for r, found in _sets(batch, words):
-                rows.append((ids[r], *_fingerprint(found), len(found), found.tobytes()))
-                held += 8 * len(found)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows, held = [], 0
+                rows.append((ids[r], *_fingerprint(found), len(found), describe(found)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
 
 
-def bucket_counts(found: np.ndarray) -> np.ndarray:
-    """How many of a set's shingles fall into each bucket."""
-    return np.bincount((found & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-
-
-def _points(batches):
-    for batch in batches:
-        counts = [bucket_counts(np.frombuffer(s.as_py(), _U)).tobytes() for s in batch.column("set")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(counts, pa.binary())], ["node", "size", "counts"])
+def bucket_counts(found: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each bucket; all full if one can't be told."""
+    counts = np.bincount((found & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return (counts if counts.max() < _FULL else np.full(BUCKETS, _FULL)).astype(np.uint16).tobytes()
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array([np.frombuffer(c.as_py(), np.uint32) for c in column]).reshape(-1, BUCKETS)
+    return np.array([np.frombuffer(c.as_py(), np.uint16) for c in column]).reshape(-1, BUCKETS)
 
 
-def most_common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def most_common(one: np.ndarray, sizes: np.ndarray, two: np.ndarray, two_sizes: np.ndarray) -> np.ndarray:
     """Upper bounds of the intersections of every set of one with every set of two."""
     out = np.empty((len(one), len(two)), np.int64)
     for at in range(0, len(one), 16):
-        out[at : at + 16] = np.minimum(one[at : at + 16, None], two[None]).sum(-1)
-    return out
+        out[at : at + 16] = np.minimum(one[at : at + 16, None], two[None]).sum(-1, dtype=np.uint32)
+    full = (one[:, 0] == _FULL)[:, None] | (two[:, 0] == _FULL)
+    return np.where(full, np.minimum(sizes[:, None], two_sizes), out)
 
 
 def _may_link(num: int, den: int):
@@ -211,9 +208,10 @@ def _may_link(num: int, den: int):
     def run(batches):
         for batch in batches:
             x, y = _matrix(batch.column("counts")), _matrix(batch.column("pivot_counts"))
+            size, other = batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy()
             common = np.minimum(x, y).sum(1, dtype=np.int64)
-            both = batch.column("size").to_numpy() + batch.column("pivot_size").to_numpy()
-            keep = pa.array(den * common >= num * (both - common))
+            common = np.where((x[:, 0] == _FULL) | (y[:, 0] == _FULL), np.minimum(size, other), common)
+            keep = pa.array(den * common >= num * (size + other - common))
             yield pa.RecordBatch.from_arrays([batch.column("pivot").filter(keep), batch.column("node").filter(keep)], ["a", "b"])
 
     return run
@@ -235,17 +233,10 @@ def _linked(num: int, den: int):
     return run
 
 
-def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of sets that joins on ``nodes`` (one column) need, and few others."""
-    wanted = sets.sparkSession.sparkContext.broadcast(bitmaps.build(nodes))
-    return bitmaps.rows_in(sets, "node", wanted)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _verified(pairs: DataFrame, fetch, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link; ``fetch`` gives the sets of nodes."""
     pairs = cut(pairs)
-    sets = _sets_of(sets, pairs.select("a").union(pairs.select("b")))
-    with_sets = pairs
+    sets, with_sets = fetch(pairs.select("a").union(pairs.select("b"))), pairs
     for end in "ba":  # two projections alike, so that one exchange serves both
         with_sets = with_sets.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
     return mapped(with_sets.select("a", "b", "set_a", "set_b"), _linked(num, den), _PAIR)
@@ -259,18 +250,18 @@ def _split(num: int, den: int):
         is_pivot = np.array(table.column("pivot"))
         rows, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
         if not len(rows):
-            return table.slice(0, 0).select(["region", "node", "comp"]).append_column("home", pa.array([], pa.bool_())).append_column("within", pa.array([], pa.int64()))
+            return table.slice(0, 0).select(["region", "node", "comp"]).append_column("home", pa.array([], pa.bool_())).append_column("parent", pa.array([], pa.int64()))
         counts, size, node = _matrix(table.column("counts")), table.column("size").to_numpy(), table.column("node").to_numpy()
         pivots = pivots[np.argsort(node[pivots])]
-        common = most_common(counts[rows], counts[pivots])
+        common = most_common(counts[rows], size[rows], counts[pivots], size[pivots])
         distance = 1 - common / (size[rows, None] + size[pivots] - common)
         home = distance.argmin(1)
         row, cell = np.nonzero(distance <= distance.min(1)[:, None] + window)
         taken = table.take(pa.array(rows[row]))
         with np.errstate(over="ignore"):
             region = mixed(taken.column("region").to_numpy().view(_U) * _U(_BASE) + node[pivots][cell].view(_U)).view(np.int64)
-        found = [pa.array(region), taken.column("node"), taken.column("comp"), pa.array(home[row] == cell), taken.column("n")]
-        return pa.table(dict(zip(("region", "node", "comp", "home", "within"), found)))
+        found = [pa.array(region), taken.column("node"), taken.column("comp"), pa.array(home[row] == cell), taken.column("region")]
+        return pa.table(dict(zip(("region", "node", "comp", "home", "parent"), found)))
 
     return run
 
@@ -285,17 +276,23 @@ def _cells(regions: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
     members = regions.join(with_pivots, "region", "left_semi").withColumn("pivot", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     everywhere = pivots.withColumn("pivot", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     cells = members.union(everywhere).join(points, "node").groupBy("region", "part").applyInArrow(_split(num, den), _CELL)
-    # a region without a chosen pivot is its own cell
-    bare = regions.join(with_pivots, "region", "left_anti").select("region", "node", "comp", F.lit(True).alias("home"), F.col("n").alias("within"))
-    return cells.union(bare)
+    return cells
 
 
 def _open(points: DataFrame) -> DataFrame:
-    """points of the regions that hold more than one component, with n, the region's rows."""
-    found = points.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("region", "n")
+    """points of the regions where something can still be linked, with n, the region's rows."""
+    found = points.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max("home").alias("_home"))
+    found = found.where("_low < _high and _home").select("region", "n")
     return points.join(found, "region")
 
 
+def _rings(regions: DataFrame, num: int, den: int) -> DataFrame:
+    """Every region's rings of sizes; only sets of one ring, or of neighbouring ones, can link."""
+    ring = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
+    both = F.explode(F.array(F.struct(ring.alias("at"), F.lit(True).alias("home")), F.struct((ring + 1).alias("at"), F.lit(False).alias("home"))))
+    return regions.withColumn("_ring", both).select(F.xxhash64("region", "_ring.at").alias("region"), "node", "comp", F.col("_ring.home").alias("home"))
+
+
 def _parted(leaves: DataFrame) -> DataFrame:
     """leaves with i, j (parts) and side: every row in all pairs of its part with another.
 
@@ -318,7 +315,7 @@ def _candidates(table, num: int, den: int):
     """Rows x < y of a pair of parts that may link and are still apart, and their bounds."""
     side, home, comp, size = (np.array(table.column(c)) for c in ("side", "home", "comp", "size"))
     counts = _matrix(table.column("counts"))
-    common = most_common(counts, counts)
+    common = most_common(counts, size, counts, size)
     fits = np.triu(den * common >= num * (size[:, None] + size - common), 1)
     fits &= (home[:, None] | home) & (comp[:, None] != comp)
     if len(side) and side.min() >= 0:  # sides 0 and 1: only across
@@ -412,32 +409,36 @@ def _with_components(points: DataFrame, links: DataFrame) -> DataFrame:
     return points.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp_id", "node")).drop("comp_id")
 
 
-def region_links(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def region_links(stars: DataFrame, points: DataFrame, fetch, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect whatever links inside a region.
 
-    stars: pivot, node (a pivot is in its own region without a row); sets: node, size, set.
+    stars: pivot, node (a pivot is in its own region without a row); points:
+    node, size, counts; fetch(nodes): node, set of the nodes and maybe others.
     """
-    points = cut(mapped(sets, _points, "node long, size long, counts binary"))
     own = points.toDF("pivot", "pivot_size", "pivot_counts")
     tested = mapped(stars.join(points, "node").join(own, "pivot"), _may_link(num, den), _PAIR)
-    links = cut(_verified(tested, sets, num, den))
+    links = cut(_verified(tested, fetch, num, den))
 
     members = stars.select(F.col("pivot").alias("region"), "node").union(stars.select("pivot", "pivot").distinct())
-    regions = cut(_open(_with_components(members, links)).select("region", "node", "comp", F.lit(True).alias("home"), "n"))
+    regions = _open(_with_components(members, links).withColumn("home", F.lit(True))).join(points.select("node", "size"), "node")
+    regions = cut(_open(_rings(regions, num, den)))
     leaves = regions.where(F.col("n") <= REGION_ROWS).drop("n")
     crowded = regions.where(F.col("n") > REGION_ROWS)
     while not crowded.isEmpty():
-        cells = cut(_open(_cells(crowded, points, num, den)))
-        done = (F.col("n") <= REGION_ROWS) | (F.col("n") > F.col("within") * STUCK_SHARE)
-        leaves = leaves.union(cells.where(done).drop("n", "within"))
-        crowded = cells.where(~done).drop("within")
+        cells = cut(_cells(crowded, points, num, den))
+        work = cells.groupBy("parent", "region").count().groupBy(F.col("parent").alias("region")).agg(F.sum(F.col("count").cast("double") ** 2).alias("_work"))
+        pays = crowded.groupBy("region", "n").agg(F.lit(1).alias("_")).join(work, "region").where(F.col("_work") <= F.col("n").cast("double") ** 2 * SPLIT_SHARE).select("region")
+        leaves = leaves.union(crowded.drop("n").join(pays, "region", "left_anti"))
+        cells = cut(_open(cells.join(pays.withColumnRenamed("region", "parent"), "parent", "left_semi").drop("parent")).select("region", "node", "comp", "home", "n"))
+        leaves = leaves.union(cells.where(F.col("n") <= REGION_ROWS).drop("n"))
+        crowded = cells.where(F.col("n") > REGION_ROWS)
     leaves = cut(leaves)
 
     parted = lambda leaves: _parted(_open(leaves).drop("n")).join(points, "node").groupBy("region", "i", "j")
-    more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), sets, num, den)
+    more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), fetch, num, den)
     links = cut(links.union(more))
     apart = cut(parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean"))
-    rest = apart.join(_sets_of(sets, apart.select("node")).select("node", "set"), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
+    rest = apart.join(fetch(apart.select("node")), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
     return links.union(rest)
 
 
@@ -455,11 +456,18 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     stars = cut(pivot_regions(rows))
     nodes = stars.select("node").union(stars.select("pivot")).distinct().withColumnRenamed("node", "f1")
     named = cut(classes.join(nodes, "f1").select(F.col("rep").alias("doc_id"), "f1", "f2"))
-    wanted = send(bitmaps.build(named.select("doc_id")))
-    sets = mapped(texts.where("doc_id is not null"), _collect_sets(words, wanted), "doc_id long, f1 long, f2 long, size long, set binary")
-    sets = sets.dropDuplicates(["doc_id", "f1", "f2"]).join(named, ["doc_id", "f1", "f2"])
-    sets = cut(sets.select(F.col("f1").alias("node"), "size", "set"))
-    components = star_components(region_links(stars, sets, num, den)).withColumnRenamed("vid", "f1")
+
+    def hashed(named: DataFrame, what: str, describe) -> DataFrame:
+        wanted = send(bitmaps.build(named.select("doc_id")))
+        found = mapped(texts.where("doc_id is not null"), _hashed(words, wanted, what, describe), f"doc_id long, f1 long, f2 long, size long, {what} binary")
+        return found.dropDuplicates(["doc_id", "f1", "f2"]).join(named, ["doc_id", "f1", "f2"]).withColumnRenamed("f1", "node")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        asked = nodes.toDF("f1").distinct()
+        return cut(hashed(cut(named.join(asked, "f1", "left_semi")), "set", np.ndarray.tobytes).select("node", "set"))
+
+    points = cut(hashed(named, "counts", bucket_counts).select("node", "size", "counts"))
+    components = star_components(region_links(stars, points, fetch, num, den)).withColumnRenamed("vid", "f1")
     placed = classes.join(components, "f1", "left").withColumn("comp_id", F.coalesce("comp_id", "f1"))
     least = placed.groupBy("comp_id").agg(F.min("rep").alias("component_id"))
     placed = placed.join(least, "comp_id").select("f1", "f2", "n_shingles", "component_id")

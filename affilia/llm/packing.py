@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of the per-worker word cache; it starts anew when it is full.
+#: Entries of the word cache of one partition; it starts anew when it is full.
 CACHE_WORDS = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -152,11 +152,11 @@ def _pack_partition(capacity: int, end_id: int, open_bins: int, vocabulary: str
 
     def run(batches):
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 36)
-        encode, end = word_cache(vocabulary).encode, end_id.to_bytes(4, "little")
+        cache, end = word_cache(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             held, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+                ids = cache.encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     held.append((doc_id, piece, at // 4, len(part) // 4, part, *bins.place(len(part) // 4)))
@@ -166,6 +166,7 @@ def _pack_partition(capacity: int, end_id: int, open_bins: int, vocabulary: str
                     held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+        cache.clear()
 
     return run
 

@@ -81,7 +81,7 @@ def test_cells_keep_links_together(spark, monkeypatch):
         s[at] = rng.integers(1, 2**62, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
     df = spark.createDataFrame([(1, 240, i, i) for i in range(240)], "region long, n long, node long, comp long")
-    points = spark.createDataFrame([(i, len(s), bytearray(jaccard.bucket_counts(s).tobytes())) for i, s in enumerate(sets)], "node long, size long, counts binary")
+    points = spark.createDataFrame([(i, len(s), bytearray(jaccard.bucket_counts(s))) for i, s in enumerate(sets)], "node long, size long, counts binary")
     cells = {}
     for r in jaccard._cells(df, points, 90, 100).collect():
         cells.setdefault(r.region, {})[r.node] = r.home
@@ -97,8 +97,10 @@ def test_cells_keep_links_together(spark, monkeypatch):
 def test_bounds():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(1, 400, n, dtype=np.uint64)) for n in (1, 7, 90, 200)]
-    counts = np.array([jaccard.bucket_counts(s) for s in sets])
-    bounds = jaccard.most_common(counts, counts)
+    counts = np.array([np.frombuffer(jaccard.bucket_counts(s), np.uint16) for s in sets])
+    counts[3] = 65535  # more than can be counted
+    sizes = np.array([len(s) for s in sets])
+    bounds = jaccard.most_common(counts, sizes, counts, sizes)
     assert all(bounds[i, j] >= len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(4))
 
 

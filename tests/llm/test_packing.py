@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
