@@ -138,7 +138,7 @@ def _describe(words: int, num: int, den: int, bitmap):
 
 
 _PAIR = "a long, b long"
-_CELL = "region long, node long, comp long, home boolean, parent long"
+_CELL = "region long, node long, comp long, home boolean"
 #: The count that stands for itself and anything above.
 _FULL = 65535
 
@@ -242,41 +242,44 @@ def _verified(pairs: DataFrame, fetch, num: int, den: int) -> DataFrame:
     return mapped(with_sets.select("a", "b", "set_a", "set_b"), _linked(num, den), _PAIR)
 
 
-def _split(num: int, den: int):
-    """Voronoi cells of one part of a region around the region's pivots."""
+def _split(num: int, den: int, rows: bool):
+    """Voronoi cells of one part of a region around the region's pivots: their rows, or only how many.
+
+    A region without a pivot stays whole.
+    """
     window = 2 * (den - num) / den + 1e-9
 
     def run(table):
         is_pivot = np.array(table.column("pivot"))
-        rows, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
-        if not len(rows):
-            return table.slice(0, 0).select(["region", "node", "comp"]).append_column("home", pa.array([], pa.bool_())).append_column("parent", pa.array([], pa.int64()))
+        members, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
         counts, size, node = _matrix(table.column("counts")), table.column("size").to_numpy(), table.column("node").to_numpy()
-        pivots = pivots[np.argsort(node[pivots])]
-        common = most_common(counts[rows], size[rows], counts[pivots], size[pivots])
-        distance = 1 - common / (size[rows, None] + size[pivots] - common)
-        home = distance.argmin(1)
-        row, cell = np.nonzero(distance <= distance.min(1)[:, None] + window)
-        taken = table.take(pa.array(rows[row]))
-        with np.errstate(over="ignore"):
-            region = mixed(taken.column("region").to_numpy().view(_U) * _U(_BASE) + node[pivots][cell].view(_U)).view(np.int64)
-        found = [pa.array(region), taken.column("node"), taken.column("comp"), pa.array(home[row] == cell), taken.column("region")]
-        return pa.table(dict(zip(("region", "node", "comp", "home", "parent"), found)))
+        parent = table.column("region").to_numpy()
+        if len(pivots) and len(members):
+            pivots = pivots[np.argsort(node[pivots])]
+            common = most_common(counts[members], size[members], counts[pivots], size[pivots])
+            distance = 1 - common / (size[members, None] + size[pivots] - common)
+            row, cell = np.nonzero(distance <= distance.min(1)[:, None] + window)
+            home = distance.argmin(1)[row] == cell
+            with np.errstate(over="ignore"):
+                region = mixed(parent[:1].view(_U) * _U(_BASE) + node[pivots].view(_U)).view(np.int64)[cell]
+        else:
+            row, home, region = np.arange(len(members)), np.ones(len(members), bool), parent[members]
+        if not rows:
+            region, n = np.unique(region, return_counts=True)
+            return pa.table({"parent": np.full(len(region), parent[0]), "region": region, "n": n})
+        taken = table.take(pa.array(members[row]))
+        return pa.table({"region": pa.array(region, pa.int64()), "node": taken.column("node"), "comp": taken.column("comp"), "home": pa.array(home, pa.bool_())})
 
     return run
 
 
-def _cells(regions: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions (with n, their rows) split around pivots that a hash chooses; points: node, size, counts."""
-    regions = regions.select("region", "n", "node", "comp")
+def _around_pivots(regions: DataFrame) -> DataFrame:
+    """Rows of regions (region, n, node, comp) dealt into parts, with the pivots that a hash chooses in each part."""
     chosen = F.pmod(F.xxhash64("node", "region"), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
-    pivots = regions.where(chosen).dropDuplicates(["region", "node"])
-    with_pivots = pivots.select("region").distinct()
     parts = F.ceil(F.col("n") / REGION_ROWS).cast("int")
-    members = regions.join(with_pivots, "region", "left_semi").withColumn("pivot", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    everywhere = pivots.withColumn("pivot", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = members.union(everywhere).join(points, "node").groupBy("region", "part").applyInArrow(_split(num, den), _CELL)
-    return cells
+    members = regions.withColumn("pivot", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    pivots = regions.where(chosen).withColumn("pivot", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return members.union(pivots)
 
 
 def _open(points: DataFrame) -> DataFrame:
@@ -403,10 +406,29 @@ def _join_parts(num: int, den: int):
     return run
 
 
-def _with_components(points: DataFrame, links: DataFrame) -> DataFrame:
-    """points whose comp is the component of their node under the links."""
-    found = star_components(links).select(F.col("vid").alias("node"), "comp_id")
-    return points.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp_id", "node")).drop("comp_id")
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with comp: the label of their node, or the node itself."""
+    return nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): equal labels are connected by the links (a < b); what is connected may still have several.
+
+    A node takes its least neighbour, and that one the least label among its own nodes.
+    """
+    near = cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    beyond = links.join(near, links["b"] == near["node"]).groupBy(F.col("a").alias("label")).agg(F.min("label").alias("_next"))
+    at_last = F.least(F.col("label"), F.coalesce("_next", "label"))
+    roots = beyond.where("_next < label").join(near.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("_next").alias("label"))
+    return cut(near.join(beyond, "label", "left").select("node", at_last.alias("label")).union(roots))
+
+
+def _joined(labels: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (with node, comp) whose labels take the least label that a link connects them with."""
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("_to")).union(links.select("b", "a"))
+    ends = _named(_named(ends, labels).toDF("_from", "node", "_comp"), labels).select("_comp", F.col("comp").alias("_next"))
+    least = ends.groupBy(F.col("_comp").alias("comp")).agg(F.min("_next").alias("_next"))
+    return members.join(least, "comp", "left").withColumn("comp", F.least("comp", F.coalesce("_next", "comp"))).drop("_next")
 
 
 def region_links(stars: DataFrame, points: DataFrame, fetch, num: int, den: int) -> DataFrame:
@@ -420,26 +442,34 @@ def region_links(stars: DataFrame, points: DataFrame, fetch, num: int, den: int)
     links = cut(_verified(tested, fetch, num, den))
 
     members = stars.select(F.col("pivot").alias("region"), "node").union(stars.select("pivot", "pivot").distinct())
-    regions = _open(_with_components(members, links).withColumn("home", F.lit(True))).join(points.select("node", "size"), "node")
+    labels = _labels(links)
+    regions = _open(_named(members, labels).withColumn("home", F.lit(True))).join(points.select("node", "size"), "node")
     regions = cut(_open(_rings(regions, num, den)))
     leaves = regions.where(F.col("n") <= REGION_ROWS).drop("n")
     crowded = regions.where(F.col("n") > REGION_ROWS)
     while not crowded.isEmpty():
-        cells = cut(_cells(crowded, points, num, den))
-        work = cells.groupBy("parent", "region").count().groupBy(F.col("parent").alias("region")).agg(F.sum(F.col("count").cast("double") ** 2).alias("_work"))
-        pays = crowded.groupBy("region", "n").agg(F.lit(1).alias("_")).join(work, "region").where(F.col("_work") <= F.col("n").cast("double") ** 2 * SPLIT_SHARE).select("region")
-        leaves = leaves.union(crowded.drop("n").join(pays, "region", "left_anti"))
-        cells = cut(_open(cells.join(pays.withColumnRenamed("region", "parent"), "parent", "left_semi").drop("parent")).select("region", "node", "comp", "home", "n"))
-        leaves = leaves.union(cells.where(F.col("n") <= REGION_ROWS).drop("n"))
-        crowded = cells.where(F.col("n") > REGION_ROWS)
+        crowded = crowded.select("region", "n", "node", "comp")
+        dealt = cut(_around_pivots(crowded))
+        split = dealt.join(points, "node").groupBy("region", "part")
+        work = split.applyInArrow(_split(num, den, rows=False), "parent long, region long, n long").groupBy("parent", "region").agg(F.sum("n").alias("n"))
+        work = work.groupBy(F.col("parent").alias("region")).agg(F.sum(F.col("n").cast("double") ** 2).alias("_work"))
+        sizes = crowded.select("region", "n").distinct()
+        pays = cut(sizes.join(work, "region").where(F.col("_work") <= F.col("n").cast("double") ** 2 * SPLIT_SHARE).select("region"))
+        leaves = leaves.union(regions.join(crowded.select("region").distinct(), "region", "left_semi").join(pays, "region", "left_anti").drop("n"))
+        if pays.isEmpty():
+            break
+        split = dealt.join(pays, "region", "left_semi").join(points, "node").groupBy("region", "part")
+        regions = cut(_open(split.applyInArrow(_split(num, den, rows=True), _CELL)).select("region", "node", "comp", "home", "n"))
+        leaves = leaves.union(regions.where(F.col("n") <= REGION_ROWS).drop("n"))
+        crowded = regions.where(F.col("n") > REGION_ROWS)
     leaves = cut(leaves)
 
-    parted = lambda leaves: _parted(_open(leaves).drop("n")).join(points, "node").groupBy("region", "i", "j")
-    more = _verified(parted(leaves).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), fetch, num, den)
-    links = cut(links.union(more))
-    apart = cut(parted(_with_components(leaves, links)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean"))
+    parts = cut(_parted(leaves))
+    by_part = lambda parts: parts.join(points, "node").groupBy("region", "i", "j")
+    more = cut(_verified(by_part(parts).applyInArrow(_nearest_forest(num, den), _PAIR).distinct(), fetch, num, den))
+    apart = cut(by_part(_joined(labels, parts, more)).applyInArrow(_still_apart(num, den), "region long, i long, j long, side int, node long, comp long, home boolean"))
     rest = apart.join(fetch(apart.select("node")), "node").groupBy("region", "i", "j").applyInArrow(_join_parts(num, den), _PAIR)
-    return links.union(rest)
+    return links.union(more).union(rest)
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

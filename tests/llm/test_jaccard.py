@@ -83,8 +83,11 @@ def test_cells_keep_links_together(spark, monkeypatch):
     df = spark.createDataFrame([(1, 240, i, i) for i in range(240)], "region long, n long, node long, comp long")
     points = spark.createDataFrame([(i, len(s), bytearray(jaccard.bucket_counts(s))) for i, s in enumerate(sets)], "node long, size long, counts binary")
     cells = {}
-    for r in jaccard._cells(df, points, 90, 100).collect():
+    split = jaccard._around_pivots(df).join(points, "node").groupBy("region", "part")
+    for r in split.applyInArrow(jaccard._split(90, 100, rows=True), jaccard._CELL).collect():
         cells.setdefault(r.region, {})[r.node] = r.home
+    sizes = split.applyInArrow(jaccard._split(90, 100, rows=False), "parent long, region long, n long").groupBy("region").sum("n").collect()
+    assert {r.region: r[1] for r in sizes} == {k: len(c) for k, c in cells.items()}
     assert len(cells) > 5 and max(map(len, cells.values())) < 240
     assert sorted(n for c in cells.values() for n, home in c.items() if home) == list(range(240))
     for a in range(240):
