@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, trim
 
 #: 2**BITS bits are 8 MB.
 BITS = 26
@@ -27,6 +27,8 @@ def build(numbers: DataFrame) -> np.ndarray:
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << BITS - 6, np.int64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    del found
+    trim()
     return out
 
 

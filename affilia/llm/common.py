@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Returns freed memory to the system."""
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow over small batches; after each partition the worker returns freed memory to the system.
 
@@ -40,7 +45,7 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return df.mapInArrow(over, schema)
 

@@ -5,26 +5,25 @@ to 3, hashed), trained with follow-the-regularised-leader and elastic-net
 penalties, then calibrated by one temperature.
 
 Document frequencies cover all documents of the training folds. The weights
-are fitted on at most ``TRAIN_ROWS`` of them, the first in the order of a hash
+are fitted on at most ``TRAIN_ROWS`` doc_ids of them, the first in the order of a hash
 of doc_id; a fifth of those only sets the temperature. Prediction is one
 streaming pass without a shuffle; the model is a table of fixed size.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-repeated rows are predicted alike; an empty table gives no rows; without any
+repeated rows are predicted alike; a doc_id with several rows is fitted by one of
+them (all are counted), null ids by none; an empty table gives no rows; without any
 training row every text is ``und``; equal probabilities go by the smaller
 name; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mapped
+from .common import held_out, mapped, trim
 from .ngrams import SLOTS, gram_counts
 
 #: Most rows that the weights are fitted on.
@@ -32,7 +31,6 @@ TRAIN_ROWS = 4000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class FtrlSoftmax:
@@ -100,15 +98,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     training = docs.where(~held_out() & F.col("lang").isNotNull())
     order = F.xxhash64("doc_id")
-    chosen = training.select("doc_id", order.alias("_h")).orderBy("_h", "doc_id").limit(train_rows).select("doc_id").distinct()
+    chosen = training.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(train_rows)
     frequencies = dict(mapped(training.select("text"), _document_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False))
     rows_all = frequencies.pop(-1, 0)
     df = np.zeros(SLOTS)
     if frequencies:
         df[list(frequencies)] = list(frequencies.values())
     idf = np.log((1 + rows_all) / (1 + df)) + 1
-    rows = mapped(training.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text"), _features, "doc_id long, lang string, used binary, counts binary").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B1 & 0xFFFFFFFF, r["doc_id"], r["used"], r["lang"]))[: 2 * train_rows]
+    rows = mapped(training.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text"), _features, "doc_id long, lang string, used binary, counts binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "used", "counts")).alias("_r")).select("doc_id", "_r.*").toArrow().to_pylist()  # one of each id's rows
+    rows = sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B1 & 0xFFFFFFFF, r["doc_id"]))
     names = sorted({r["lang"] for r in rows})
     data = []
     for r in rows:
@@ -121,6 +120,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) ->
     weights = learner.weights()
     rest = data[cut:]
     heat = temperature(np.array([x @ weights[used] for used, x, _ in rest]), np.array([y for *_, y in rest])) if rest else 1.0
+    trim()
     return {"names": names, "idf": idf, "weights": weights.astype(np.float32), "temperature": heat}
 
 
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            known = [row for row, t in enumerate(texts) if names and t and _LETTER.search(t)]
+            known = [row for row, t in enumerate(texts) if names and t and any(map(str.isalpha, t))]
             for k, used, counts in gram_counts([texts[row] for row in known]):
                 logits = tf_idf(used, counts, idf) @ weights[used] / heat
                 best = int(np.argmax(logits))

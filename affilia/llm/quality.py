@@ -5,12 +5,15 @@ repeated words are scaled by their class log-count ratios; a linear hinge-loss
 model is fitted on them by dual coordinate descent, interpolated towards the
 mean ratio as usual, and its margin is mapped to a probability.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows, the first in the
-order of a hash of doc_id; those ids alone are broadcast, so texts are never
-shuffled. Scoring is one streaming pass.
+The class counts behind the ratios cover all labelled rows. The weights are
+fitted on at most ``TRAIN_ROWS`` labelled documents, the first in the order of a
+hash of doc_id; every fifth of them only sets the map to a probability. Texts are
+never shuffled: what moves are the indicators of labelled rows. Scoring is one
+streaming pass.
 
 Defined results: null texts count as empty and get the score of no n-grams;
-repeated rows score alike; a doc_id with several labels has the smallest; null
+repeated rows score alike; a doc_id with several labels has the smallest, and
+one with several texts is fitted by one of them (all are counted); null
 labels teach nothing; without both classes every score is the share of label 1
 (0.5 without labels); an empty table gives no rows; other columns are ignored.
 """
@@ -23,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, mapped
+from . import bitmaps
+from .common import cut, held_out, mapped, trim
 from .ngrams import SLOTS, gram_counts, word_hashes
 
 #: Most labelled rows that the model is fitted on.
@@ -68,51 +72,81 @@ def dual_coordinate_descent(rows, labels, features: int, cost: float = COST, epo
 
 
 def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic map from margins to labels, by Newton steps."""
+    """Slope and offset of the logistic map from margins to labels (smoothed), by Newton steps."""
+    y = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     a, b = 1.0, 0.0
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
         g = np.array([(p - y) @ margins + 1e-3 * a, (p - y).sum()])
         s = p * (1 - p) + 1e-6
         h = np.array([[s @ margins**2 + 1e-3, s @ margins], [s @ margins, s.sum()]])
         step = np.linalg.solve(h, g)
+        step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
     return float(a), float(b)
 
 
-def _features(batches):
+def _features(labelled):
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(bitmaps.has(labelled.value, batch.column(0).to_numpy())))
+            ids = batch.column(0).to_pylist()
+            found = [(ids[row], used.astype(np.uint16).tobytes()) for row, used in indicators(batch.column(1).to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.binary()))], ["doc_id", "used"])
+
+    return run
+
+
+def _class_counts(batches):
+    """(label, slot, n) of one partition; slot -1 counts rows."""
+    seen, rows = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        found = [(labels[row], used.astype(np.int32).tobytes()) for row, used in indicators(texts)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary()))], ["quality", "used"])
+        for label, used in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen[label][np.frombuffer(used.as_py(), np.uint16)] += 1
+            rows[label] += 1
+    for label in (0, 1):
+        slots = np.flatnonzero(seen[label])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots) + 1, label), pa.int32()), pa.array(np.append(slots, -1), pa.int32()), pa.array(np.append(seen[label][slots], rows[label]))], ["quality", "slot", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """A model from the labelled rows of the folds that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    order = F.xxhash64("doc_id")
-    chosen = known.select(order.alias("_h"), "doc_id", "quality").orderBy("_h", "doc_id", "quality").limit(train_rows).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("quality", "text"), _features, "quality int, used binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["used"], r["quality"]))
-    y = np.array([r["quality"] for r in rows])
-    found = [np.frombuffer(r["used"], np.int32) for r in rows]
-    if len(set(y.tolist())) < 2:
-        return {"weights": np.zeros(FEATURES, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))}
-    seen = [np.ones(FEATURES), np.ones(FEATURES)]
-    for slots, label in zip(found, y):
-        seen[label][slots] += 1
-    ratio = np.log(seen[1] / ((y == 1).sum() + 2)) - np.log(seen[0] / ((y == 0).sum() + 2))
-    scaled = [(np.append(s, FEATURES), np.append(ratio[s] / np.sqrt(max(1, len(s))), 1.0)) for s in found]
-    sign = np.where(y == 1, 1.0, -1.0)
-    w = dual_coordinate_descent(scaled, sign, FEATURES + 1)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = docs.sparkSession.sparkContext.broadcast(bitmaps.build(known.select("doc_id")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    rows = cut(mapped(texts, _features(labelled), "doc_id long, used binary").join(known, "doc_id"))
+
+    seen, total = np.zeros((2, FEATURES)), np.zeros(2)
+    for r in mapped(rows.select("quality", "used"), _class_counts, "quality int, slot int, n long").groupBy("quality", "slot").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        if r["slot"] < 0:
+            total[r["quality"]] = r["n"]
+        else:
+            seen[r["quality"], r["slot"]] = r["n"]
+    if not total.all():
+        return {"weights": np.zeros(FEATURES, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log((total[1] + 0.5) / (total[0] + 0.5)))}
+    ratio = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
+
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("used").alias("used"))
+    sample = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["used"], r["quality"]))
+    y = np.array([r["quality"] for r in sample])
+    found = [np.frombuffer(r["used"], np.uint16).astype(np.int64) for r in sample]
+    fitted = np.arange(len(y)) % 5 > 0
+    if len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:
+        fitted[:] = True
+    scaled = [(np.append(s, FEATURES), np.append(ratio[s] / np.sqrt(max(1, len(s))), 1.0)) for s, use in zip(found, fitted) if use]
+    w = dual_coordinate_descent(scaled, np.where(y[fitted] == 1, 1.0, -1.0), FEATURES + 1)
     mean = np.abs(w[:FEATURES]).mean()
     mixed = (1 - INTERPOLATION) * mean + INTERPOLATION * w[:FEATURES]
     model = {"weights": (mixed * ratio).astype(np.float32), "bias": float(w[FEATURES])}
-    margins = np.array([_margin(s, model) for s in found])
-    slope, offset = _platt(margins, y)
+    rest = fitted if fitted.all() else ~fitted
+    slope, offset = _platt(np.array([_margin(s, model) for s, use in zip(found, rest) if use]), y[rest])
+    del sample, found, scaled
+    trim()
     return model | {"slope": slope, "offset": offset}
 
 

@@ -68,3 +68,54 @@ def test_counts_dont_depend_on_neighbours():
     one = {row: (used.tolist(), n.tolist()) for row, used, n in gram_counts(["abc déf", None, "zz", "abc déf"])}
     two = {row: (used.tolist(), n.tolist()) for row, used, n in gram_counts(["abc déf"])}
     assert one[0] == one[3] == two[0] and one[1] == ([], [])
+
+
+def test_texts_without_letters(docs):
+    model = language.fit(docs, train_rows=100)
+    odd = docs.sparkSession.createDataFrame([(1, "½ ² ① _ 12", None), (2, "ª", None), (3, "½ ß", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred == "und" for r in language.predict(odd, model).orderBy("doc_id").collect()] == [True, False, False]
+
+
+def test_a_repeated_id_takes_one_place(spark, docs):
+    """5000 rows of one id leave the sample to the others."""
+    hot = docs.where("doc_id = 0").crossJoin(spark.range(5000).select()).select(docs.columns)
+    model = language.fit(docs.union(hot), train_rows=50)
+    assert model["names"] == ["de", "en", "fr"]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs.union(hot), labels, train_rows=50)["slope"] != 0
+
+
+def test_ftrl_step_by_step():
+    """The learner against the update rules written out for single numbers."""
+    rng = np.random.default_rng(6)
+    learner = language.FtrlSoftmax(5, 3, alpha=0.4, beta=1.0, l1=0.05, l2=0.1)
+    z, n = [[0.0] * 3 for _ in range(5)], [[0.0] * 3 for _ in range(5)]
+    for _ in range(60):
+        used = np.sort(rng.choice(5, 3, replace=False))
+        x, label = rng.random(3), int(rng.integers(0, 3))
+        w = [[0.0 if abs(z[i][c]) <= 0.05 else -(z[i][c] - 0.05 * np.sign(z[i][c])) / ((1.0 + n[i][c] ** 0.5) / 0.4 + 0.1) for c in range(3)] for i in used]
+        e = np.exp([sum(x[k] * w[k][c] for k in range(3)) for c in range(3)])
+        for k, i in enumerate(used):
+            for c in range(3):
+                g = x[k] * (e[c] / e.sum() - (c == label))
+                z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / 0.4 * w[k][c]
+                n[i][c] += g * g
+        learner.step(used, x, label)
+    assert np.allclose(learner.z, z) and np.allclose(learner.n, n)
+
+
+def test_descent_reaches_the_least_loss():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(40, 6)), np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    w = quality.dual_coordinate_descent([(np.arange(6), v) for v in x], y, 6, cost=0.7, epochs=300)
+    loss = lambda w: 0.5 * w @ w + 0.7 * (np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(size=(300, 6)) * rng.choice([1e-3, 1e-2, 0.3], (300, 1)))
+
+
+def test_quality_ties_and_long_texts(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)] + [(i, 0, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)  # the smaller label holds: one class only
+    assert len({r.score for r in quality.score(docs, model).collect()}) == 1
+    model = quality.fit(docs, labels.limit(400))
+    long = spark.createDataFrame([(1, "Ab " * 400_000), (1, "Ab " * 400_000), (2, None)], "doc_id long, text string")
+    assert len({r.score for r in quality.score(long, model).collect()}) == 2
