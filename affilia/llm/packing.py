@@ -96,18 +96,13 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, lowered.split()))
 
 
-_caches: dict[str, WordCache] = {}
-
-
 def word_cache(path: str | None = None) -> WordCache:
-    """The worker's cache for the vocabulary file ``path`` (default: the public word-BPE vocabulary)."""
+    """A cache for the vocabulary file ``path`` (default: the public word-BPE vocabulary)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+    return WordCache(path)
 
 
 class OpenBins:
@@ -161,12 +156,11 @@ def _pack_partition(capacity: int, end_id: int, open_bins: int, vocabulary: str
                     part = ids[at : at + 4 * capacity]
                     held.append((doc_id, piece, at // 4, len(part) // 4, part, *bins.place(len(part) // 4)))
                     size += len(part)
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
                     held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-        cache.clear()
 
     return run
 
