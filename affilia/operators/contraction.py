@@ -43,7 +43,7 @@ def compression_map(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def shortest_neighbors(classes: DataFrame, edges: DataFrame, courses: DataFrame, scale: int = 12) -> DataFrame:
     """cid, crsid, mult, length: each class's courses at the least distance (scale / hours)."""
-    lengths = edges.join(courses.select("crsid", (F.lit(scale) / F.col("hours")).cast("long").alias("length")), "crsid")
+    lengths = edges.join(courses.select("crsid", F.expr(f"{scale} div hours").alias("length")), "crsid")
     least = lengths.groupBy("cid").agg(F.min("length").alias("length"))
     return lengths.join(least, ["cid", "length"]).join(classes.select("cid", "mult"), "cid").select("cid", "crsid", "mult", "length")
 

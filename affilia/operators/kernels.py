@@ -28,39 +28,15 @@ def adjacency(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(tail[order], np.arange(n + 1)), head[order], edge[order]
 
 
-def depth_first(n, neighbors, visit_start=None, visit_end=None, is_visited=None, visit_again=None):
-    """Iterative depth-first search with the four hooks (parent, vertex); a root is its own parent."""
-    nothing = lambda u, v: None
-    visit_start, visit_end, visit_again = visit_start or nothing, visit_end or nothing, visit_again or nothing
-    seen = set()
-    is_visited = is_visited or seen.__contains__
-    for root in range(n):
-        if is_visited(root):
-            continue
-        seen.add(root)
-        visit_start(root, root)
-        stack = [(root, root, iter(neighbors(root)))]
-        while stack:
-            parent, v, rest = stack[-1]
-            for w in rest:
-                if is_visited(w):
-                    visit_again(v, w)
-                    continue
-                seen.add(w)
-                visit_start(v, w)
-                stack.append((v, w, iter(neighbors(w))))
-                break
-            else:
-                stack.pop()
-                visit_end(parent, v)
-
-
-def blocks(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def blocks(n: int, x: np.ndarray, y: np.ndarray, watch=None) -> np.ndarray:
     """For each edge of a simple graph the smallest edge of its biconnected block.
 
     Leaves are peeled first: their edges are blocks of their own. The rest is
-    searched depth-first with an explicit stack.
+    searched depth-first with an explicit stack. ``watch(event, vertex, edge)``
+    is told of the search: "root", "tree" (an edge to a new vertex), "back" and
+    "left" (a vertex is done).
     """
+    watch = watch or (lambda *_: None)
     first, heads, edges = (a.tolist() for a in adjacency(n, x, y))
     degree = [first[v + 1] - first[v] for v in range(n)]
     block, gone = list(range(len(x))), [False] * len(x)
@@ -83,6 +59,7 @@ def blocks(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if number[root] >= 0 or not degree[root]:
             continue
         number[root] = low[root] = count
+        watch("root", root, -1)
         count += 1
         stack, held = [(root, -1)], []
         while stack:
@@ -98,11 +75,14 @@ def blocks(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
                     count += 1
                     held.append(e)
                     stack.append((w, e))
+                    watch("tree", w, e)
                 elif number[w] < number[v]:
                     held.append(e)
                     low[v] = min(low[v], number[w])
+                    watch("back", w, e)
                 continue
             stack.pop()
+            watch("left", v, entered)
             if stack:
                 u = stack[-1][0]
                 low[u] = min(low[u], low[v])
@@ -118,6 +98,10 @@ def blocks(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(block, np.int64)
 
 
+#: Sources are searched together up to this longest edge, in units; beyond, one by one.
+MOST_LEVELS = 64
+
+
 class PathGraph:
     """Arrays that shortest-path kernels share; lengths are whole numbers."""
 
@@ -128,6 +112,7 @@ class PathGraph:
         self.uniform = len(x) == 0 or bool((self.length == self.length[0]).all())
         self.mult = np.ones(n) if mult is None else np.asarray(mult, float)
         self.counted = np.ones(n, bool) if counted is None else np.asarray(counted, bool)
+        self.weight = np.where(self.counted, self.mult, 0.0)
 
     def _out(self, nodes):
         sizes = self.first[nodes + 1] - self.first[nodes]
@@ -194,8 +179,127 @@ class PathGraph:
         distance[reached], paths[reached] = -1, 0
         return out
 
+    def folded(self):
+        """(core, tree): the graph without its hanging trees, and what the trees contribute.
+
+        Vertices with one neighbour are folded into it, round after round, with
+        their weight (members that are sources and targets). Everything that
+        passes a vertex with folded parts, to or from one of them, does so
+        whatever the lengths, so it is a product of weights; the core alone is
+        searched. tree: the gain of every class from such pairs.
+        """
+        n, owner = self.n, np.repeat(np.arange(self.n), np.diff(self.first))
+        own = np.where(self.counted, self.mult, 0.0)
+        weight, squares, degree, alive = own.copy(), np.zeros(n), np.diff(self.first), np.ones(n, bool)
+        while True:
+            leaves = np.flatnonzero(alive & (degree == 1))
+            if not len(leaves):
+                break
+            tails, at = self._out(leaves)
+            inside = alive[self.heads[at]]
+            leaves, parents = tails[inside], self.heads[at][inside]
+            keep = (degree[parents] > 1) | (leaves < parents)  # of two that only have each other one stays
+            leaves, parents = leaves[keep], parents[keep]
+            np.add.at(weight, parents, weight[leaves])
+            np.add.at(squares, parents, weight[leaves] ** 2)
+            np.subtract.at(degree, parents, 1)
+            alive[leaves], degree[leaves] = False, 0
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, owner, label[self.heads])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        total = np.bincount(label, own, n)[label]
+        tree = (total - own) ** 2 - squares - (total - weight) ** 2
+        kept = np.flatnonzero(alive & (degree > 0))
+        kept = kept[np.argsort(label[kept], kind="stable")]
+        inside = alive[owner] & alive[self.heads] & (owner < self.heads)
+        place = np.full(n, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        edge = np.flatnonzero(inside)
+        core = PathGraph(len(kept), place[owner[edge]], place[self.heads[edge]], self.length[edge], self.mult[kept])
+        core.weight, core.parts, core.kept = weight[kept], np.flatnonzero(np.diff(label[kept], prepend=-1)), kept
+        return core, np.where(tree > 0, tree, 0.0)
+
+    def batches(self, cells: int = 1 << 21, most: int = 64):
+        """(first, stop) runs of vertices of one component that are searched together, within a size of arrays."""
+        out = []
+        for low, high in zip(self.parts.tolist(), [*self.parts.tolist()[1:], self.n]):
+            step = max(1, min(most, cells // (high - low)))
+            out += [(low, high, at, min(at + step, high)) for at in range(low, high, step)]
+        return out
+
+    def _by_length(self):
+        """Per length, in multiples of the common unit: the CSR of its edges."""
+        if not hasattr(self, "_split"):
+            owner, unit = np.repeat(np.arange(self.n), np.diff(self.first)), max(1, int(np.gcd.reduce(self.length)))
+            self._split = []
+            for length in np.unique(self.length).tolist():
+                at = np.flatnonzero(self.length == length)
+                self._split.append((length // unit, np.searchsorted(owner[at], np.arange(self.n + 1)), self.heads[at]))
+        return self._split
+
+    @staticmethod
+    def _pull(first, heads, low: int, rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+        """Add the neighbours' values to out, one row for each of rows (local to the component at ``low``)."""
+        sizes = first[rows + low + 1] - first[rows + low]
+        some = np.flatnonzero(sizes)
+        if len(some):
+            sizes, starts = sizes[some], np.cumsum(sizes[some]) - sizes[some]
+            at = np.arange(int(sizes.sum())) - np.repeat(starts - first[rows[some] + low], sizes)
+            out[some] += np.add.reduceat(values[heads[at] - low], starts, axis=0)
+
+    def add_batch(self, low: int, high: int, first: int, stop: int, total: np.ndarray) -> None:
+        """``add_dependencies`` of the vertices first to stop of the component low to high of a core.
+
+        All sources advance together, one unit of length per level; a vertex
+        gets its path counts from the levels that its edges' lengths lie back.
+        """
+        sources, split = first + np.flatnonzero(self.weight[first:stop]), self._by_length()
+        longest = max((length for length, *_ in split), default=1)
+        if longest > MOST_LEVELS:
+            for s in sources.tolist():
+                self.add_dependencies(s, total)
+            return
+        if not len(sources):
+            return
+        column, mult, weight = np.arange(len(sources)), self.mult[low:high, None], self.weight[low:high, None]
+        at_level = np.full((high - low, len(sources)), -1, np.int32)
+        paths = np.zeros(at_level.shape)
+        at_level[sources - low, column], paths[sources - low, column] = 0, self.mult[sources]
+        rows_at, level, last = {0: np.unique(sources) - low}, 0, 0
+        while level < last + longest:
+            level += 1
+            rows = np.flatnonzero((at_level < 0).any(1))
+            if not len(rows):
+                break
+            found = np.zeros((len(rows), len(sources)))
+            for length, *edges in split:
+                if level - length in rows_at:
+                    self._pull(*edges, low, rows, np.where(at_level == level - length, paths, 0), found)
+            new = (at_level[rows] < 0) & (found > 0)
+            some = new.any(1)
+            if some.any():
+                rows, found, new, last = rows[some], found[some], new[some], level
+                at_level[rows] = np.where(new, level, at_level[rows])
+                paths[rows] = np.where(new, found * mult[rows], paths[rows])
+                rows_at[level] = rows
+        gain, share = np.zeros(at_level.shape), np.zeros(at_level.shape)
+        for level in sorted(rows_at, reverse=True)[:-1]:
+            rows = rows_at[level]
+            here, found = at_level[rows] == level, np.zeros((len(rows), len(sources)))
+            for length, *edges in split:
+                if level + length in rows_at:
+                    self._pull(*edges, low, rows, np.where(at_level == level + length, share, 0), found)
+            gain[rows] = np.where(here, paths[rows] * found, gain[rows])
+            share[rows] = np.where(here, (weight[rows] + gain[rows]) * mult[rows] / np.where(here, paths[rows], 1), share[rows])
+        total[low:high] += gain @ self.weight[sources]
+
     def add_dependencies(self, source: int, total: np.ndarray) -> None:
-        """Add to ``total`` what each class gains from the paths of one source class to all counted ones.
+        """Add to ``total`` what each class gains from the paths of one source class to all others, by their weights.
 
         Only what the search reached is touched, so a source costs its own
         component, however many there are.
@@ -203,8 +307,8 @@ class PathGraph:
         distance, paths, gain = self._scratch()
         reached, steps = self._reach(source)
         for tails, heads in reversed(steps):
-            share = (np.where(self.counted[heads], self.mult[heads], 0) + gain[heads]) * self.mult[heads] / paths[heads]
+            share = (self.weight[heads] + gain[heads]) * self.mult[heads] / paths[heads]
             np.add.at(gain, tails, paths[tails] * share)
         gain[source] = 0
-        total[reached] += gain[reached] * self.mult[source]
+        total[reached] += gain[reached] * self.weight[source]
         distance[reached], paths[reached], gain[reached] = -1, 0, 0

@@ -1,8 +1,9 @@
 """Shortest paths and betweenness.
 
 The graph goes to the workers as arrays when it has at most BROADCAST_EDGES
-edges (its size is checked); sources are dealt over the cluster and partial
-vectors are summed. Larger graphs take the frontier form: one join per level,
+edges (its size is checked). For betweenness hanging trees are folded away first
+and runs of sources are searched together; they are dealt over the cluster and
+partial vectors are summed. Larger graphs take the frontier form: one join per level,
 on edges cut into unit lengths.
 """
 
@@ -17,7 +18,8 @@ from .components import ensure_checkpoint_dir
 from .graph import both_ways
 from .kernels import PathGraph
 
-BROADCAST_EDGES = 20_000_000
+#: A graph of so many edges is 64 MB of arrays in a worker, about, and twice that in the driver.
+BROADCAST_EDGES = 2_000_000
 
 
 def _arrays(edges: DataFrame, classes: DataFrame | None = None):
@@ -135,16 +137,22 @@ def betweenness(edges: DataFrame, classes: DataFrame, limit: int | None = None)
         return frontier_betweenness(edges, classes)
     spark = edges.sparkSession
     vids, x, y, length, mult, counted = _arrays(edges, classes)
-    held = spark.sparkContext.broadcast((vids, PathGraph(len(vids), x, y, length, mult, counted)))
+    core, tree = PathGraph(len(vids), x, y, length, mult, counted).folded()
+    runs = core.batches()
+    held = spark.sparkContext.broadcast((vids[core.kept], core, runs))
 
     def run(batches):
-        vids, graph = held.value
-        total = np.zeros(graph.n)
+        vids, core, runs = held.value
+        total = np.zeros(core.n)
         for batch in batches:
-            for i in batch.column("i").to_pylist():
-                graph.add_dependencies(i, total)
+            for k in batch.column(0).to_pylist():
+                core.add_batch(*runs[k], total)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(vids[at]), pa.array(total[at] / graph.mult[at])], ["vid", "score"])
-
-    sums = _sources(spark, vids, counted).mapInArrow(run, "vid long, score double").groupBy("vid").agg(F.sum("score").alias("score"))
-    return classes.select("vid").join(sums, "vid", "left").select("vid", F.coalesce("score", F.lit(0.0)).alias("score"))
+        yield pa.RecordBatch.from_arrays([pa.array(vids[at]), pa.array(total[at])], ["vid", "gain"])
+
+    parts = max(1, min(len(runs), 4 * spark.sparkContext.defaultParallelism))
+    gains = spark.range(0, len(runs), 1, parts).mapInArrow(run, "vid long, gain double")
+    at = np.flatnonzero(tree)
+    hanging = spark.createDataFrame(pa.table({"vid": vids[at], "gain": tree[at]})) if len(at) else spark.createDataFrame([], "vid long, gain double")
+    sums = gains.union(hanging).groupBy("vid").agg(F.sum("gain").alias("gain"))
+    return classes.select("vid", "mult").join(sums, "vid", "left").select("vid", F.coalesce(F.col("gain") / F.col("mult"), F.lit(0.0)).alias("score"))

@@ -74,7 +74,7 @@ def skip_fit_removed(courses: DataFrame, budgets: DataFrame) -> DataFrame:
                         taken.append((t, crsid))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in taken], pa.int32()), pa.array([x[1] for x in taken], pa.int64())], ["threshold_id", "crsid"])
 
-    ordered = courses.select("crsid", "cost", "degree").orderBy(*_by_size()).select("crsid", "cost").coalesce(1)
+    ordered = courses.select("crsid", "cost", "degree").repartition(1).sortWithinPartitions(*_by_size())
     return ordered.mapInArrow(fold, "threshold_id int, crsid long")
 
 

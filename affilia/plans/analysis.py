@@ -7,6 +7,8 @@ sweep run as single jobs instead of a loop over budgets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,23 @@ from ..operators import contraction, graph, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 
 SPAN = 1 << 44
-#: Lengths are SCALE / hours: whole numbers for 1 to 4 hours.
-SCALE = 12
+#: Largest scale of lengths; distances then stay far below 64 bits.
+MOST_SCALE = 1 << 40
+STRATEGIES = {"prefix": removal.prefix_removed, "skip_fit": removal.skip_fit_removed}
+
+
+def common_scale(hours: DataFrame) -> int:
+    """The least number that every value of ``hours`` divides, so that lengths scale / hours are whole.
+
+    Hours whose common multiple exceeds MOST_SCALE are refused; a set of
+    distinct values gets there after a few dozen, so no more are read.
+    """
+    scale = 1
+    for row in hours.select("hours").distinct().where("hours >= 1").toLocalIterator():
+        scale = math.lcm(scale, row["hours"])
+        if scale > MOST_SCALE:
+            raise ValueError(f"the hours have no common multiple up to {MOST_SCALE}")
+    return scale
 
 
 def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students: DataFrame, counted_courses: DataFrame, grad: DataFrame) -> DataFrame:
@@ -32,12 +49,13 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     classes = table.select("cid", "mult", F.col("grad.in_src").alias("counted"))
     edges = table.select("cid", F.explode("nbr").alias("crsid"))
     member = table.select("cid", F.explode("members").alias("stid"))
-    lengths = hours.select("crsid", (F.lit(SCALE) / F.col("hours")).cast("long").alias("length"))
+    scale = common_scale(hours)
+    lengths = hours.select("crsid", F.expr(f"{scale} div hours").alias("length"))
     vertex_edges = edges.join(lengths, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
     course_rows = pairs.select("crsid").distinct().join(counted_courses.select("crsid", F.lit(True).alias("counted")), "crsid", "left")
     vertices = classes.select((F.col("cid") * 2).alias("vid"), "mult", "counted").union(course_rows.select((F.col("crsid") * 2 + 1).alias("vid"), F.lit(1).cast("long"), F.coalesce("counted", F.lit(False)))).checkpoint()
     external = paths.betweenness(vertex_edges, vertices)
-    nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours, SCALE)
+    nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours, scale)
     internal = contraction.internal_pairs(nearest).select((F.col("crsid") * 2 + 1).alias("vid"), "score")
     scores = external.unionByName(internal).groupBy("vid").agg(F.sum("score").alias("score"))
     students = member.join(scores.where("vid % 2 = 0").select((F.col("vid") / 2).cast("long").alias("cid"), "score"), "cid").select(F.lit("s").alias("kind"), F.col("stid").alias("id"), "score")
@@ -45,16 +63,19 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     return students.union(courses)
 
 
-def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betweenness: bool = True) -> DataFrame:
-    """One report row per budget: threshold_id, removed_cost, included(_pct), max_cc(_pct), max_bcc(_pct), max_bc.
+def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betweenness: bool = True, strategy: str = "prefix", n_courses: int | None = None) -> DataFrame:
+    """One report row per budget: threshold_id, removed_cost, n_vertices, included(_pct), max_cc(_pct), max_bcc(_pct), max_bc.
 
-    Percentages are of all students (n_total, or those with a row), whatever is removed.
+    Percentages are of all students (n_total, or those with a row), whatever is
+    removed. n_vertices are the included students and the courses that stay:
+    of n_courses declared ones, or of those with a row. ``strategy`` says which
+    courses a budget removes: the prefix of the largest, or all that still fit.
     """
     ensure_checkpoint_dir(enrol.sparkSession)
     enrol = enrol.checkpoint()
     courses = graph.course_attributes(enrol).checkpoint()
     budgets = budgets.checkpoint()
-    removed = removal.prefix_removed(courses, budgets).checkpoint()
+    removed = STRATEGIES[strategy](courses, budgets).select("threshold_id", "crsid").join(courses.select("crsid", "cost"), "crsid").checkpoint()
     pairs = graph.memberships(enrol)
     thresholds = [F.lit(r["threshold_id"]) for r in budgets.select("threshold_id").collect()]  # a constant relation
     live = pairs.withColumn("threshold_id", F.explode(F.array(*thresholds))).join(removed.select("threshold_id", "crsid"), ["threshold_id", "crsid"], "left_anti")
@@ -71,7 +92,7 @@ def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betw
     blocks = C.block_sizes(members.withColumn("block_id", F.concat_ws("/", F.expr(f"vid div {2 * SPAN}"), "block_id")))
     blocks = blocks.groupBy(F.expr("cast(split_part(block_id, '/', 1) as int)").alias("threshold_id")).agg(F.max("n_students").alias("max_bcc"))
     gone = removal.removal_summary(removed, budgets)
-    n_courses = F.lit(courses.count())
+    n_courses = F.lit(courses.count() if n_courses is None else n_courses)
     n_students = F.lit(enrol.select("stid").distinct().count() if n_total is None else n_total)
     out = gone.join(included, "threshold_id", "left").join(top.drop("comp_id"), "threshold_id", "left").join(blocks, "threshold_id", "left")
     if betweenness:
@@ -90,6 +111,7 @@ def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betw
     return out.select(
         "threshold_id",
         "removed_cost",
+        n.cast("long").alias("n_vertices"),
         zero("included").alias("included"),
         percent(zero("included"), n_students).alias("included_pct"),
         zero("max_cc").alias("max_cc"),

@@ -41,19 +41,43 @@ def test_more_hours_are_nearer(spark):
     close(scores(spark, parsed(spark, WC5_HOURS)), {("s", 1): 1 / 6, ("s", 2): 0, ("s", 3): 1 / 6, ("c", 1): 1 / 2, ("c", 2): 1 / 6})
 
 
-def test_true_shortest_paths_with_mixed_hours(spark, monkeypatch):
-    monkeypatch.setattr(analysis, "SCALE", 24)
+def test_true_shortest_paths_with_mixed_hours(spark):
     close(scores(spark, roster(spark, MIXED)), brute(MIXED))
 
 
+@pytest.mark.parametrize("hours", [(5, 6), (13, 24), tuple(range(1, 14))])
+def test_hours_of_any_size(spark, hours):
+    rng = random.Random(sum(hours))
+    rows = [(s, c, hours[c % len(hours)]) for s in range(1, 9) for c in rng.sample(range(1, 8), 3)]
+    close(scores(spark, roster(spark, rows)), brute(rows))
+    both = [(1, 1, hours[0]), (1, 2, hours[-1]), (2, 1, hours[0]), (2, 2, hours[-1])]
+    assert scores(spark, roster(spark, both))["c", 1] == 0  # the course of more hours is nearer
+
+
+def test_hours_without_a_common_multiple(spark):
+    rows = roster(spark, [(1, c, h) for c, h in enumerate((999983, 999979, 999961), 1)])
+    with pytest.raises(ValueError, match="common multiple"):
+        analysis.common_scale(rows)
+
+
+def test_declared_courses_and_strategy(spark):
+    rows = roster(spark, [(s, 1, 1) for s in range(9)] + [(s, 2, 1) for s in range(5)] + [(0, 3, 1)])
+    one = analysis.sweep(rows, budgets(spark, 6), betweenness=False).first()
+    two = analysis.sweep(rows, budgets(spark, 6), betweenness=False, strategy="skip_fit", n_courses=10).first()
+    assert (one.removed_cost, one.n_vertices) == (0, 12) and (two.removed_cost, two.n_vertices) == (6, 9 + 8)
+
+
+M = 360360  # every hour up to 15 divides it
+
+
 def brute(rows):
     """All-pairs betweenness by Floyd-Warshall and path counting, normalised."""
     vs = sorted({("s", s) for s, _, _ in rows} | {("c", c) for _, c, _ in rows})
     length = {}
     for s, c, h in rows:
-        length["s", s, "c", c] = 24 // h
-        length["c", c, "s", s] = 24 // h
-    inf = 10**9
+        length["s", s, "c", c] = M // h
+        length["c", c, "s", s] = M // h
+    inf = 10**12
     d = {(u, v): 0 if u == v else length.get((*u, *v), inf) for u in vs for v in vs}
     for k, u, v in itertools.product(vs, vs, vs):
         d[u, v] = min(d[u, v], d[u, k] + d[k, v])

@@ -87,12 +87,54 @@ def test_generic_betweenness(spark):
     assert abs(scores[7] - 132) < 1e-9 and max(scores.values()) == scores[7]
 
 
-def test_visitor_hooks():
-    neighbors = {0: [1, 2], 1: [0, 2], 2: [0, 1], 3: []}
+def test_watching_the_search():
     seen = []
-    kernels.depth_first(4, neighbors.__getitem__, lambda u, v: seen.append(("in", u, v)), lambda u, v: seen.append(("out", u, v)), None, lambda u, v: seen.append(("again", u, v)))
-    assert [s for s in seen if s[0] == "in"] == [("in", 0, 0), ("in", 0, 1), ("in", 1, 2), ("in", 3, 3)]
-    assert seen[-1] == ("out", 3, 3) and ("again", 2, 0) in seen
+    kernels.blocks(5, np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), watch=lambda *event: seen.append(event))
+    assert seen == [("root", 0, -1), ("tree", 1, 0), ("tree", 2, 2), ("back", 0, 1), ("left", 2, 2), ("left", 1, 0), ("left", 0, -1)]
+
+
+def _scores_of_members(n, x, y, length, mult, counted):
+    """Betweenness of every class by all shortest paths between its members, written out."""
+    cls = np.repeat(np.arange(n), mult)
+    size = len(cls)
+    edge = np.full((size, size), np.inf)
+    for a, b, far in zip(x, y, length):
+        edge[np.ix_(cls == a, cls == b)] = far
+        edge[np.ix_(cls == b, cls == a)] = far
+    d = edge.copy()
+    np.fill_diagonal(d, 0)
+    for k in range(size):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    ways = np.eye(size)
+    for s in range(size):
+        for v in np.argsort(d[s], kind="stable"):
+            if v != s and np.isfinite(d[s, v]):
+                ways[s, v] = sum(ways[s, u] for u in range(size) if d[s, u] + edge[u, v] == d[s, v])
+    out = np.zeros(n)
+    for s in range(size):
+        for t in range(size):
+            if cls[s] != cls[t] and counted[cls[s]] and counted[cls[t]] and np.isfinite(d[s, t]):
+                for v in range(size):
+                    if v not in (s, t) and d[s, v] + d[v, t] == d[s, t]:
+                        out[cls[v]] += ways[s, v] * ways[v, t] / ways[s, t]
+    return out / mult
+
+
+def test_folded_batches():
+    """Trees, merged classes, uncounted vertices and mixed lengths, together and one by one."""
+    rng = np.random.default_rng(4)
+    for turn in range(40):
+        n = int(rng.integers(2, 14))
+        edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (int(rng.integers(1, 2 * n)), 2)) if a != b}) or [(0, 1)]
+        x, y = map(np.array, zip(*edges))
+        length = np.full(len(x), 3) if turn % 3 == 0 else rng.integers(1, 4, len(x)) if turn % 3 == 1 else rng.choice([1, 2, 90], len(x))
+        mult, counted = rng.choice([1, 1, 2, 3], n), rng.random(n) < 0.8
+        core, got = kernels.PathGraph(n, x, y, length, mult, counted).folded()
+        total = np.zeros(core.n)
+        for run in core.batches(cells=40):
+            core.add_batch(*run, total)
+        got[core.kept] += total
+        assert np.allclose(got / mult, _scores_of_members(n, x, y, length, mult, counted)), turn
 
 
 def test_running_total(spark):
