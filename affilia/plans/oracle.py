@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from ..sources.views import FILTERS, SIZES
+from ..sources import views
 
 BIG = 4294967296
 
 
-def base(view: str, weighted: bool = True) -> str:
+def base(weighted: bool = True) -> str:
     """CTEs: en (rows), pr (distinct pairs), cr (courses), st (students), ed (edges), ee (both ways)."""
     hours = "(1 + p_size % 4)::bigint" if weighted else "1::bigint"
     return f"""en as materialized (select l_orderkey * 8 + l_linenumber as row_id, o_custkey::bigint as stid, l_partkey::bigint as crsid,
       (c_nationkey % 6 + 1)::int as major, c_custkey % 4 = 0 as grad, {hours} as hours
-      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where {FILTERS[view]}),
+      from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey),
     pr as materialized (select distinct stid, crsid from en),
     cr as materialized (select crsid, max_by(hours, row_id) as hours, sum(hours)::bigint as cost, count(*) as degree from en group by crsid),
     st as materialized (select stid, max_by(major, row_id) as major, max_by(grad, row_id) as grad from en group by stid),
@@ -20,9 +20,9 @@ def base(view: str, weighted: bool = True) -> str:
     ee as materialized (select a, b from ed union all select b, a from ed)"""
 
 
-def thresholds(view: str, less: int = 0) -> str:
+def thresholds(less: int = 0) -> str:
     """CTEs: th (threshold_id, min_size), bu (threshold_id, max_cost)."""
-    rows = ", ".join(["(0, null::bigint)", *(f"({k}, {s}::bigint)" for k, s in enumerate(SIZES[view], 1))])
+    rows = ", ".join(["(0, null::bigint)", *(f"({k}, {s}::bigint)" for k, s in enumerate(views.SIZES, 1))])
     return f"""th(threshold_id, min_size) as (values {rows}),
     tt as (select threshold_id, min_size, count(crsid) as n_courses, coalesce(sum(cost), 0)::bigint as cost from th left join cr on degree >= min_size group by 1, 2),
     bu as materialized (select threshold_id, greatest(cost - {less}, 0)::bigint as max_cost from tt),
@@ -78,7 +78,7 @@ SCORES = """bs as (select x.t, x.v, sum(x.n * y.n / z.n) as raw
     sc as materialized (select cc.t, cc.v as vid, coalesce(raw, 0) as raw from cc left join bs on bs.t = cc.t and bs.v = cc.v),
     nn as (select t, count(*) as n from cc group by t)"""
 NORM1 = "case when n > 2 then 1.0 / ((n - 2) * (n - 1)) else 0 end"
-LIVE = """bigc as (select crsid * 2 + 1 as vid from cr where degree >= 4),
+LIVE = """bigc as (select crsid * 2 + 1 as vid from cr where degree >= {masked}),
     vt as (select distinct a as vid from ee), lv as materialized (select vid from vt where vid not in (select vid from bigc)),
     le as materialized (select a, b from ed where a in (select vid from lv) and b in (select vid from lv)),
     l2 as materialized (select a, b from le union all select b, a from le)"""
@@ -94,9 +94,9 @@ def _report(only: str = "true") -> str:
         where not exists (select 1 from rm where rm.threshold_id = t.threshold_id and rm.crsid = pr.crsid)),
       g as materialized (select t, stid * 2 as a, crsid * 2 + 1 as b from vy union all select t, crsid * 2 + 1, stid * 2 from vy)"""
     return with_(
-        base("small", weighted=False), thresholds("small"), live, CC, BLOCKS, UNIT_PATHS, SCORES,
+        base(weighted=False), thresholds(), live, CC, BLOCKS, UNIT_PATHS, SCORES,
         then=f"""select bu.threshold_id, coalesce(r.c, 0)::bigint as removed_cost,
-        coalesce(i.n, 0) as included, round(100.0 * coalesce(i.n, 0) / s.n, 1)::double as included_pct,
+        q::bigint as n_vertices, coalesce(i.n, 0) as included, round(100.0 * coalesce(i.n, 0) / s.n, 1)::double as included_pct,
         coalesce(big.n, 0) as max_cc, round(100.0 * coalesce(big.n, 0) / s.n, 1)::double as max_cc_pct,
         coalesce(b.n, 0) as max_bcc, round(100.0 * coalesce(b.n, 0) / s.n, 1)::double as max_bcc_pct,
         round(coalesce(m.raw, 0) * case when q > 2 then 1.0 / ((q - 2) * (q - 1)) else 0 end, 9) as max_bc
@@ -110,53 +110,66 @@ def _report(only: str = "true") -> str:
     )
 
 
-def sql() -> dict[str, str]:
-    full, small, tiny, ret48, ret45 = (base(v) for v in ("full", "small", "tiny", "ret48", "ret45"))
-    blocks = (small, G0, CC, BLOCKS)
+#: Searches from every vertex and relations between edges, too slow in SQL on a whole roster; on fixtures it checks them.
+SLOW = frozenset(
+    "biconnected_components bicomponents_generic largest_block cut_vertices block_cut_counts block_cut_forest bfs_distances shortest_path_counts "
+    "betweenness betweenness_norms max_betweenness weighted_betweenness report_row threshold_report".split()
+)
+
+
+def sql(slow: bool = False) -> dict[str, str]:
+    """SQL by query; with ``slow`` also what only small tables allow."""
+    full, live = base(), LIVE.format(masked=views.MASKED_DEGREE)
+    everything = _sql(full, live)
+    return everything if slow else {k: v for k, v in everything.items() if k not in SLOW}
+
+
+def _sql(full: str, live: str) -> dict[str, str]:
+    blocks = (full, G0, CC, BLOCKS)
     cuts = "ct as (select vid, count(*) as n_blocks from bm group by vid having count(*) > 1)"
     tiny_weighted = "g as materialized (select 0 as t, ee.a, ee.b, 12 // hours as len from ee join cr on (case when a % 2 = 1 then a else b end) = crsid * 2 + 1)"
     bicuts = "select block_id, count(ct.vid) as cut_count from bm left join ct using (vid) group by block_id"
     live_g = "g as materialized (select 0 as t, a, b from l2)"
     return {
-        "scan_roster": with_(small, then="select stid, crsid, major, grad, hours from en"),
-        "dict_encode": with_(small, then="select 's' as kind, stid as id, dense_rank() over (order by stid) - 1 as code from st union all select 'c', crsid, dense_rank() over (order by crsid) - 1 from cr"),
+        "scan_roster": with_(full, then="select stid, crsid, major, grad, hours from en"),
+        "dict_encode": with_(full, then="select 's' as kind, stid as id, dense_rank() over (order by stid) - 1 as code from st union all select 'c', crsid, dense_rank() over (order by crsid) - 1 from cr"),
         "infer_cardinality": with_(full, then="select max(stid) as n_students, max(crsid) as n_courses from en"),
         "student_attrs": with_(full, then="select stid, major, grad from st"),
         "type_pack": with_(full, then="select stid, (major * 2 + grad::int)::int as type, major, grad, true as is_student from st"),
         "course_cost": with_(full, then="select crsid, cost from cr"),
         "course_degree": with_(full, then="select crsid, degree from cr"),
-        "student_neighborhood": with_(ret45, then="select stid, count(*) as degree, string_agg(crsid::varchar, ',' order by crsid) as nbr from pr group by stid"),
+        "student_neighborhood": with_(full, then="select stid, count(*) as degree, string_agg(crsid::varchar, ',' order by crsid) as nbr from pr group by stid"),
         "rank_courses": with_(full, then="select crsid, degree, row_number() over (order by degree desc, crsid) as rank from cr"),
-        "masked_degrees": with_(small, LIVE, then="select vt.vid, count(l2.b) as degree from vt left join l2 on l2.a = vt.vid group by vt.vid"),
-        "included_students": with_(ret48, then="select distinct stid from pr join cr using (crsid) where degree < 2"),
-        "non0_vertices": with_(small, LIVE, then="select distinct a as vid from l2"),
+        "masked_degrees": with_(full, live, then="select vt.vid, count(l2.b) as degree from vt left join l2 on l2.a = vt.vid group by vt.vid"),
+        "included_students": with_(full, then=f"select distinct stid from pr join cr using (crsid) where degree < {views.MASKED_DEGREE}"),
+        "non0_vertices": with_(full, live, then="select distinct a as vid from l2"),
         "undergrad_subgraph": with_(full, then="select stid, crsid from pr join st using (stid) where not grad"),
-        "induced_edges": with_(small, LIVE, then="select a, b from le"),
-        "co_enrolment": with_(ret45, then="select x.stid as st1, y.stid as st2, count(*) as n_shared from pr x join pr y using (crsid) where x.stid < y.stid group by 1, 2"),
-        "size_threshold_costs": with_(full, thresholds("full"), then="select threshold_id, min_size, cost from tt"),
-        "size_threshold_counts": with_(full, thresholds("full"), then="select threshold_id, min_size, n_courses, cost from tt"),
-        "budget_prefix_removed": with_(full, thresholds("full", 1), then="select threshold_id, crsid from rm"),
-        "budget_prefix_summary": with_(full, thresholds("full", 1), then="select threshold_id, max_cost, count(crsid) as n_removed, coalesce(sum(rm.cost), 0)::bigint as removed_cost from bu left join rm using (threshold_id) group by 1, 2"),
+        "induced_edges": with_(full, live, then="select a, b from le"),
+        "co_enrolment": with_(full, then="select x.stid as st1, y.stid as st2, count(*) as n_shared from pr x join pr y using (crsid) where x.stid < y.stid group by 1, 2"),
+        "size_threshold_costs": with_(full, thresholds(), then="select threshold_id, min_size, cost from tt"),
+        "size_threshold_counts": with_(full, thresholds(), then="select threshold_id, min_size, n_courses, cost from tt"),
+        "budget_prefix_removed": with_(full, thresholds(1), then="select threshold_id, crsid from rm"),
+        "budget_prefix_summary": with_(full, thresholds(1), then="select threshold_id, max_cost, count(crsid) as n_removed, coalesce(sum(rm.cost), 0)::bigint as removed_cost from bu left join rm using (threshold_id) group by 1, 2"),
         "budget_greedy_removed": with_(
-            full, thresholds("full", 1), "o as materialized (select *, row_number() over (order by degree desc, crsid) as rn from cr)",
+            full, thresholds(1), "o as materialized (select *, row_number() over (order by degree desc, crsid) as rn from cr)",
             "gr(t, budget, rn, tc, crs, taken) as (select threshold_id, max_cost, 0::bigint, 0::bigint, null::bigint, false from bu union all select gr.t, gr.budget, o.rn, case when gr.tc + o.cost <= gr.budget then gr.tc + o.cost else gr.tc end, o.crsid, gr.tc + o.cost <= gr.budget from gr join o on o.rn = gr.rn + 1)",
             then="select t as threshold_id, crs as crsid from gr where taken",
         ),
-        "contract_students": with_(ret45, CLASSES, then="select cid, grad, mult, len(nbr)::bigint as degree from cla"),
-        "contracted_edges": with_(ret45, CLASSES, then="select cid, crsid from ce"),
-        "contracted_degree": with_(ret45, CLASSES, then="select crsid, count(*) as degree from ce group by crsid"),
+        "contract_students": with_(full, CLASSES, then="select cid, grad, mult, len(nbr)::bigint as degree from cla"),
+        "contracted_edges": with_(full, CLASSES, then="select cid, crsid from ce"),
+        "contracted_degree": with_(full, CLASSES, then="select crsid, count(*) as degree from ce group by crsid"),
         "compress_graph": with_(
-            ret45, "nv as (select a as vid, list(b order by b) as nbr from ee group by a)", "kw as (select vid, nbr, vid % 2 = 0 as in_src, coalesce(hours, 0) as weight from nv left join cr on vid = crsid * 2 + 1)",
+            full, "nv as (select a as vid, list(b order by b) as nbr from ee group by a)", "kw as (select vid, nbr, vid % 2 = 0 as in_src, coalesce(hours, 0) as weight from nv left join cr on vid = crsid * 2 + 1)",
             then="select min(vid) as cid, in_src, weight, count(*) as mult from kw group by in_src, weight, nbr",
         ),
-        "min_weight_neighbors": with_(ret45, CLASSES, then="select cid, mult, length, count(*) as n_nearest from ne group by 1, 2, 3"),
-        "internal_pair_bc": with_(ret45, CLASSES, "wy as (select cid, count(*) as ways from ne group by cid)", then="select crsid, round(sum(mult * (mult - 1) / ways::double), 9) as score from ne join wy using (cid) where mult > 1 group by crsid"),
-        "connected_components": with_(ret45, G0, CC, then="select v as vid, l as comp_id from cc"),
-        "cc_sizes": with_(ret45, G0, CC, then="select l as comp_id, n_students, n_vertices from cs"),
-        "largest_component": with_(ret45, G0, CC, then="select l as comp_id, n_students, n_vertices from cs order by n_students desc, l limit 1"),
-        "component_student_sizes": with_(ret45, G0, CC, then="select n_students, count(*) as n_components from cs group by n_students"),
+        "min_weight_neighbors": with_(full, CLASSES, then="select cid, mult, length, count(*) as n_nearest from ne group by 1, 2, 3"),
+        "internal_pair_bc": with_(full, CLASSES, "wy as (select cid, count(*) as ways from ne group by cid)", then="select crsid, round(sum(mult * (mult - 1) / ways::double), 9) as score from ne join wy using (cid) where mult > 1 group by crsid"),
+        "connected_components": with_(full, G0, CC, then="select v as vid, l as comp_id from cc"),
+        "cc_sizes": with_(full, G0, CC, then="select l as comp_id, n_students, n_vertices from cs"),
+        "largest_component": with_(full, G0, CC, then="select l as comp_id, n_students, n_vertices from cs order by n_students desc, l limit 1"),
+        "component_student_sizes": with_(full, G0, CC, then="select n_students, count(*) as n_components from cs group by n_students"),
         "biconnected_components": with_(*blocks, then="select block_id, vid from bm"),
-        "bicomponents_generic": with_(small, LIVE, live_g, CC, BLOCKS, then="select block_id, vid from bm union all select vid::varchar || '-' || vid::varchar, vid from lv where vid not in (select vid from bm)"),
+        "bicomponents_generic": with_(full, live, live_g, CC, BLOCKS, then="select block_id, vid from bm union all select vid::varchar || '-' || vid::varchar, vid from lv where vid not in (select vid from bm)"),
         "largest_block": with_(*blocks, "sz as (select block_id, count(*) filter (where vid % 2 = 0) as s, count(*) as n from bm group by 1)", then="select max(s) as max_bcc, max(n) as max_vertices, arg_max(s, (n, s)) as students_of_max_vertices from sz"),
         "cut_vertices": with_(*blocks, cuts, then="select vid, n_blocks from ct"),
         "block_cut_counts": with_(*blocks, cuts, then=bicuts),
@@ -165,12 +178,12 @@ def sql() -> dict[str, str]:
             then="""select bk.comp_id, block_id, bk.n_vertices, cut_count, cs.n_vertices as comp_vertices,
             count(*) filter (where cut_count <= 1) over (partition by bk.comp_id) as leaf_count from bk join bc using (block_id) join cs on cs.l = bk.comp_id""",
         ),
-        "bfs_distances": with_(tiny, G0, UNIT_PATHS, then="select s, v, d::bigint as distance from p"),
-        "shortest_path_counts": with_(tiny, G0, UNIT_PATHS, then="select s, v, n as n_paths from p"),
-        "betweenness": with_(small, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
-        "betweenness_norms": with_(tiny, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
-        "max_betweenness": with_(small, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
-        "weighted_betweenness": with_(tiny, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "bfs_distances": with_(full, G0, UNIT_PATHS, then="select s, v, d::bigint as distance from p"),
+        "shortest_path_counts": with_(full, G0, UNIT_PATHS, then="select s, v, n as n_paths from p"),
+        "betweenness": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "betweenness_norms": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
+        "max_betweenness": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
+        "weighted_betweenness": with_(full, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
         "report_row": _report("bu.threshold_id = 2"),
         "threshold_report": _report(),
     }

@@ -1,77 +1,62 @@
-"""Every operator as a named query over the order tables.
-
-Queries that SQL can't follow on the whole roster are registered twice: under
-their name on a cut view (see FILTERS), which the SQL shares, and as full_NAME
-on the whole roster.
-"""
+"""Every operator as a named query over the whole roster of the order tables."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import connectivity, contraction, graph, ordered, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import readers
-from ..sources.views import MASKED_DEGREE, SIZES, roster
+from ..sources import views
+from ..sources.views import roster
 from . import analysis
 
 REGISTRY: dict = {}
-#: full_NAME of every query whose NAME runs on a cut view.
-FULL: dict = {}
-
 
 def query(f):
     REGISTRY[f.__name__] = f
     return f
 
 
-def cut(f):
-    """Registers a query on its own view and on the whole roster."""
-    FULL[f"full_{f.__name__}"] = partial(f, view="full")
-    return query(f)
-
-
-def _pairs(spark, sf_dir, view):
-    return graph.memberships(roster(spark, sf_dir, view))
+def _pairs(spark, sf_dir):
+    return graph.memberships(roster(spark, sf_dir))
 
 
-def _edges(spark, sf_dir, view):
-    return graph.vertex_edges(_pairs(spark, sf_dir, view))
+def _edges(spark, sf_dir):
+    return graph.vertex_edges(_pairs(spark, sf_dir))
 
 
-def _courses(spark, sf_dir, view):
-    return graph.course_attributes(roster(spark, sf_dir, view))
+def _courses(spark, sf_dir):
+    return graph.course_attributes(roster(spark, sf_dir))
 
 
-def _students(spark, sf_dir, view):
-    return graph.student_attributes(roster(spark, sf_dir, view))
+def _students(spark, sf_dir):
+    return graph.student_attributes(roster(spark, sf_dir))
 
 
 def _vertices(edges):
     return graph.both_ways(edges).select(F.col("a").alias("vid")).distinct()
 
 
-def _live(spark, sf_dir, view):
-    """Edges of the view and its vertices without the courses of a large degree."""
-    edges = _edges(spark, sf_dir, view)
-    big = _courses(spark, sf_dir, view).where(F.col("degree") >= MASKED_DEGREE[view]).select(fn.course_vid(F.col("crsid")).alias("vid"))
+def _live(spark, sf_dir):
+    """All edges and the vertices without the courses of a large degree."""
+    edges = _edges(spark, sf_dir)
+    big = _courses(spark, sf_dir).where(F.col("degree") >= views.MASKED_DEGREE).select(fn.course_vid(F.col("crsid")).alias("vid"))
     return edges, _vertices(edges).join(big, "vid", "left_anti")
 
 
-@cut
-def scan_roster(spark, sf_dir, view="small"):
+@query
+def scan_roster(spark, sf_dir):
     """Records written as lines (ids from 1) and parsed again."""
-    one = roster(spark, sf_dir, view).withColumns({c: F.col(c) + 1 for c in ("stid", "crsid")})
+    one = roster(spark, sf_dir).withColumns({c: F.col(c) + 1 for c in ("stid", "crsid")})
     rows = readers.parse_wc5(readers.to_lines(one)).where("error is null").drop("error")
     return rows.withColumns({c: F.col(c) - 1 for c in ("stid", "crsid")})
 
 
-@cut
-def dict_encode(spark, sf_dir, view="small"):
-    pairs = _pairs(spark, sf_dir, view)
+@query
+def dict_encode(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
     kinds = [("s", "stid"), ("c", "crsid")]
     out = [ordered.dense_codes(pairs, c).select(F.lit(k).alias("kind"), F.col(c).alias("id"), "code") for k, c in kinds]
     return out[0].union(out[1])
@@ -79,216 +64,218 @@ def dict_encode(spark, sf_dir, view="small"):
 
 @query
 def infer_cardinality(spark, sf_dir):
-    return graph.cardinality(roster(spark, sf_dir, "full"))
+    return graph.cardinality(roster(spark, sf_dir))
 
 
 @query
 def student_attrs(spark, sf_dir):
-    return _students(spark, sf_dir, "full")
+    return _students(spark, sf_dir)
 
 
 @query
 def type_pack(spark, sf_dir):
-    packed = _students(spark, sf_dir, "full").withColumn("type", fn.pack_type(F.col("major"), F.col("grad")))
+    packed = _students(spark, sf_dir).withColumn("type", fn.pack_type(F.col("major"), F.col("grad")))
     t = F.col("type")
     return packed.select("stid", "type", fn.type_major(t).alias("major"), fn.type_is_grad(t).alias("grad"), fn.is_student(t).alias("is_student"))
 
 
 @query
 def course_cost(spark, sf_dir):
-    return _courses(spark, sf_dir, "full").select("crsid", "cost")
+    return _courses(spark, sf_dir).select("crsid", "cost")
 
 
 @query
 def course_degree(spark, sf_dir):
-    return _courses(spark, sf_dir, "full").select("crsid", "degree")
+    return _courses(spark, sf_dir).select("crsid", "degree")
 
 
-@cut
-def student_neighborhood(spark, sf_dir, view="ret45"):
-    nbr = graph.neighborhoods(_pairs(spark, sf_dir, view))
+@query
+def student_neighborhood(spark, sf_dir):
+    nbr = graph.neighborhoods(_pairs(spark, sf_dir))
     return nbr.select("stid", F.size("nbr").cast("long").alias("degree"), F.array_join("nbr", ",").alias("nbr"))
 
 
 @query
 def rank_courses(spark, sf_dir):
-    return removal.course_ranks(_courses(spark, sf_dir, "full"))
+    return removal.course_ranks(_courses(spark, sf_dir))
 
 
-@cut
-def masked_degrees(spark, sf_dir, view="small"):
-    edges, live = _live(spark, sf_dir, view)
+@query
+def masked_degrees(spark, sf_dir):
+    edges, live = _live(spark, sf_dir)
     return graph.masked_degrees(_vertices(edges), edges, live)
 
 
-@cut
-def included_students(spark, sf_dir, view="ret48"):
-    removed = _courses(spark, sf_dir, view).where(F.col("degree") >= MASKED_DEGREE[view])
-    return graph.included_students(_pairs(spark, sf_dir, view), removed)
+@query
+def included_students(spark, sf_dir):
+    removed = _courses(spark, sf_dir).where(F.col("degree") >= views.MASKED_DEGREE)
+    return graph.included_students(_pairs(spark, sf_dir), removed)
 
 
-@cut
-def non0_vertices(spark, sf_dir, view="small"):
-    return graph.with_neighbor(*_live(spark, sf_dir, view))
+@query
+def non0_vertices(spark, sf_dir):
+    return graph.with_neighbor(*_live(spark, sf_dir))
 
 
 @query
 def undergrad_subgraph(spark, sf_dir):
-    grads = _students(spark, sf_dir, "full").where("grad")
-    return _pairs(spark, sf_dir, "full").join(grads, "stid", "left_anti").select("stid", "crsid")
+    grads = _students(spark, sf_dir).where("grad")
+    return _pairs(spark, sf_dir).join(grads, "stid", "left_anti").select("stid", "crsid")
 
 
-@cut
-def induced_edges(spark, sf_dir, view="small"):
-    return graph.induced(*_live(spark, sf_dir, view))
+@query
+def induced_edges(spark, sf_dir):
+    return graph.induced(*_live(spark, sf_dir))
 
 
-@cut
-def co_enrolment(spark, sf_dir, view="ret45"):
-    return graph.co_enrolment(_pairs(spark, sf_dir, view))
+@query
+def co_enrolment(spark, sf_dir):
+    return graph.co_enrolment(_pairs(spark, sf_dir))
 
 
 @query
 def size_threshold_costs(spark, sf_dir):
-    totals = removal.size_threshold_totals(_courses(spark, sf_dir, "full"), removal.size_thresholds(spark, SIZES["full"]))
+    totals = removal.size_threshold_totals(_courses(spark, sf_dir), removal.size_thresholds(spark, views.SIZES))
     return totals.select("threshold_id", "min_size", "cost")
 
 
 @query
 def size_threshold_counts(spark, sf_dir):
-    return removal.size_threshold_totals(_courses(spark, sf_dir, "full"), removal.size_thresholds(spark, SIZES["full"]))
+    return removal.size_threshold_totals(_courses(spark, sf_dir), removal.size_thresholds(spark, views.SIZES))
 
 
 @query
 def budget_prefix_removed(spark, sf_dir):
-    courses = _courses(spark, sf_dir, "full")
-    return removal.prefix_removed(courses, removal.budgets_of(courses, SIZES["full"], less=1)).select("threshold_id", "crsid")
+    courses = _courses(spark, sf_dir)
+    return removal.prefix_removed(courses, removal.budgets_of(courses, views.SIZES, less=1)).select("threshold_id", "crsid")
 
 
 @query
 def budget_prefix_summary(spark, sf_dir):
-    courses = _courses(spark, sf_dir, "full")
-    budgets = removal.budgets_of(courses, SIZES["full"], less=1)
+    courses = _courses(spark, sf_dir)
+    budgets = removal.budgets_of(courses, views.SIZES, less=1)
     return removal.removal_summary(removal.prefix_removed(courses, budgets), budgets)
 
 
 @query
 def budget_greedy_removed(spark, sf_dir):
-    courses = _courses(spark, sf_dir, "full")
-    return removal.skip_fit_removed(courses, removal.budgets_of(courses, SIZES["full"], less=1))
+    courses = _courses(spark, sf_dir)
+    return removal.skip_fit_removed(courses, removal.budgets_of(courses, views.SIZES, less=1))
 
 
-@cut
-def contract_students(spark, sf_dir, view="ret45"):
-    return contraction.class_table(_pairs(spark, sf_dir, view), _students(spark, sf_dir, view))
+@query
+def contract_students(spark, sf_dir):
+    return contraction.class_table(_pairs(spark, sf_dir), _students(spark, sf_dir))
 
 
-@cut
-def contracted_edges(spark, sf_dir, view="ret45"):
-    return contraction.class_edges(_pairs(spark, sf_dir, view), _students(spark, sf_dir, view))
+@query
+def contracted_edges(spark, sf_dir):
+    return contraction.class_edges(_pairs(spark, sf_dir), _students(spark, sf_dir))
 
 
-@cut
-def contracted_degree(spark, sf_dir, view="ret45"):
-    return contracted_edges(spark, sf_dir, view).groupBy("crsid").agg(F.count("*").alias("degree"))
+@query
+def contracted_degree(spark, sf_dir):
+    return contracted_edges(spark, sf_dir).groupBy("crsid").agg(F.count("*").alias("degree"))
 
 
-@cut
-def compress_graph(spark, sf_dir, view="ret45"):
-    edges = _edges(spark, sf_dir, view)
-    hours = _courses(spark, sf_dir, view).select(fn.course_vid(F.col("crsid")).alias("vid"), "hours")
+@query
+def compress_graph(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    hours = _courses(spark, sf_dir).select(fn.course_vid(F.col("crsid")).alias("vid"), "hours")
     vertices = _vertices(edges).join(hours, "vid", "left").select("vid", fn.vid_is_student(F.col("vid")).alias("in_src"), F.coalesce("hours", F.lit(0)).alias("weight"))
     return contraction.compressed(edges, vertices)
 
 
-@cut
-def min_weight_neighbors(spark, sf_dir, view="ret45"):
-    pairs, students = _pairs(spark, sf_dir, view), _students(spark, sf_dir, view)
+@query
+def min_weight_neighbors(spark, sf_dir):
+    pairs, students = _pairs(spark, sf_dir), _students(spark, sf_dir)
     classes = contraction.class_table(pairs, students)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, view))
+    courses = _courses(spark, sf_dir)
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses, analysis.common_scale(courses))
     return nearest.groupBy("cid", "mult", "length").agg(F.count("*").alias("n_nearest"))
 
 
-@cut
-def internal_pair_bc(spark, sf_dir, view="ret45"):
-    pairs, students = _pairs(spark, sf_dir, view), _students(spark, sf_dir, view)
+@query
+def internal_pair_bc(spark, sf_dir):
+    pairs, students = _pairs(spark, sf_dir), _students(spark, sf_dir)
     classes = contraction.class_table(pairs, students)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), _courses(spark, sf_dir, view))
+    courses = _courses(spark, sf_dir)
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses, analysis.common_scale(courses))
     return contraction.internal_pairs(nearest).select("crsid", F.round("score", 9).alias("score"))
 
 
-@cut
-def connected_components(spark, sf_dir, view="ret45"):
-    return connectivity.connected_components(_edges(spark, sf_dir, view))
+@query
+def connected_components(spark, sf_dir):
+    return connectivity.connected_components(_edges(spark, sf_dir))
 
 
-@cut
-def cc_sizes(spark, sf_dir, view="ret45"):
-    return graph.component_sizes(connected_components(spark, sf_dir, view))
+@query
+def cc_sizes(spark, sf_dir):
+    return graph.component_sizes(connected_components(spark, sf_dir))
 
 
-@cut
-def largest_component(spark, sf_dir, view="ret45"):
-    return graph.largest(cc_sizes(spark, sf_dir, view), "comp_id")
+@query
+def largest_component(spark, sf_dir):
+    return graph.largest(cc_sizes(spark, sf_dir), "comp_id")
 
 
-@cut
-def component_student_sizes(spark, sf_dir, view="ret45"):
-    return cc_sizes(spark, sf_dir, view).groupBy("n_students").agg(F.count("*").alias("n_components"))
+@query
+def component_student_sizes(spark, sf_dir):
+    return cc_sizes(spark, sf_dir).groupBy("n_students").agg(F.count("*").alias("n_components"))
 
 
-@cut
-def biconnected_components(spark, sf_dir, view="small"):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, view))).select("block_id", "vid")
+@query
+def biconnected_components(spark, sf_dir):
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir))).select("block_id", "vid")
 
 
-@cut
-def bicomponents_generic(spark, sf_dir, view="small"):
-    edges, live = _live(spark, sf_dir, view)
+@query
+def bicomponents_generic(spark, sf_dir):
+    edges, live = _live(spark, sf_dir)
     return connectivity.block_members(connectivity.block_edges(graph.induced(edges, live)), live).select("block_id", "vid")
 
 
-def _members(spark, sf_dir, view):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, view)))
+def _members(spark, sf_dir):
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir)))
 
 
-@cut
-def largest_block(spark, sf_dir, view="small"):
+@query
+def largest_block(spark, sf_dir):
     """The block with the most students, and the student count of the one with the most vertices."""
-    sizes = connectivity.block_sizes(_members(spark, sf_dir, view))
+    sizes = connectivity.block_sizes(_members(spark, sf_dir))
     return sizes.agg(F.max("n_students").alias("max_bcc"), F.max("n_vertices").alias("max_vertices"), F.max(F.struct("n_vertices", "n_students"))["n_students"].alias("students_of_max_vertices"))
 
 
-@cut
-def cut_vertices(spark, sf_dir, view="small"):
-    return connectivity.cut_vertices(_members(spark, sf_dir, view))
+@query
+def cut_vertices(spark, sf_dir):
+    return connectivity.cut_vertices(_members(spark, sf_dir))
 
 
-@cut
-def block_cut_counts(spark, sf_dir, view="small"):
-    return connectivity.block_cut_counts(_members(spark, sf_dir, view))
+@query
+def block_cut_counts(spark, sf_dir):
+    return connectivity.block_cut_counts(_members(spark, sf_dir))
 
 
-@cut
-def block_cut_forest(spark, sf_dir, view="small"):
-    return connectivity.block_cut_forest(_members(spark, sf_dir, view))
+@query
+def block_cut_forest(spark, sf_dir):
+    return connectivity.block_cut_forest(_members(spark, sf_dir))
 
 
-def _lengths(spark, sf_dir, view, weighted):
-    courses = _courses(spark, sf_dir, view)
-    length = (F.lit(analysis.SCALE) / F.col("hours")).cast("long") if weighted else F.lit(1).cast("long")
+def _lengths(spark, sf_dir, weighted):
+    courses = _courses(spark, sf_dir)
+    length = F.expr(f"{analysis.common_scale(courses)} div hours") if weighted else F.lit(1).cast("long")
     by_vid = courses.select(fn.course_vid(F.col("crsid")).alias("b"), length.alias("length"))
-    return _edges(spark, sf_dir, view).join(by_vid, "b").select("a", "b", "length")
+    return _edges(spark, sf_dir).join(by_vid, "b").select("a", "b", "length")
 
 
-@cut
-def bfs_distances(spark, sf_dir, view="tiny"):
-    return paths.shortest_paths(_lengths(spark, sf_dir, view, False)).select("s", "v", "distance")
+@query
+def bfs_distances(spark, sf_dir):
+    return paths.shortest_paths(_lengths(spark, sf_dir, False)).select("s", "v", "distance")
 
 
-@cut
-def shortest_path_counts(spark, sf_dir, view="tiny"):
-    return paths.shortest_paths(_lengths(spark, sf_dir, view, False)).select("s", "v", "n_paths")
+@query
+def shortest_path_counts(spark, sf_dir):
+    return paths.shortest_paths(_lengths(spark, sf_dir, False)).select("s", "v", "n_paths")
 
 
 def _largest_members(edges):
@@ -296,57 +283,57 @@ def _largest_members(edges):
     return labels.join(graph.largest(graph.component_sizes(labels), "comp_id").select("comp_id"), "comp_id", "left_semi").select("vid")
 
 
-def _scores(spark, sf_dir, view, weighted):
+def _scores(spark, sf_dir, weighted):
     """vid, raw: ordered-pair betweenness within the largest component, on merged students; vertices outside have 0."""
     ensure_checkpoint_dir(spark)
-    pairs = _pairs(spark, sf_dir, view).checkpoint()
+    pairs = _pairs(spark, sf_dir).checkpoint()
     inside = _largest_members(graph.vertex_edges(pairs))
-    hours = _courses(spark, sf_dir, view).select("crsid", "hours" if weighted else F.lit(1).alias("hours"))
+    hours = _courses(spark, sf_dir).select("crsid", "hours" if weighted else F.lit(1).alias("hours"))
     students = inside.where("vid % 2 = 0").select(F.expr("vid div 2").alias("stid"))
     courses = inside.where("vid % 2 = 1").select(F.expr("vid div 2").alias("crsid"))
-    scores = analysis.contracted_betweenness(pairs, hours, students, courses, _students(spark, sf_dir, view))
+    scores = analysis.contracted_betweenness(pairs, hours, students, courses, _students(spark, sf_dir))
     vid = F.when(F.col("kind") == "s", F.col("id") * 2).otherwise(F.col("id") * 2 + 1)
     n = _vertices(graph.vertex_edges(pairs)).count()
     return scores.select(vid.alias("vid"), F.col("score").alias("raw")), F.lit(n)
 
 
-@cut
-def betweenness(spark, sf_dir, view="small"):
-    scores, n = _scores(spark, sf_dir, view, False)
+@query
+def betweenness(spark, sf_dir):
+    scores, n = _scores(spark, sf_dir, False)
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
-@cut
-def betweenness_norms(spark, sf_dir, view="tiny"):
-    scores, n = _scores(spark, sf_dir, view, False)
+@query
+def betweenness_norms(spark, sf_dir):
+    scores, n = _scores(spark, sf_dir, False)
     return scores.select("vid", *[F.round(F.col("raw") * fn.betweenness_norm(k, n), 9).alias(f"norm{k}") for k in range(3)])
 
 
-@cut
-def max_betweenness(spark, sf_dir, view="small"):
-    return betweenness(spark, sf_dir, view).agg(F.max("score").alias("max_bc"))
+@query
+def max_betweenness(spark, sf_dir):
+    return betweenness(spark, sf_dir).agg(F.max("score").alias("max_bc"))
 
 
-@cut
-def weighted_betweenness(spark, sf_dir, view="tiny"):
-    scores, n = _scores(spark, sf_dir, view, True)
+@query
+def weighted_betweenness(spark, sf_dir):
+    scores, n = _scores(spark, sf_dir, True)
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
-def _plain(spark, sf_dir, view):
-    """The view with uniform hours, and its budgets."""
-    rows = roster(spark, sf_dir, view, weighted=False)
-    return rows, removal.budgets_of(graph.course_attributes(rows), SIZES[view])
+def _plain(spark, sf_dir):
+    """The roster with uniform hours, and its budgets."""
+    rows = roster(spark, sf_dir, weighted=False)
+    return rows, removal.budgets_of(graph.course_attributes(rows), views.SIZES)
 
 
-@cut
-def report_row(spark, sf_dir, view="small"):
-    """The report for the view's second budget."""
-    rows, budgets = _plain(spark, sf_dir, view)
+@query
+def report_row(spark, sf_dir):
+    """The report for the second budget."""
+    rows, budgets = _plain(spark, sf_dir)
     return analysis.sweep(rows, budgets.where("threshold_id = 2"))
 
 
-@cut
-def threshold_report(spark, sf_dir, view="small"):
-    """The whole sweep over the view."""
-    return analysis.sweep(*_plain(spark, sf_dir, view))
+@query
+def threshold_report(spark, sf_dir):
+    """The whole sweep."""
+    return analysis.sweep(*_plain(spark, sf_dir))

@@ -1,9 +1,9 @@
 """Roster files: one record per line, numbers separated by white space.
 
-Layouts: ``WC`` with header and five columns (tag line, ``students courses``
-line, rows), ``WC`` with a name line and two columns, and four columns without
-a header. Lines are told apart by their number of tokens, so files are read in
-parallel and no line number is needed.
+Layouts: ``WC`` with a ``students courses`` line and rows of five columns,
+``WC`` with a name line and rows of two columns, and rows of four columns
+without a head. The head tells them apart, so files are read in parallel and
+no line number is needed. Lines that are no valid record are kept as errors.
 """
 
 from __future__ import annotations
@@ -23,52 +23,74 @@ def _number(k: int):
     return F.expr(f"try_cast(get(t, {k}) as bigint)")
 
 
-def parse_wc5(lines: DataFrame) -> DataFrame:
-    """Rows of the five-column layout; ``error`` is set on lines that are no valid record."""
-    rows = tokens(lines).where(~((F.size("t") == 1) & (F.get("t", 0) == "WC")) & (F.size("t") != 2))
-    columns = [_number(k) for k in range(5)]
-    good = (F.size("t") == 5) & (columns[0] >= 1) & (columns[1] >= 1) & columns[2].between(1, 6) & columns[3].isin(0, 1) & (columns[4] >= 1)
+def _records(rows: DataFrame, size: int, valid, major, grad, hours) -> DataFrame:
+    """The columns of a roster, and ``error``: the line where it isn't a valid record."""
+    good = (F.size("t") == size) & (_number(0) >= 1) & (_number(1) >= 1) & valid
     return rows.select(
-        columns[0].alias("stid"),
-        columns[1].alias("crsid"),
-        columns[2].cast("int").alias("major"),
-        (columns[3] == 1).alias("grad"),
-        columns[4].alias("hours"),
+        _number(0).alias("stid"),
+        _number(1).alias("crsid"),
+        major.cast("int").alias("major"),
+        grad.alias("grad"),
+        hours.cast("long").alias("hours"),
         F.when(F.coalesce(good, F.lit(False)), F.lit(None)).otherwise(F.col("value")).alias("error"),
     )
 
 
-def declared_sizes(lines: DataFrame) -> DataFrame:
-    """n_students, n_courses of the header line."""
-    return tokens(lines).where(F.size("t") == 2).select(_number(0).alias("n_students"), _number(1).alias("n_courses"))
-
-
-def parse_wc2(lines: DataFrame) -> DataFrame:
-    """(stid, crsid) pairs with sparse ids; hours are 1."""
-    rows = tokens(lines).where((F.size("t") == 2) & _number(0).isNotNull() & _number(1).isNotNull())
-    return rows.select(_number(0).alias("stid"), _number(1).alias("crsid"), F.lit(1).alias("major"), F.lit(False).alias("grad"), F.lit(1).cast("long").alias("hours"))
+def _without(rows: DataFrame, head) -> DataFrame:
+    """rows without the lines of the head."""
+    return rows.where(~F.col("value").isin(list(head))) if head else rows
 
 
-def parse_wc4(lines: DataFrame) -> DataFrame:
-    """Four columns, no header; hours are 1."""
-    rows = tokens(lines).where(F.size("t") == 4)
-    return rows.select(_number(0).alias("stid"), _number(1).alias("crsid"), _number(2).cast("int").alias("major"), (_number(3) == 1).alias("grad"), F.lit(1).cast("long").alias("hours"))
+def parse_wc5(lines: DataFrame, head=()) -> DataFrame:
+    """Rows of the five-column layout. head: the lines before the first row, if they are known; else WC and lines of two tokens are."""
+    rows = tokens(lines)
+    rows = _without(rows, head) if head else rows.where(~((F.size("t") == 1) & (F.get("t", 0) == "WC")) & (F.size("t") != 2))
+    return _records(rows, 5, _number(2).between(1, 6) & _number(3).isin(0, 1) & (_number(4) >= 1), _number(2), _number(3) == 1, _number(4))
 
 
-def read_wc5(spark: SparkSession, path: str) -> DataFrame:
-    return parse_wc5(spark.read.text(path))
-
-
-READERS = {"WC": read_wc5}
+def declared_sizes(lines: DataFrame) -> DataFrame:
+    """n_students, n_courses of the header line."""
+    return tokens(lines).where(F.size("t") == 2).select(_number(0).alias("n_students"), _number(1).alias("n_courses"))
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the file's first line, which names its format; an unknown one is refused."""
-    first = spark.read.text(path).limit(1).collect()
-    tag = first[0]["value"].strip() if first else ""
-    if tag not in READERS:
-        raise ValueError(f"unknown roster format: {tag!r}")
-    rows = READERS[tag](spark, path)
+def parse_wc2(lines: DataFrame, head=()) -> DataFrame:
+    """Rows of two columns with sparse ids; hours are 1."""
+    return _records(_without(tokens(lines), head), 2, F.lit(True), F.lit(1), F.lit(False), F.lit(1))
+
+
+def parse_wc4(lines: DataFrame, head=()) -> DataFrame:
+    """Rows of four columns; hours are 1."""
+    return _records(_without(tokens(lines), head), 4, _number(2).between(1, 6) & _number(3).isin(0, 1), _number(2), _number(3) == 1, F.lit(1))
+
+
+def layout(lines: list[str]):
+    """(parser, head) of a file by its first three lines that aren't empty."""
+    split = [x.split() for x in lines]
+    numbers = [all(t.lstrip("-").isdigit() for t in t_) for t_ in split]
+    if split and split[0] == ["WC"]:
+        sizes = len(split) > 1 and len(split[1]) == 2 and numbers[1]
+        if sizes and (len(split) < 3 or len(split[2]) != 2):
+            return parse_wc5, lines[:2]
+        return parse_wc2, lines[:2]
+    if split and len(split[0]) == 4 and numbers[0]:
+        return parse_wc4, []
+    raise ValueError(f"unknown roster format: {lines[0].strip() if lines else ''!r}")
+
+
+def read_roster(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+    """A roster file of any layout.
+
+    errors: "raise" refuses a file with lines that are no valid record, "keep"
+    returns them (column ``error``), "drop" leaves them out. A later line that
+    equals a line of the head counts as head.
+    """
+    text = spark.read.text(path)
+    parser, head = layout([r["value"] for r in text.where("trim(value) <> ''").limit(3).collect()])
+    rows = parser(text, head)
+    if errors == "keep":
+        return rows
+    if errors == "raise" and (bad := rows.where("error is not null").select("error").take(1)):
+        raise ValueError(f"{rows.where('error is not null').count()} lines are no valid record, such as {bad[0]['error']!r}")
     return rows.where("error is null").drop("error")
 
 

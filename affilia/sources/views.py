@@ -9,23 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILTERS = {
-    "full": "true",
-    "small": "o_custkey <= 90 and l_partkey <= 120",
-    "tiny": "o_custkey <= 60 and l_partkey <= 80",
-    "ret48": "l_returnflag = 'R' and l_quantity >= 48",
-    "ret45": "l_returnflag = 'R' and l_quantity >= 45",
-}
-#: Course sizes from which each view's budgets are derived.
-SIZES = {"full": (45, 40, 35, 30), "small": (5, 4, 3), "tiny": (4, 3, 2), "ret48": (3, 2), "ret45": (5, 4, 3)}
-#: Courses from this degree on are taken out where a query masks some.
-MASKED_DEGREE = {"full": 30, "small": 4, "ret48": 2}
+#: Course sizes from which budgets are derived, and the degree from which courses are taken out where a query masks some.
+SIZES = (45, 40, 35, 30)
+MASKED_DEGREE = 30
 
 
-def roster(spark: SparkSession, sf_dir: str, view: str, weighted: bool = True) -> DataFrame:
-    """row_id, stid, crsid, major, grad, hours of a view; the scans read just these columns."""
+def roster(spark: SparkSession, sf_dir: str, weighted: bool = True, where: str = "true") -> DataFrame:
+    """row_id, stid, crsid, major, grad, hours of the line items; the scans read just these columns."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = table("lineitem").join(table("orders"), F.expr("l_orderkey = o_orderkey")).where(FILTERS[view])
+    lines = table("lineitem").join(table("orders"), F.expr("l_orderkey = o_orderkey")).where(where)
     rows = lines.join(table("customer"), F.expr("o_custkey = c_custkey")).join(table("part"), F.expr("l_partkey = p_partkey"))
     return rows.select(
         F.expr("l_orderkey * 8 + l_linenumber").cast("long").alias("row_id"),

@@ -22,13 +22,22 @@ def test_dispatch(spark, tmp_path):
     (tmp_path / "good.txt").write_text(WC5)
     (tmp_path / "bad.txt").write_text("XY\n1 1\n")
     assert readers.read_roster(spark, str(tmp_path / "good.txt")).count() == 5
+    (tmp_path / "two.txt").write_text("WC\n2019 2020\n70 8\n70 9\n71 8\n")
+    assert sorted(tuple(r)[:2] for r in readers.read_roster(spark, str(tmp_path / "two.txt")).collect()) == [(70, 8), (70, 9), (71, 8)]
+    (tmp_path / "four.txt").write_text("3 2 1 1\n4 2 6 0\n")
+    assert sorted(tuple(r) for r in readers.read_roster(spark, str(tmp_path / "four.txt")).collect()) == [(3, 2, 1, True, 1), (4, 2, 6, False, 1)]
+    (tmp_path / "flawed.txt").write_text(WC5.strip() + "\n7 8\n1 2 3\n")
+    with pytest.raises(ValueError, match="2 lines"):
+        readers.read_roster(spark, str(tmp_path / "flawed.txt"))
+    assert readers.read_roster(spark, str(tmp_path / "flawed.txt"), errors="drop").count() == 5
+    assert {r.error for r in readers.read_roster(spark, str(tmp_path / "flawed.txt"), errors="keep").where("error is not null").collect()} == {"7 8", "1 2 3"}
     with pytest.raises(ValueError, match="XY"):
         readers.read_roster(spark, str(tmp_path / "bad.txt"))
 
 
 def test_other_layouts(spark):
-    assert [tuple(r)[:2] for r in readers.parse_wc2(lines(spark, "WC\nsome name\n70 8\n70 9\n")).collect()] == [(70, 8), (70, 9)]
-    assert [tuple(r) for r in readers.parse_wc4(lines(spark, "3 2 1 1\n")).collect()] == [(3, 2, 1, True, 1)]
+    assert [tuple(r)[:2] for r in readers.parse_wc2(lines(spark, "WC\nsome name\n70 8\n70 9\n"), ["WC", "some name"]).collect()] == [(70, 8), (70, 9)]
+    assert [tuple(r) for r in readers.parse_wc4(lines(spark, "3 2 1 1\n")).drop("error").collect()] == [(3, 2, 1, True, 1)]
 
 
 def test_lines_round_trip(spark):
