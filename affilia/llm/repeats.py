@@ -20,8 +20,9 @@ a band is one window, in which case equal contexts have become one class.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep
 everything; exact copies of a long enough text remove it whole, in all rows,
-repeated rows included; rows with a null doc_id keep everything and are compared
-with nothing; an empty table gives no rows; other columns are ignored.
+repeated rows included; rows with a null doc_id are compared like all others; an
+empty table gives no rows; other columns are ignored. A text is held in memory
+as a whole, with a few numbers of 64 bits for each of its bytes.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ MOST_CONTEXTS, BANDS = 4096, 8
 BLOCK_CONTEXTS = 4096
 #: Bytes of texts that are hashed at once.
 SLICE_BYTES = 1 << 20
-_POSITION_BITS = 28
+_POSITION_BITS = 31
 _U = np.uint64
 
 
@@ -57,8 +58,6 @@ def anchors(held: list[bytes], length: int = LENGTH, anchor: int = ANCHOR):
     offsets = np.cumsum([0] + [len(x) for x in held])
     grams = max(0, len(data) - anchor + 1)
     window = length - anchor + 1
-    if len(data) >= 1 << _POSITION_BITS:
-        raise ValueError("a text is too long")
     sums = prefix_sums(data)
     hashes = mixed((sums[anchor:] - sums[:grams]) * powers(len(data))[1][:grams]) if grams else sums[:0]
     mask = _U((1 << _POSITION_BITS) - 1)
@@ -289,8 +288,7 @@ def _remove(batches):
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256 for every row; docs: doc_id, text."""
-    every = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = every.where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
     rows = cut(mapped(texts, _describe(length, anchor), "doc_id long, n_bytes long, sha binary, node long, grams array<long>, times array<long>"))
     copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
@@ -310,7 +308,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most:
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     zero = F.lit(0).cast("long")
     nothing = hashlib.sha256(b"").hexdigest()
-    found = out.select(
+    return out.select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
@@ -318,5 +316,3 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most:
         F.when(gone, F.array(F.struct(zero.alias("start"), F.col("n_bytes").alias("stop")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:long,stop:long>>"))).alias("spans"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
-    size = F.octet_length("text").cast("long")
-    return found.union(every.where("doc_id is null").select("doc_id", size, zero, zero, F.array().cast("array<struct<start:long,stop:long>>"), F.sha2(F.col("text").cast("binary"), 256)))

@@ -87,17 +87,27 @@ def cells(units: np.ndarray, width: int, tables: int) -> np.ndarray:
     return out
 
 
-def _deal(cosine: float):
+def _deal(cosine: float, kind, vectors: bool):
+    """Every row once per table with its cell; with the vector, or only the block and how many rows it has."""
+    names = ["label", "dims", "tab", "cell"] + (["rep", "n", "width", "v"] if vectors else ["count"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()] + ([pa.int64(), pa.int64(), pa.int32(), pa.binary()] if vectors else [pa.int64()])
+
     def run(batches):
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
+            held = [np.array(v.as_py(), kind) for v in batch.column("v")]
             label, rep, n, width, tables = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "rep", "n", "width", "tables"))
-            dims = np.array([len(v) for v in vectors])
+            dims = np.array([len(v) for v in held])
             for d, w, t in {*zip(dims.tolist(), width.tolist(), tables.tolist())}:
                 rows = np.flatnonzero((dims == d) & (width == w) & (tables == t))
-                keys = cells(_unit(np.array([vectors[r] for r in rows])), w, t)
+                keys = cells(_unit(np.array([held[r] for r in rows], np.float64)), w, t)
                 for k in range(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(label[rows], pa.int64()), pa.array(np.full(len(rows), d), pa.int32()), pa.array(np.full(len(rows), k), pa.int32()), pa.array(keys[:, k]), pa.array(rep[rows], pa.int64()), pa.array(n[rows], pa.int64()), pa.array(np.full(len(rows), w), pa.int32()), pa.array([vectors[r] for r in rows], pa.list_(pa.float64()))], ["label", "dims", "tab", "cell", "rep", "n", "width", "v"])
+                    block = [label[rows], np.full(len(rows), d), np.full(len(rows), k), keys[:, k]]
+                    if vectors:
+                        more = [rep[rows], n[rows], np.full(len(rows), w), [held[r].tobytes() for r in rows]]
+                    else:
+                        pairs, count = np.unique(np.stack([block[0], block[3]]), axis=1, return_counts=True)
+                        block, more = [pairs[0], np.full(len(count), d), np.full(len(count), k), pairs[1]], [count]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind_) for c, kind_ in zip(block + more, types)], names)
 
     return run
 
@@ -136,14 +146,14 @@ def forest(n: int, x: np.ndarray, y: np.ndarray, rank: np.ndarray) -> np.ndarray
         label = new
 
 
-def _count_part(cosine: float):
+def _count_part(cosine: float, kind):
     half, need = calibrated(cosine)
 
     def run(table):
         rep, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
         width, tab = int(table.column("width")[0].as_py()), int(table.column("tab")[0].as_py())
         dims = int(table.column("dims")[0].as_py())
-        v = _unit(table.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), dims))
+        v = _unit(np.array([np.frombuffer(x.as_py(), kind) for x in table.column("v")], np.float64).reshape(len(rep), dims))
         x, y = colliding_pairs(v @ directions(dims, 0, PROJECTIONS).T, half, need)
         i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
         if i != j:
@@ -179,13 +189,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block_rows: i
     layouts = classes.groupBy("label").count()
     sizes = F.create_map(*[x for k in range(64) for x in (F.lit(k), F.struct(*[F.lit(n).alias(c) for c, n in zip(("width", "tables"), table_layout(1 << k, cosine, block_rows))]))])
     layouts = layouts.select("label", F.element_at(sizes, F.ceil(F.log2("count")).cast("int")).alias("_l")).select("label", "_l.width", "_l.tables")
-    dealt = cut(mapped(classes.join(layouts, "label").select("label", "rep", "n", "width", "tables", "v"), _deal(cosine), "label long, dims int, tab int, cell long, rep long, n long, width int, v array<double>"))
+    kind = np.float32 if dict(embeddings.dtypes)["embedding"] == "array<float>" else np.float64
     block = ["label", "dims", "tab", "cell"]
-    parts = dealt.groupBy(*block).count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
+    laid_out = classes.join(layouts, "label").select("label", "rep", "n", "width", "tables", "v")
+    parts = mapped(laid_out, _deal(cosine, kind, vectors=False), "label long, dims int, tab int, cell long, count long").groupBy(*block).agg(F.sum("count").alias("count"))
+    parts = parts.where("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
+    dealt = mapped(laid_out, _deal(cosine, kind, vectors=True), "label long, dims int, tab int, cell long, rep long, n long, width int, v binary")
     dealt = dealt.join(parts, block).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = dealt.withColumn("_o", F.explode(others)).withColumn("i", F.least("part", "_o")).withColumn("j", F.greatest("part", "_o")).drop("_o", "parts")
-    found = cut(pairs.groupBy(*block, "i", "j").applyInArrow(_count_part(cosine), "rep long, links long, root long"))
+    found = cut(pairs.groupBy(*block, "i", "j").applyInArrow(_count_part(cosine, kind), "rep long, links long, root long"))
     components = star_components(found.select("rep", "root").where("rep <> root"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(components.withColumnRenamed("vid", "rep"), "rep", "left")
     members = classes.join(links, "rep", "left").select("label", "v", F.col("rep"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp_id", "rep").alias("component_id"))

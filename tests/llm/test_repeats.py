@@ -56,5 +56,5 @@ def test_matches_brute_force(spark, seed, most):
 def test_repeated_rows_and_nulls(spark):
     docs = frame(spark, [(1, "q" * 500, None, None), (1, "q" * 500, None, None), (None, "word " * 200, None, None)])
     got = [(r.doc_id, r.n_removed, r.n_spans) for r in repeats.repeated(docs).collect()]
-    assert sorted(got, key=str) == [(1, 500, 1), (1, 500, 1), (None, 0, 0)]
+    assert sorted(got, key=str) == [(1, 500, 1), (1, 500, 1), (None, 1000, 1)]  # whatever the id, a text that repeats itself loses it
     assert repeats.repeated(docs.limit(0)).count() == 0
