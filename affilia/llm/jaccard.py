@@ -55,9 +55,9 @@ WORDS, NUM, DEN = 3, 90, 100
 #: Slots of the frequency sketch (bits), the count in one input partition that
 #: makes a slot worth reporting, and the share of documents that makes it frequent.
 SKETCH_BITS, LOCAL_COUNT, FREQUENT_SHARE, FREQUENT_LEAST = 22, 8, 1e-4, 24
-#: Hash buckets of the bounding metric; documents of one part; a larger region than
+#: Hash buckets of the bounding metric; documents and shingles of one part; a larger region than
 #: REGION_ROWS is split around about PIVOTS pivots; a split has to leave at most this share of the region's comparisons.
-BUCKETS, PART_ROWS, REGION_ROWS, PIVOTS, SPLIT_SHARE = 512, 128, 256, 32, 0.5
+BUCKETS, PART_ROWS, PART_SHINGLES, REGION_ROWS, PIVOTS, SPLIT_SHARE = 512, 512, 1 << 20, 512, 32, 0.5
 _U = np.uint64
 
 
@@ -138,7 +138,7 @@ def _describe(words: int, num: int, den: int, bitmap):
 
 
 _PAIR = "a long, b long"
-_CELL = "region long, node long, comp long, home boolean"
+_CELL = "region long, node long, comp long, size long, home boolean"
 #: The count that stands for itself and anything above.
 _FULL = 65535
 
@@ -268,7 +268,7 @@ def _split(num: int, den: int, rows: bool):
             region, n = np.unique(region, return_counts=True)
             return pa.table({"parent": np.full(len(region), parent[0]), "region": region, "n": n})
         taken = table.take(pa.array(members[row]))
-        return pa.table({"region": pa.array(region, pa.int64()), "node": taken.column("node"), "comp": taken.column("comp"), "home": pa.array(home, pa.bool_())})
+        return pa.table({"region": pa.array(region, pa.int64()), "node": taken.column("node"), "comp": taken.column("comp"), "size": taken.column("size"), "home": pa.array(home, pa.bool_())})
 
     return run
 
@@ -293,7 +293,7 @@ def _rings(regions: DataFrame, num: int, den: int) -> DataFrame:
     """Every region's rings of sizes; only sets of one ring, or of neighbouring ones, can link."""
     ring = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
     both = F.explode(F.array(F.struct(ring.alias("at"), F.lit(True).alias("home")), F.struct((ring + 1).alias("at"), F.lit(False).alias("home"))))
-    return regions.withColumn("_ring", both).select(F.xxhash64("region", "_ring.at").alias("region"), "node", "comp", F.col("_ring.home").alias("home"))
+    return regions.withColumn("_ring", both).select(F.xxhash64("region", "_ring.at").alias("region"), "node", "comp", "size", F.col("_ring.home").alias("home"))
 
 
 def _parted(leaves: DataFrame) -> DataFrame:
@@ -301,9 +301,10 @@ def _parted(leaves: DataFrame) -> DataFrame:
 
     A component that fills parts of its own isn't compared with itself.
     """
-    sizes = leaves.groupBy("region", "comp").agg(F.count("*").alias("_m"))
+    sizes = leaves.groupBy("region", "comp").agg(F.count("*").alias("_m"), F.sum("size").alias("_s"))
     sizes = sizes.withColumn("_own", F.when(F.col("_m") >= PART_ROWS, F.col("comp")))
-    groups = sizes.groupBy("region", "_own").agg(F.ceil(F.sum("_m") / PART_ROWS).cast("int").alias("_parts"))
+    enough = F.ceil(F.greatest(F.sum("_m") / PART_ROWS, F.sum("_s") / PART_SHINGLES)).cast("int")
+    groups = sizes.groupBy("region", "_own").agg(enough.alias("_parts"))
     parts = groups.select("region", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_k"))
     parts = parts.groupBy("region").agg(F.collect_list(F.struct(F.xxhash64("_own", "_k").alias("part"), F.col("_own").alias("own"))).alias("_all"))
     groups = groups.select(F.col("region").alias("_r"), F.col("_own").alias("_g"), "_parts")
@@ -448,9 +449,9 @@ def region_links(stars: DataFrame, points: DataFrame, fetch, num: int, den: int)
     leaves = regions.where(F.col("n") <= REGION_ROWS).drop("n")
     crowded = regions.where(F.col("n") > REGION_ROWS)
     while not crowded.isEmpty():
-        crowded = crowded.select("region", "n", "node", "comp")
+        crowded = crowded.select("region", "n", "node", "comp", "size")
         dealt = cut(_around_pivots(crowded))
-        split = dealt.join(points, "node").groupBy("region", "part")
+        split = dealt.join(points.drop("size"), "node").groupBy("region", "part")
         work = split.applyInArrow(_split(num, den, rows=False), "parent long, region long, n long").groupBy("parent", "region").agg(F.sum("n").alias("n"))
         work = work.groupBy(F.col("parent").alias("region")).agg(F.sum(F.col("n").cast("double") ** 2).alias("_work"))
         sizes = crowded.select("region", "n").distinct()
@@ -458,8 +459,8 @@ def region_links(stars: DataFrame, points: DataFrame, fetch, num: int, den: int)
         leaves = leaves.union(regions.join(crowded.select("region").distinct(), "region", "left_semi").join(pays, "region", "left_anti").drop("n"))
         if pays.isEmpty():
             break
-        split = dealt.join(pays, "region", "left_semi").join(points, "node").groupBy("region", "part")
-        regions = cut(_open(split.applyInArrow(_split(num, den, rows=True), _CELL)).select("region", "node", "comp", "home", "n"))
+        split = dealt.join(pays, "region", "left_semi").join(points.drop("size"), "node").groupBy("region", "part")
+        regions = cut(_open(split.applyInArrow(_split(num, den, rows=True), _CELL)).select("region", "node", "comp", "size", "home", "n"))
         leaves = leaves.union(regions.where(F.col("n") <= REGION_ROWS).drop("n"))
         crowded = regions.where(F.col("n") > REGION_ROWS)
     leaves = cut(leaves)

@@ -80,8 +80,8 @@ def test_cells_keep_links_together(spark, monkeypatch):
         at = rng.integers(0, 60, rng.integers(0, 9))
         s[at] = rng.integers(1, 2**62, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
-    df = spark.createDataFrame([(1, 240, i, i) for i in range(240)], "region long, n long, node long, comp long")
-    points = spark.createDataFrame([(i, len(s), bytearray(jaccard.bucket_counts(s))) for i, s in enumerate(sets)], "node long, size long, counts binary")
+    df = spark.createDataFrame([(1, 240, i, i, len(s)) for i, s in enumerate(sets)], "region long, n long, node long, comp long, size long")
+    points = spark.createDataFrame([(i, bytearray(jaccard.bucket_counts(s))) for i, s in enumerate(sets)], "node long, counts binary")
     cells = {}
     split = jaccard._around_pivots(df).join(points, "node").groupBy("region", "part")
     for r in split.applyInArrow(jaccard._split(90, 100, rows=True), jaccard._CELL).collect():
