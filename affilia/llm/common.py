@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    Plans that nothing refers to any more are let go of, so that the driver
+    frees them and Spark removes their shuffle files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    return out
 
 
 def trim() -> None:
