@@ -34,7 +34,7 @@ END_ID = 1
 OPEN_BINS = 512
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the word cache of one partition; it starts anew when it is full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 75_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
