@@ -33,8 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 OPEN_BINS = 512
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of the word cache of one partition; it starts anew when it is full.
-CACHE_WORDS = 75_000
+#: Entries of the word cache of one partition; when it is full it starts anew beside the one before.
+CACHE_WORDS = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -60,6 +60,7 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.before: dict[str, bytes] = {}  # the words until the cache was last full; those still in use come over
         self.tokenizer = Tokenizer.from_file(path)
         letters, numbers = _char_class(lambda k: k[0] == "L"), _char_class(lambda k: k[0] == "N")
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
@@ -75,7 +76,10 @@ class WordCache(dict):
         return pack_ids(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
+        data = self.before.get(word)
+        if data is not None:
+            pass
+        elif word.isalpha():
             data = self._part(word)
         elif word[:-1].isalpha():
             data = self[word[:-1]] + self[word[-1]]
@@ -83,6 +87,7 @@ class WordCache(dict):
             found = self.parts.findall(word)
             data = self._part(word) if found == [word] else b"".join(map(self.__getitem__, found))
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
         self[word] = data
         return data
