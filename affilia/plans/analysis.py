@@ -57,7 +57,7 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     external = paths.betweenness(vertex_edges, vertices)
     nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours, scale)
     internal = contraction.internal_pairs(nearest).select((F.col("crsid") * 2 + 1).alias("vid"), "score")
-    scores = external.unionByName(internal).groupBy("vid").agg(F.sum("score").alias("score"))
+    scores = external.unionByName(internal).groupBy("vid").agg(F.sum("score").alias("score")).checkpoint()  # students and courses both read it
     students = member.join(scores.where("vid % 2 = 0").select((F.col("vid") / 2).cast("long").alias("cid"), "score"), "cid").select(F.lit("s").alias("kind"), F.col("stid").alias("id"), "score")
     courses = scores.where("vid % 2 = 1").select(F.lit("c").alias("kind"), F.expr("vid div 2").alias("id"), "score")
     return students.union(courses)
