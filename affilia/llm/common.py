@@ -13,7 +13,7 @@ from ..operators.components import ensure_checkpoint_dir
 #: Longest text slice (bytes) that the Arrow kernels vectorise over at once.
 KERNEL_BYTES = 1 << 18
 #: Spark's setting for the bytes of an Arrow batch, its default, and what these operators set in the default's place.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, trim
 
 CAPACITY = 4096
 END_ID = 1
@@ -62,6 +62,7 @@ class WordCache(dict):
         super().__init__()
         self.before: dict[str, bytes] = {}  # the words until the cache was last full; those still in use come over
         self.tokenizer = Tokenizer.from_file(path)
+        trim()  # what parsing the file took
         letters, numbers = _char_class(lambda k: k[0] == "L"), _char_class(lambda k: k[0] == "N")
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
         self.beyond = re.compile("[^\x00-\u024f]")
@@ -161,7 +162,7 @@ def _pack_partition(capacity: int, end_id: int, open_bins: int, vocabulary: str
                     part = ids[at : at + 4 * capacity]
                     held.append((doc_id, piece, at // 4, len(part) // 4, part, *bins.place(len(part) // 4)))
                     size += len(part)
-                if size > 2 << 20:
+                if size > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
                     held, size = [], 0
             if held:
