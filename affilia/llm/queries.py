@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, quality, repeats, secrets, sharding, topk, vectors
+from . import alignment, chunks, jaccard, language, mixing, packing, quality, repeats, resampling, secrets, sharding, topk, vectors
 from .common import read
 
 
@@ -55,6 +55,18 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op11_chunked_bpe(spark, sf_dir):
+    return chunks.encoded(read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_topk_search": op1_topk_search,
@@ -67,6 +79,9 @@ def queries():
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_chunked_bpe": op11_chunked_bpe,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
@@ -121,6 +136,27 @@ c(v, m) using key (v) as (select doc_id, doc_id from d
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.m as component_id from d join c on c.v = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
+#: crc32 byte by byte: its table by the polynomial, then a fold over the bytes of each distinct feature.
+OP12_SQL = r"""
+with ct as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from range(256) r(i)),
+w as (select 'd' as kind, doc_id, rowid_ as r, words from (select doc_id, row_number() over () as rowid_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents)
+  union all select 'b', null, null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+e as (select kind, r, words, unnest(range(1, len(words) + 1)) as i from w),
+f as materialized (select kind, r, unnest(case when i + 2 <= len(words) then [words[i], words[i] || ' ' || words[i + 1], words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]]
+  when i + 1 <= len(words) then [words[i], words[i] || ' ' || words[i + 1]] else [words[i]] end) as f from e),
+n as (select kind, r, f, count(*) as n from f group by all),
+x as materialized (select f, (xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(h) // 2), lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000)::int as bucket from (select f, hex(encode(f)) as h from n group by f), ct),
+c as (select bucket, coalesce(sum(n) filter (where kind = 'd'), 0)::bigint as s, coalesce(sum(n) filter (where kind = 'b'), 0)::bigint as t from n join x using (f) group by bucket),
+g as (select i::int as bucket, coalesce(s, 0) as s, coalesce(t, 0) as t from range(10000) r(i) left join c on c.bucket = i),
+gg as (select bucket, floor(1000 * ln(((t + 1)::double * (sum(s) over () + 10000)::double) / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from g),
+d as (select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from n join x using (f) join gg using (bucket) where kind = 'd' group by r),
+z as (select doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296::double))))::bigint as score from w left join d using (r) where kind = 'd'),
+k as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (where n_words >= 20) over () as able from z)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * able // 100 then place end as rank from k
+"""
+
 
 def oracle_sql():
-    return {"op1_topk_search": OP1_SQL, "op7_vector_near_duplicates": OP7_SQL, "op8_source_mixing": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op12_importance_resampling": OP12_SQL, "op1_topk_search": OP1_SQL, "op7_vector_near_duplicates": OP7_SQL, "op8_source_mixing": OP8_SQL, "op10_jaccard_join": OP10_SQL}
