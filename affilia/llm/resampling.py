@@ -29,13 +29,14 @@ BUCKETS = 10_000
 #: Hundredths of the documents of at least LEAST_WORDS words that are drawn.
 SHARE, LEAST_WORDS = 5, 20
 SEED = "42"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, after A-Z has become a-z; splitting there is a dozen times faster than extracting the words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: str = "text") -> Column:
     """The words of a text, A-Z in lower case."""
     lowered = F.translate(F.col(text).cast("string"), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(f"({WORD})"), 1)
+    return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), BETWEEN), "")
 
 
 def feature_buckets(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
