@@ -9,7 +9,7 @@ the pair's B id, many documents' postings in one row (a block). Counts of pairs
 are summed per block first, then by pair. Blocks and counts are shuffled by B
 id and sorted; in that stream an id's counts come first, so its maximum and
 counts are at hand for its postings, which follow one block at a time. The
-contributions are summed by document. A B id with more than PART_BLOCKS blocks
+contributions are summed by document, many documents' sums in one row, too. A B id with more than PART_BLOCKS blocks
 is dealt into parts, each of which gets the id's counts (at most one row entry
 per A id), so no task holds or reads all postings of a frequent id; sorting
 spills, and nothing but one block and one id's counts is in memory.
@@ -44,6 +44,7 @@ BLOCK_DOCS = 1 << 16
 BUFFER = 1 << 20
 #: A posting: A id, document of the block, multiplicity (larger ones are split).
 POSTING = np.dtype([("a", "<u4"), ("d", "<u2"), ("m", "<u2")])
+SUMS = np.dtype([("d", "<u2"), ("best", "<i8"), ("total", "<i8")])
 
 TOKENS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, b int, block long, postings binary"
 #: Texts without characters from here on, and without very long runs, take the fast encoder of the same vocabulary.
@@ -214,14 +215,19 @@ def _block_counts(batches):
 
 
 def _contributions(batches):
-    """A sorted stream of an id's counts and then its blocks, to sums by document: row, n_best, count_sum."""
+    """A sorted stream of an id's counts and then its blocks, to sums per block and document: block, sums."""
     held, size, counts, most = [], 0, None, 0
 
     def summed():
-        row, best, total = (np.concatenate(c) for c in zip(*held))
+        block, row, best, total = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(row, kind="stable")
         starts = np.flatnonzero(np.diff(row[order], prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(row[order][starts]), pa.array(np.add.reduceat(best[order], starts)), pa.array(np.add.reduceat(total[order], starts))], ["row", "n_best", "count_sum"])
+        block, sums = block[order][starts], np.zeros(len(starts), SUMS)
+        sums["d"] = row[order][starts] - block
+        sums["best"], sums["total"] = np.add.reduceat(best[order], starts), np.add.reduceat(total[order], starts)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        data, edges = sums.tobytes(), (np.append(first, len(sums)) * SUMS.itemsize).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array([data[x:y] for x, y in zip(edges[:-1], edges[1:])], pa.binary())], ["block", "sums"])
 
     for rows in batches:
         columns = [rows.column(rows.schema.get_field_index(c)) for c in ("block", "postings", "pairs")]
@@ -234,7 +240,7 @@ def _contributions(batches):
                 continue
             found = np.frombuffer(data.as_buffer(), POSTING)
             m, n = found["m"].astype(np.int64), counts[found["a"]]
-            held.append((first + found["d"].astype(np.int64), m * (n == most), m * n))
+            held.append((np.full(len(found), first), first + found["d"].astype(np.int64), m * (n == most), m * n))
             size += len(found)
             if size >= BUFFER:
                 yield summed()
@@ -243,6 +249,27 @@ def _contributions(batches):
         yield summed()
 
 
+def _document_sums(batches):
+    """Sums sorted by block to one row per document: row, n_best, count_sum."""
+    block, best, total = None, np.zeros(BLOCK_DOCS, np.int64), np.zeros(BLOCK_DOCS, np.int64)
+
+    def done():
+        d = np.flatnonzero(total)
+        out = pa.RecordBatch.from_arrays([pa.array(block + d), pa.array(best[d]), pa.array(total[d])], ["row", "n_best", "count_sum"])
+        best[:], total[:] = 0, 0
+        return out
+
+    for rows in batches:
+        for of, data in zip(rows.column(0).to_pylist(), rows.column(1)):
+            if of != block and block is not None:
+                yield done()
+            block, found = of, np.frombuffer(data.as_buffer(), SUMS)
+            best[found["d"]] += found["best"]
+            total[found["d"]] += found["total"]
+    if block is not None:
+        yield done()
+
+
 def align(docs: DataFrame, folder: str | None = None, part_blocks: int = PART_BLOCKS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs (doc_id, text).
 
@@ -256,7 +283,8 @@ def align(docs: DataFrame, folder: str | None = None, part_blocks: int = PART_BL
     dealt = postings.join(F.broadcast(parts), "b").select("b", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int").alias("part"), "block", "postings", F.lit(None).cast(dict(counts.dtypes)["pairs"]).alias("pairs"))
     tables = counts.join(F.broadcast(parts), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("postings"), "pairs")
     streams = dealt.union(tables).repartition("b", "part").sortWithinPartitions("b", "part", F.col("block").asc_nulls_first())
-    sums = mapped(streams, _contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = mapped(streams, _contributions, "block long, sums binary").repartition("block").sortWithinPartitions("block")
+    sums = mapped(given, _document_sums, "row long, n_best long, count_sum long")
     numbers = both.where("row is not null").select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return numbers.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
