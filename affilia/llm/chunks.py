@@ -36,10 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitmaps
+from . import bitmaps, packing
 from .common import KERNEL_BYTES, cut, mapped, slices
 
-VOCABULARY = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees, the least size of a chunk, and (as a power of two) the mean distance of cuts.
 WINDOW, LEAST, MEAN_BITS = 32, 96, 8
 #: Keys that a task remembers as sent, before it starts anew.
@@ -99,16 +98,13 @@ def _chunks(batches, first: int = 0):
 class Encoder:
     """The tokenizer, and parts of texts that can be joined."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str | None):
+        self.words = packing.word_cache(path)
+        self.tokenizer = self.words.tokenizer
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.frombuffer(self.words.encode(text), "<u4").tolist()
 
     def digest(self, ids: list[int]) -> tuple[int, str, str]:
         decoded = self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -117,21 +113,21 @@ class Encoder:
     def part(self, text: str) -> tuple:
         """A piece as (ids, tokens of its left margin, of the whole words in it, the same on the right, the margins).
 
-        A piece without both margins has no ids and its whole text on the left.
+        A piece without both margins, or whose margins alone have other ids,
+        has no ids and its whole text on the left.
         """
         whole = None, 0, 0, 0, 0, text, ""
         head = _HEAD.match(text)
         tail = _TAIL.search(text, max(0, len(text) - 256)) or _TAIL.search(text)
         if head is None or tail is None or head.end() > tail.start():
             return whole
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids, at = found.ids, found.char_to_token
-        # first tokens of the left margin's whole words and of what follows it, of the right margin and of its cut word
-        places = [at(_SPACE.search(text).end()), at(_SPACE.match(text, head.end()).end()), at(tail.start()), len(ids) if tail.start(1) == len(text) else at(tail.start(1))]
-        if None in places or sorted(places) != places:
+        left, right = head.group(), tail.group()
+        ids, first, last = self.ids(text), self.ids(left), self.ids(right)
+        begun, ended = self.ids(left[: _SPACE.search(left).start()]), self.ids(tail.group(1))
+        middle = len(ids) - len(last)
+        if len(first) > middle or ids[: len(first)] != first or ids[middle:] != last or first[: len(begun)] != begun or last[len(last) - len(ended) :] != ended:
             return whole
-        a, b, c, d = places
-        return np.array(ids, self.kind).tobytes(), b, b - a, len(ids) - c, d - c, text[: head.end()], text[tail.start() :]
+        return np.array(ids, self.kind).tobytes(), len(first), len(first) - len(begun), len(last), len(last) - len(ended), left, right
 
     def joined(self, parts) -> list[int] | None:
         """The ids of the parts' whole text; None where a window doesn't agree with its parts."""
@@ -161,10 +157,6 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(path: str | None = None) -> Encoder:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY)
     return Encoder(path)
 
 

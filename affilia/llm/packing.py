@@ -18,6 +18,7 @@ arrival; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from struct import pack as pack_ids
@@ -44,6 +45,24 @@ _SIMPLE = 0x250
 UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u0130", "<|")
 
 
+#: How a vocabulary has to prepare texts for its words to be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether this tokenizer prepares texts in the way that ``WordCache`` follows word by word."""
+    state = lambda x: None if x is None else json.loads(x.__getstate__())
+    added = tokenizer.get_added_tokens_decoder().values()
+    return state(tokenizer.normalizer) == NORMALIZER and state(tokenizer.pre_tokenizer) == PRE_TOKENIZER and tokenizer.model.dropout is None and all(t.content.startswith("<|") for t in added)
+
+
 def _char_class(test) -> str:
     return "".join(re.escape(chr(c)) for c in range(_SIMPLE) if test(unicodedata.category(chr(c))))
 
@@ -53,7 +72,8 @@ class WordCache(dict):
 
     For plain text this vocabulary's pre-tokenizer never joins two words, so a
     word's ids don't depend on its neighbours, and frequent words are encoded
-    once per worker. Texts with unusual characters are encoded whole.
+    once per worker. Texts with unusual characters are encoded whole, and so
+    are all texts with a vocabulary that prepares them in another way.
     """
 
     def __init__(self, path: str):
@@ -62,6 +82,9 @@ class WordCache(dict):
         super().__init__()
         self.before: dict[str, bytes] = {}  # the words until the cache was last full; those still in use come over
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_words = by_words(self.tokenizer)
         trim()  # what parsing the file took
         letters, numbers = _char_class(lambda k: k[0] == "L"), _char_class(lambda k: k[0] == "N")
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
@@ -96,7 +119,7 @@ class WordCache(dict):
     def encode(self, text: str) -> bytes:
         lowered = text.lower()
         # what counts is the lower-cased text: some letters below _SIMPLE have lower cases beyond it
-        if any(x in text for x in UNUSUAL) or not lowered.isascii() and self.beyond.search(lowered):
+        if not self.by_words or any(x in text for x in UNUSUAL) or not lowered.isascii() and self.beyond.search(lowered):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return pack_ids(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, lowered.split()))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affilia.llm import chunks
+from affilia.llm import chunks, packing
 from affilia.llm.common import read
 from affilia.llm.queries import op11_chunked_bpe
 
@@ -18,7 +18,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(chunks.VOCABULARY))
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
 
 def whole(tokenizer, text):
@@ -44,6 +44,19 @@ def test_odd_texts(spark, tokenizer):
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in found) == want
 
 
+def test_another_vocabulary(spark):
+    """One that prepares texts in its own way is followed by windows and whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for t in odd_texts() if t is None or len(t) < 10_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    other = Tokenizer.from_file(path)
+    assert sorted(map(tuple, chunks.encoded(docs, path).collect())) == [(k, *whole(other, t)) for k, t in enumerate(texts)]
+    assert not packing.by_words(other)
+
+
 def test_query(spark, tokenizer):
     docs = {r["doc_id"]: r["text"] for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
     found = op11_chunked_bpe(spark, SF).collect()
