@@ -44,7 +44,7 @@ FORMATS = (
     r"\bAIza[A-Za-z0-9_-]{35}\b",
     r"\bsk-[A-Za-z0-9_-]{20,}+",
     r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+",
-    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----",
+    r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----(?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----",
 )
 #: A telling name within a longer one (DB_PASSWORD, userPassword), up to the sign and quote before its value.
 NAMED = rf"""(?i:(?:(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{{0,40}}?)?(?=[acpst])(?:{NAMES})[A-Za-z0-9_.-]{{0,40}})["']?\s{{0,3}}[:=]\s{{0,3}}["']?"""
@@ -84,7 +84,8 @@ def features(candidate: Column, before: Column, path: Column) -> dict[str, Colum
         "transitions": share(kinds),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
         "words": covered("|".join(sorted(set(WORDS), key=lambda w: (-len(w), w)))),
-        "syllables": covered("(?:[bcdfghjklmnpqrstvwxz]{0,2}[aeiouy]{1,2}[bcdfghjklmnpqrstvwxz]{0,1}){2,}"),
+        # possessive, so that it runs as a loop: without the last + each syllable is a call on the stack
+        "syllables": covered("(?:[bcdfghjklmnpqrstvwxz]{0,2}[aeiouy]{1,2}[bcdfghjklmnpqrstvwxz]{0,1}){2,}+"),
         "runs": flag(value, r"(.)\1{4,}"),
         "named": flag(candidate, f"^{NAMED}"),
         "known": flag(candidate, "^(?:" + "|".join(FORMATS) + ")"),

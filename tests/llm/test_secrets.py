@@ -75,3 +75,24 @@ def test_held_out_findings(spark, forest):
     rows = found.select("label", F.struct(*[c.alias(n) for n, c in x.items()]).alias("x"))
     right = rows.select(((secrets.votes(forest, F.col("x")) >= len(forest) / 2).cast("double") == F.col("label")).cast("int").alias("r")).agg(F.avg("r")).first()[0]
     assert right > 0.98
+
+
+@pytest.mark.parametrize("kind", ["syllables", "letter", "digits", "mixed", "labels", "key lines", "headers", "words", "assigned"])
+def test_very_long_candidates(spark, forest, kind):
+    """A million characters of any kind don't exhaust the stack."""
+    n = 1_000_000
+    long = {
+        "syllables": "password: " + "ha" * (n // 2),
+        "letter": "token = " + "x" * n,
+        "digits": "api_key: " + "7" * n,
+        "mixed": "a1B" * (n // 3),
+        "labels": "-----BEGIN " + "A " * (n // 2) + "PRIVATE KEY-----",
+        "key lines": "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD1234\n" * (n // 9) + "-----END RSA PRIVATE KEY-----",
+        "headers": "-----BEGIN RSA PRIVATE KEY-----\n" + "A: b\n" * (n // 5),
+        "words": "password" * (n // 8),
+        "assigned": "password=" + "-----BEGIN A " * (n // 13),
+    }[kind]
+    docs = spark.createDataFrame([(1, long, "a"), (2, f"see {long} end", None)], "doc_id long, text string, source string")
+    found = secrets.findings_per_document(docs, forest).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2]
+    assert kind != "key lines" or all(r["n_secrets"] == 1 for r in found)
