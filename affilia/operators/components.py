@@ -10,6 +10,7 @@ log(n) rounds. Lineage is cut in the shared checkpoint folder each round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affilia-checkpoint-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again, for loops.
+
+    A checkpoint keeps the optimizer's estimate of its size; over rounds of
+    joins that number squares until planning takes longer than the work. A
+    written table has its files' size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a").toDF("a", "b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

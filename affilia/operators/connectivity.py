@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import forest
 from .components import ensure_checkpoint_dir, star_components
 from .graph import vid_is_student
 from .kernels import blocks, least_reachable
@@ -46,15 +47,22 @@ def _label_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"comp_id": np.full(len(low), comp), "block_a": low[block], "block_b": high[block], "a": low, "b": high})
 
 
-def block_edges(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def block_edges(edges: DataFrame, labels: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """comp_id, block_a, block_b, a, b: each edge with its block's smallest edge.
 
-    Components are independent, so each is one group; a depth-first search
-    within a component is sequential by nature.
+    Components are independent: those of up to ``kernel_edges`` edges are
+    searched depth-first, each in one group; larger ones by joins, together.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     labels = connected_components(edges) if labels is None else labels
-    tagged = edges.join(labels.withColumnRenamed("vid", "a"), "a").select("comp_id", "a", "b").distinct()
-    return tagged.groupBy("comp_id").applyInArrow(_label_blocks, "comp_id long, block_a long, block_b long, a long, b long")
+    tagged = edges.join(labels.withColumnRenamed("vid", "a"), "a").select("comp_id", "a", "b").distinct().checkpoint()
+    large = tagged.groupBy("comp_id").count().where(F.col("count") > kernel_edges).select("comp_id").checkpoint()
+    schema = "comp_id long, block_a long, block_b long, a long, b long"
+    if large.isEmpty():
+        return tagged.groupBy("comp_id").applyInArrow(_label_blocks, schema)
+    small = tagged.join(large, "comp_id", "left_anti").groupBy("comp_id").applyInArrow(_label_blocks, schema)
+    rest = tagged.join(large, "comp_id", "left_semi").select("a", "b")
+    return small.union(forest.block_edges(rest, labels.join(large, "comp_id", "left_semi")))
 
 
 def block_id(a="block_a", b="block_b"):
