@@ -7,11 +7,16 @@ from ..sources import views
 BIG = 4294967296
 
 
-def base(weighted: bool = True) -> str:
+#: student, course and grad flag of the two rosters
+ROSTER = "o_custkey::bigint", "l_partkey::bigint", "c_custkey % 4 = 0"
+ISLANDS = "l_orderkey::bigint", "o_custkey * 64 + split_part(p_brand, '#', 2)::bigint", "o_orderkey % 4 = 0"
+
+
+def base(weighted: bool = True, of=ROSTER) -> str:
     """CTEs: en (rows), pr (distinct pairs), cr (courses), st (students), ed (edges), ee (both ways)."""
     hours = "(1 + p_size % 4)::bigint" if weighted else "1::bigint"
-    return f"""en as materialized (select l_orderkey * 8 + l_linenumber as row_id, o_custkey::bigint as stid, l_partkey::bigint as crsid,
-      (c_nationkey % 6 + 1)::int as major, c_custkey % 4 = 0 as grad, {hours} as hours
+    return f"""en as materialized (select l_orderkey * 8 + l_linenumber as row_id, {of[0]} as stid, {of[1]} as crsid,
+      (c_nationkey % 6 + 1)::int as major, {of[2]} as grad, {hours} as hours
       from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey),
     pr as materialized (select distinct stid, crsid from en),
     cr as materialized (select crsid, max_by(hours, row_id) as hours, sum(hours)::bigint as cost, count(*) as degree from en group by crsid),
@@ -20,9 +25,9 @@ def base(weighted: bool = True) -> str:
     ee as materialized (select a, b from ed union all select b, a from ed)"""
 
 
-def thresholds(less: int = 0) -> str:
+def thresholds(less: int = 0, sizes=None) -> str:
     """CTEs: th (threshold_id, min_size), bu (threshold_id, max_cost)."""
-    rows = ", ".join(["(0, null::bigint)", *(f"({k}, {s}::bigint)" for k, s in enumerate(views.SIZES, 1))])
+    rows = ", ".join(["(0, null::bigint)", *(f"({k}, {s}::bigint)" for k, s in enumerate(sizes or views.SIZES, 1))])
     return f"""th(threshold_id, min_size) as (values {rows}),
     tt as (select threshold_id, min_size, count(crsid) as n_courses, coalesce(sum(cost), 0)::bigint as cost from th left join cr on degree >= min_size group by 1, 2),
     bu as materialized (select threshold_id, greatest(cost - {less}, 0)::bigint as max_cost from tt),
@@ -42,9 +47,8 @@ CC = """cl(t, v, l) using key (t, v) as (select distinct t, a, a from g
     cc as materialized (select t, v, l from cl),
     cs as materialized (select t, l, count(*) filter (where v % 2 = 0) as n_students, count(*) as n_vertices from cc group by t, l),
     big as materialized (select t, arg_max(l, (n_students, -l)) as l, max(n_students) as n from cs group by t)"""
-BLOCKS = f"""vs as materialized (select distinct t, a as v from g),
-    wo(t, x, v, l) using key (t, x, v) as (
-      select x.t, x.v, y.v, y.v from vs x join vs y on x.t = y.t and x.v <> y.v
+BLOCKS = f"""wo(t, x, v, l) using key (t, x, v) as (
+      select x.t, x.v, y.v, y.v from cc x join cc y on x.t = y.t and x.l = y.l and x.v <> y.v
       union (select r.t, r.x, g.b, min(r.l) from wo r join g on r.t = g.t and r.v = g.a and g.b <> r.x
              join recurring.wo k on k.t = r.t and k.x = r.x and k.v = g.b where r.l < k.l group by 1, 2, 3)),
     ei as materialized (select t, a, b, least(a, b) * {BIG} + greatest(a, b) as id from g),
@@ -94,7 +98,7 @@ def _report(only: str = "true") -> str:
         where not exists (select 1 from rm where rm.threshold_id = t.threshold_id and rm.crsid = pr.crsid)),
       g as materialized (select t, stid * 2 as a, crsid * 2 + 1 as b from vy union all select t, crsid * 2 + 1, stid * 2 from vy)"""
     return with_(
-        base(weighted=False), thresholds(), live, CC, BLOCKS, UNIT_PATHS, SCORES,
+        base(weighted=False, of=ISLANDS), thresholds(sizes=views.ISLAND_SIZES), live, CC, BLOCKS, UNIT_PATHS, SCORES,
         then=f"""select bu.threshold_id, coalesce(r.c, 0)::bigint as removed_cost,
         q::bigint as n_vertices, coalesce(i.n, 0) as included, round(100.0 * coalesce(i.n, 0) / s.n, 1)::double as included_pct,
         coalesce(big.n, 0) as max_cc, round(100.0 * coalesce(big.n, 0) / s.n, 1)::double as max_cc_pct,
@@ -110,22 +114,14 @@ def _report(only: str = "true") -> str:
     )
 
 
-#: Searches from every vertex and relations between edges, too slow in SQL on a whole roster; on fixtures it checks them.
-SLOW = frozenset(
-    "biconnected_components bicomponents_generic largest_block cut_vertices block_cut_counts block_cut_forest bfs_distances shortest_path_counts "
-    "betweenness betweenness_norms max_betweenness weighted_betweenness report_row threshold_report".split()
-)
-
-
-def sql(slow: bool = False) -> dict[str, str]:
-    """SQL by query; with ``slow`` also what only small tables allow."""
-    full, live = base(), LIVE.format(masked=views.MASKED_DEGREE)
-    everything = _sql(full, live)
-    return everything if slow else {k: v for k, v in everything.items() if k not in SLOW}
+def sql() -> dict[str, str]:
+    """SQL by query."""
+    return _sql(base(), LIVE.format(masked=views.MASKED_DEGREE))
 
 
 def _sql(full: str, live: str) -> dict[str, str]:
-    blocks = (full, G0, CC, BLOCKS)
+    parts, parts_live = base(of=ISLANDS), LIVE.format(masked=views.ISLAND_MASKED_DEGREE)
+    blocks = (parts, G0, CC, BLOCKS)
     cuts = "ct as (select vid, count(*) as n_blocks from bm group by vid having count(*) > 1)"
     tiny_weighted = "g as materialized (select 0 as t, ee.a, ee.b, 12 // hours as len from ee join cr on (case when a % 2 = 1 then a else b end) = crsid * 2 + 1)"
     bicuts = "select block_id, count(ct.vid) as cut_count from bm left join ct using (vid) group by block_id"
@@ -163,13 +159,13 @@ def _sql(full: str, live: str) -> dict[str, str]:
             then="select min(vid) as cid, in_src, weight, count(*) as mult from kw group by in_src, weight, nbr",
         ),
         "min_weight_neighbors": with_(full, CLASSES, then="select cid, mult, length, count(*) as n_nearest from ne group by 1, 2, 3"),
-        "internal_pair_bc": with_(full, CLASSES, "wy as (select cid, count(*) as ways from ne group by cid)", then="select crsid, round(sum(mult * (mult - 1) / ways::double), 9) as score from ne join wy using (cid) where mult > 1 group by crsid"),
+        "internal_pair_bc": with_(parts, CLASSES, "wy as (select cid, count(*) as ways from ne group by cid)", then="select crsid, round(sum(mult * (mult - 1) / ways::double), 9) as score from ne join wy using (cid) where mult > 1 group by crsid"),
         "connected_components": with_(full, G0, CC, then="select v as vid, l as comp_id from cc"),
         "cc_sizes": with_(full, G0, CC, then="select l as comp_id, n_students, n_vertices from cs"),
         "largest_component": with_(full, G0, CC, then="select l as comp_id, n_students, n_vertices from cs order by n_students desc, l limit 1"),
         "component_student_sizes": with_(full, G0, CC, then="select n_students, count(*) as n_components from cs group by n_students"),
         "biconnected_components": with_(*blocks, then="select block_id, vid from bm"),
-        "bicomponents_generic": with_(full, live, live_g, CC, BLOCKS, then="select block_id, vid from bm union all select vid::varchar || '-' || vid::varchar, vid from lv where vid not in (select vid from bm)"),
+        "bicomponents_generic": with_(parts, parts_live, live_g, CC, BLOCKS, then="select block_id, vid from bm union all select vid::varchar || '-' || vid::varchar, vid from lv where vid not in (select vid from bm)"),
         "largest_block": with_(*blocks, "sz as (select block_id, count(*) filter (where vid % 2 = 0) as s, count(*) as n from bm group by 1)", then="select max(s) as max_bcc, max(n) as max_vertices, arg_max(s, (n, s)) as students_of_max_vertices from sz"),
         "cut_vertices": with_(*blocks, cuts, then="select vid, n_blocks from ct"),
         "block_cut_counts": with_(*blocks, cuts, then=bicuts),
@@ -178,12 +174,12 @@ def _sql(full: str, live: str) -> dict[str, str]:
             then="""select bk.comp_id, block_id, bk.n_vertices, cut_count, cs.n_vertices as comp_vertices,
             count(*) filter (where cut_count <= 1) over (partition by bk.comp_id) as leaf_count from bk join bc using (block_id) join cs on cs.l = bk.comp_id""",
         ),
-        "bfs_distances": with_(full, G0, UNIT_PATHS, then="select s, v, d::bigint as distance from p"),
-        "shortest_path_counts": with_(full, G0, UNIT_PATHS, then="select s, v, n as n_paths from p"),
-        "betweenness": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
-        "betweenness_norms": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
-        "max_betweenness": with_(full, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
-        "weighted_betweenness": with_(full, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "bfs_distances": with_(parts, G0, UNIT_PATHS, then="select s, v, d::bigint as distance from p"),
+        "shortest_path_counts": with_(parts, G0, UNIT_PATHS, then="select s, v, n as n_paths from p"),
+        "betweenness": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "betweenness_norms": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
+        "max_betweenness": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
+        "weighted_betweenness": with_(parts, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
         "report_row": _report("bu.threshold_id = 2"),
         "threshold_report": _report(),
     }

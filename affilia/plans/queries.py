@@ -1,4 +1,8 @@
-"""Every operator as a named query over the whole roster of the order tables."""
+"""Every operator as a named query over all line items of the order tables.
+
+Searches within components (blocks, paths, betweenness, the report) run on the
+roster of many components, the rest on the dense one.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from ..operators import connectivity, contraction, graph, ordered, paths, remova
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import readers
 from ..sources import views
-from ..sources.views import roster
+from ..sources.views import islands, roster
 from . import analysis
 
 REGISTRY: dict = {}
@@ -19,30 +23,31 @@ def query(f):
     return f
 
 
-def _pairs(spark, sf_dir):
-    return graph.memberships(roster(spark, sf_dir))
+def _pairs(spark, sf_dir, rows=roster):
+    return graph.memberships(rows(spark, sf_dir))
 
 
-def _edges(spark, sf_dir):
-    return graph.vertex_edges(_pairs(spark, sf_dir))
+def _edges(spark, sf_dir, rows=roster):
+    return graph.vertex_edges(_pairs(spark, sf_dir, rows))
 
 
-def _courses(spark, sf_dir):
-    return graph.course_attributes(roster(spark, sf_dir))
+def _courses(spark, sf_dir, rows=roster):
+    return graph.course_attributes(rows(spark, sf_dir))
 
 
-def _students(spark, sf_dir):
-    return graph.student_attributes(roster(spark, sf_dir))
+def _students(spark, sf_dir, rows=roster):
+    return graph.student_attributes(rows(spark, sf_dir))
 
 
 def _vertices(edges):
     return graph.both_ways(edges).select(F.col("a").alias("vid")).distinct()
 
 
-def _live(spark, sf_dir):
+def _live(spark, sf_dir, rows=roster):
     """All edges and the vertices without the courses of a large degree."""
-    edges = _edges(spark, sf_dir)
-    big = _courses(spark, sf_dir).where(F.col("degree") >= views.MASKED_DEGREE).select(fn.course_vid(F.col("crsid")).alias("vid"))
+    edges = _edges(spark, sf_dir, rows)
+    masked = views.MASKED_DEGREE if rows is roster else views.ISLAND_MASKED_DEGREE
+    big = _courses(spark, sf_dir, rows).where(F.col("degree") >= masked).select(fn.course_vid(F.col("crsid")).alias("vid"))
     return edges, _vertices(edges).join(big, "vid", "left_anti")
 
 
@@ -197,9 +202,9 @@ def min_weight_neighbors(spark, sf_dir):
 
 @query
 def internal_pair_bc(spark, sf_dir):
-    pairs, students = _pairs(spark, sf_dir), _students(spark, sf_dir)
+    pairs, students = _pairs(spark, sf_dir, islands), _students(spark, sf_dir, islands)
     classes = contraction.class_table(pairs, students)
-    courses = _courses(spark, sf_dir)
+    courses = _courses(spark, sf_dir, islands)
     nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses, analysis.common_scale(courses))
     return contraction.internal_pairs(nearest).select("crsid", F.round("score", 9).alias("score"))
 
@@ -226,17 +231,17 @@ def component_student_sizes(spark, sf_dir):
 
 @query
 def biconnected_components(spark, sf_dir):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir))).select("block_id", "vid")
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, islands))).select("block_id", "vid")
 
 
 @query
 def bicomponents_generic(spark, sf_dir):
-    edges, live = _live(spark, sf_dir)
+    edges, live = _live(spark, sf_dir, islands)
     return connectivity.block_members(connectivity.block_edges(graph.induced(edges, live)), live).select("block_id", "vid")
 
 
 def _members(spark, sf_dir):
-    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir)))
+    return connectivity.block_members(connectivity.block_edges(_edges(spark, sf_dir, islands)))
 
 
 @query
@@ -262,10 +267,10 @@ def block_cut_forest(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir, weighted):
-    courses = _courses(spark, sf_dir)
+    courses = _courses(spark, sf_dir, islands)
     length = F.expr(f"{analysis.common_scale(courses)} div hours") if weighted else F.lit(1).cast("long")
     by_vid = courses.select(fn.course_vid(F.col("crsid")).alias("b"), length.alias("length"))
-    return _edges(spark, sf_dir).join(by_vid, "b").select("a", "b", "length")
+    return _edges(spark, sf_dir, islands).join(by_vid, "b").select("a", "b", "length")
 
 
 @query
@@ -286,12 +291,12 @@ def _largest_members(edges):
 def _scores(spark, sf_dir, weighted):
     """vid, raw: ordered-pair betweenness within the largest component, on merged students; vertices outside have 0."""
     ensure_checkpoint_dir(spark)
-    pairs = _pairs(spark, sf_dir).checkpoint()
+    pairs = _pairs(spark, sf_dir, islands).checkpoint()
     inside = _largest_members(graph.vertex_edges(pairs))
-    hours = _courses(spark, sf_dir).select("crsid", "hours" if weighted else F.lit(1).alias("hours"))
+    hours = _courses(spark, sf_dir, islands).select("crsid", "hours" if weighted else F.lit(1).alias("hours"))
     students = inside.where("vid % 2 = 0").select(F.expr("vid div 2").alias("stid"))
     courses = inside.where("vid % 2 = 1").select(F.expr("vid div 2").alias("crsid"))
-    scores = analysis.contracted_betweenness(pairs, hours, students, courses, _students(spark, sf_dir))
+    scores = analysis.contracted_betweenness(pairs, hours, students, courses, _students(spark, sf_dir, islands))
     vid = F.when(F.col("kind") == "s", F.col("id") * 2).otherwise(F.col("id") * 2 + 1)
     n = _vertices(graph.vertex_edges(pairs)).count()
     return scores.select(vid.alias("vid"), F.col("score").alias("raw")), F.lit(n)
@@ -322,8 +327,8 @@ def weighted_betweenness(spark, sf_dir):
 
 def _plain(spark, sf_dir):
     """The roster with uniform hours, and its budgets."""
-    rows = roster(spark, sf_dir, weighted=False)
-    return rows, removal.budgets_of(graph.course_attributes(rows), views.SIZES)
+    rows = islands(spark, sf_dir, weighted=False)
+    return rows, removal.budgets_of(graph.course_attributes(rows), views.ISLAND_SIZES)
 
 
 @query

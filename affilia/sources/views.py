@@ -1,7 +1,13 @@
-"""Rosters from the order tables: customers enrol in parts.
+"""Rosters from the order tables, one row per line item (repeats stay).
 
-student = o_custkey, course = l_partkey, one row per line item (repeats stay),
-hours = 1 + p_size % 4 (or 1), grad = every fourth customer, major by nation.
+``roster``: customers enrol in parts: one dense component. student = o_custkey,
+course = l_partkey, grad = every fourth customer.
+
+``islands``: orders enrol in a customer's brands: about one component per
+customer, with leaves, cut vertices and equal students. student = l_orderkey,
+course = o_custkey and brand, grad = every fourth order.
+
+In both hours = 1 + p_size % 4 (or 1), and the major is by nation.
 """
 
 from __future__ import annotations
@@ -12,18 +18,29 @@ from pyspark.sql import functions as F
 #: Course sizes from which budgets are derived, and the degree from which courses are taken out where a query masks some.
 SIZES = (45, 40, 35, 30)
 MASKED_DEGREE = 30
+#: The same for islands.
+ISLAND_SIZES, ISLAND_MASKED_DEGREE = (5, 4, 3), 4
 
 
-def roster(spark: SparkSession, sf_dir: str, weighted: bool = True, where: str = "true") -> DataFrame:
-    """row_id, stid, crsid, major, grad, hours of the line items; the scans read just these columns."""
+def _lines(spark: SparkSession, sf_dir: str, weighted: bool, where: str, student: str, course: str, grad: str) -> DataFrame:
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = table("lineitem").join(table("orders"), F.expr("l_orderkey = o_orderkey")).where(where)
     rows = lines.join(table("customer"), F.expr("o_custkey = c_custkey")).join(table("part"), F.expr("l_partkey = p_partkey"))
     return rows.select(
         F.expr("l_orderkey * 8 + l_linenumber").cast("long").alias("row_id"),
-        F.col("o_custkey").alias("stid"),
-        F.col("l_partkey").alias("crsid"),
+        F.expr(student).alias("stid"),
+        F.expr(course).alias("crsid"),
         F.expr("cast(c_nationkey % 6 + 1 as int)").alias("major"),
-        F.expr("c_custkey % 4 = 0").alias("grad"),
+        F.expr(grad).alias("grad"),
         (F.expr("cast(1 + p_size % 4 as bigint)") if weighted else F.lit(1).cast("long")).alias("hours"),
     )
+
+
+def roster(spark: SparkSession, sf_dir: str, weighted: bool = True, where: str = "true") -> DataFrame:
+    """row_id, stid, crsid, major, grad, hours of the line items; the scans read just these columns."""
+    return _lines(spark, sf_dir, weighted, where, "o_custkey", "l_partkey", "c_custkey % 4 = 0")
+
+
+def islands(spark: SparkSession, sf_dir: str, weighted: bool = True, where: str = "true") -> DataFrame:
+    """The columns of ``roster``, in many components."""
+    return _lines(spark, sf_dir, weighted, where, "l_orderkey", "o_custkey * 64 + cast(split_part(p_brand, '#', 2) as bigint)", "o_orderkey % 4 = 0")
