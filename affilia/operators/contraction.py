@@ -41,11 +41,11 @@ def compression_map(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows.withColumn("cid", F.min("vid").over(Window.partitionBy("in_src", "weight", "nbr"))).select("vid", "cid")
 
 
-def shortest_neighbors(classes: DataFrame, edges: DataFrame, courses: DataFrame, scale: int = 12) -> DataFrame:
-    """cid, crsid, mult, length: each class's courses at the least distance (scale / hours)."""
-    lengths = edges.join(courses.select("crsid", F.expr(f"{scale} div hours").alias("length")), "crsid")
-    least = lengths.groupBy("cid").agg(F.min("length").alias("length"))
-    return lengths.join(least, ["cid", "length"]).join(classes.select("cid", "mult"), "cid").select("cid", "crsid", "mult", "length")
+def shortest_neighbors(classes: DataFrame, edges: DataFrame, courses: DataFrame) -> DataFrame:
+    """cid, crsid, mult, hours: each class's nearest courses, those of the most hours."""
+    rows = edges.join(courses.select("crsid", "hours"), "crsid")
+    most = rows.groupBy("cid").agg(F.max("hours").alias("hours"))
+    return rows.join(most, ["cid", "hours"]).join(classes.select("cid", "mult"), "cid").select("cid", "crsid", "mult", "hours")
 
 
 def internal_pairs(nearest: DataFrame) -> DataFrame:

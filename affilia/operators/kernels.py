@@ -108,7 +108,8 @@ class PathGraph:
     def __init__(self, n, x, y, length, mult=None, counted=None):
         self.n = n
         self.first, self.heads, edge = adjacency(n, x, y)
-        self.length = np.asarray(length, np.int64)[edge] if len(x) else np.zeros(0, np.int64)
+        # lengths beyond 64 bits are Python's numbers
+        self.length = np.asarray(length, object if np.asarray(length).dtype == object else np.int64)[edge] if len(x) else np.zeros(0, np.int64)
         self.uniform = len(x) == 0 or bool((self.length == self.length[0]).all())
         self.mult = np.ones(n) if mult is None else np.asarray(mult, float)
         self.counted = np.ones(n, bool) if counted is None else np.asarray(counted, bool)
@@ -122,7 +123,7 @@ class PathGraph:
     def _scratch(self):
         """Distances, path counts and gains; every search leaves them as it found them."""
         if not hasattr(self, "_arrays"):
-            self._arrays = np.full(self.n, -1, np.int64), np.zeros(self.n), np.zeros(self.n)
+            self._arrays = np.full(self.n, -1, self.length.dtype), np.zeros(self.n), np.zeros(self.n)
         return self._arrays
 
     def _reach(self, source: int):

@@ -3,29 +3,38 @@
 The graph goes to the workers as arrays when it has at most BROADCAST_EDGES
 edges (its size is checked). For betweenness hanging trees are folded away first
 and runs of sources are searched together; they are dealt over the cluster and
-partial vectors are summed. Larger graphs take the frontier form: one join per level,
-on edges cut into unit lengths.
+partial vectors are summed. Larger graphs take the frontier form: a batch of
+sources at a time, distances by delta-stepping, counts and dependencies by
+rounds over the shortest-path edges; no edge passes the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import ensure_checkpoint_dir
-from .graph import both_ways
+from . import lengths
+from .components import settled
 from .kernels import PathGraph
 
 #: A graph of so many edges is 64 MB of arrays in a worker, about, and twice that in the driver.
 BROADCAST_EDGES = 2_000_000
+#: Rows (source, vertex) of one batch of the frontier form.
+BATCH_ROWS = 1 << 28
 
 
 def _arrays(edges: DataFrame, classes: DataFrame | None = None):
     """(vids, x, y, length, mult, counted) of a graph small enough to broadcast."""
     e = edges.select("a", "b", "length").toArrow()
-    a, b, length = (e.column(c).to_numpy() for c in ("a", "b", "length"))
+    a, b = (e.column(c).to_numpy() for c in ("a", "b"))
+    if lengths.width(edges):
+        length = np.array([lengths.number(tuple(x.values())) for x in e.column("length").to_pylist()] + [None], object)[:-1]
+    else:
+        length = e.column("length").to_numpy()
     if classes is None:
         vids = np.unique(np.concatenate([a, b]))
         mult, counted = np.ones(len(vids)), np.ones(len(vids), bool)
@@ -61,68 +70,104 @@ def shortest_paths(edges: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
     return _sources(spark, vids, counted).mapInArrow(run, "s long, v long, distance long, n_paths double")
 
 
-def _unit_edges(edges: DataFrame) -> DataFrame:
-    """Edges of whole length as chains of unit edges; the inner vertices are strings of their own."""
-    name = lambda k: F.when(k == 0, F.col("a").cast("string")).when(k == F.col("length"), F.col("b").cast("string")).otherwise(F.concat_ws(":", "a", "b", k))
-    steps = edges.select("a", "b", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("k"))
-    return both_ways(steps.select(name(F.col("k")).alias("a"), name(F.col("k") + 1).alias("b")))
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """a, b, length both ways."""
+    a, b = F.col("a"), F.col("b")
+    return edges.select(F.explode(F.array(F.struct(a.alias("a"), b.alias("b"), "length"), F.struct(b.alias("a"), a.alias("b"), "length"))).alias("e")).select("e.*")
 
 
-def _levels(edges: DataFrame, sources: DataFrame, mult: DataFrame | None = None) -> list[DataFrame]:
-    """Per level (s, v, n_paths) of a breadth-first search from all sources at once.
+def frontier_distances(near: DataFrame, sources: DataFrame) -> DataFrame:
+    """s, v, d of all vertices that the sources (s) reach; near: a, b, length both ways.
 
-    mult: v (a string), mult of vertices that stand for several; each counts for as many paths.
+    Delta-stepping: a round relaxes the open vertices no farther than ``delta``
+    beyond the nearest of them, so few are relaxed twice, and rounds follow the
+    edges on paths, not the lengths of edges.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    unit = _unit_edges(edges).checkpoint()
+    limbs = lengths.width(near)
+    delta = lengths.constant(lengths.number(near.agg(F.max("length")).first()[0] or 0) // 8, limbs)
+    best = settled(sources.select("s", F.col("s").alias("v"), lengths.constant(0, limbs).alias("d"), F.lit(True).alias("open")))
+    while True:
+        nearest = best.where("open").agg(F.min("d")).first()[0]
+        if nearest is None:
+            return best.select("s", "v", "d")
+        ready = F.col("open") & (F.col("d") <= lengths.plus(lengths.constant(lengths.number(nearest), limbs), delta, limbs))
+        marked = best.withColumn("ready", ready)
+        onward = marked.where("ready").join(near, F.col("v") == F.col("a")).select("s", F.col("b").alias("v"), lengths.plus(F.col("d"), F.col("length"), limbs).alias("d"), F.lit(True).alias("open"))
+        rows = marked.select("s", "v", "d", (F.col("open") & ~F.col("ready")).alias("open")).union(onward)
+        # of equal distances the one that isn't open is the older one
+        best = settled(rows.groupBy("s", "v").agg(F.min(F.struct("d", "open")).alias("x")).select("s", "v", "x.d", "x.open"))
+
+
+def _counted_rounds(near: DataFrame, sources: DataFrame, mult: DataFrame):
+    """(distances, shortest-path edges s, a, b, rounds of s, v, n_paths), each vertex in a round after all before it.
+
+    mult: v, mult of vertices that stand for several; each counts for as many paths.
+    """
+    limbs = lengths.width(near)
+    distance = settled(frontier_distances(near, sources))
+    onward = distance.join(near, F.col("v") == F.col("a")).select("s", "a", "b", lengths.plus(F.col("d"), F.col("length"), limbs).alias("d"))
+    steps = settled(onward.join(distance.select("s", F.col("v").alias("b"), "d"), ["s", "b", "d"]).select("s", "a", "b"))
+    wanted = settled(steps.groupBy("s", F.col("b").alias("v")).agg(F.count("*").alias("wanted")))
+    weighed = lambda rows: rows.join(mult, "v", "left").select("s", "v", (F.col("n") * F.coalesce("mult", F.lit(1))).cast("double").alias("n_paths"))
+    now, rounds, waiting = settled(weighed(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("n")))), [], None
+    while not now.isEmpty():
+        rounds.append(now)
+        sent = now.join(steps, (now["s"] == steps["s"]) & (now["v"] == steps["a"])).select(now["s"], F.col("b").alias("v"), F.col("n_paths").alias("n"), F.lit(1).cast("long").alias("got"))
+        rows = (sent if waiting is None else sent.union(waiting)).groupBy("s", "v").agg(F.sum("n").alias("n"), F.sum("got").alias("got"))
+        held = settled(rows.join(wanted, ["s", "v"]))
+        now, waiting = settled(weighed(held.where("got = wanted").select("s", "v", "n"))), held.where("got < wanted").select("s", "v", "n", "got")
+    return distance, steps, rounds
 
-    def weighed(level):
-        if mult is None:
-            return level
-        return level.join(mult, "v", "left").select("s", "v", (F.col("n_paths") * F.coalesce("mult", F.lit(1))).alias("n_paths"))
 
-    now = weighed(sources.select(F.col("vid").cast("string").alias("s"), F.col("vid").cast("string").alias("v"), F.lit(1.0).alias("n_paths"))).checkpoint()
-    seen, levels = now.select("s", "v"), []
-    while not now.isEmpty():
-        levels.append(now)
-        onward = now.join(unit, now["v"] == unit["a"]).groupBy("s", "b").agg(F.sum("n_paths").alias("n_paths")).withColumnRenamed("b", "v")
-        now = weighed(onward.join(seen, ["s", "v"], "left_anti")).checkpoint()
-        seen = seen.union(now.select("s", "v"))
-    return levels
+def _batches(sources: DataFrame, vertices: int, batch_rows: int) -> list[DataFrame]:
+    """The sources (s) in runs whose states have about ``batch_rows`` rows each."""
+    count = -(-sources.count() * max(1, vertices) // batch_rows)
+    return [sources.where(F.pmod(F.xxhash64("s"), F.lit(count)) == k) for k in range(count)]
 
 
-def frontier_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """``shortest_paths`` as joins, for graphs of any size."""
-    sources = both_ways(edges).select(F.col("a").alias("vid")).distinct() if sources is None else sources
+def frontier_paths(edges: DataFrame, sources: DataFrame | None = None, batch_rows: int | None = None) -> DataFrame:
+    """``shortest_paths`` as joins, for graphs of any size; a batch of sources at a time."""
+    near = settled(_adjacency(edges))
+    vertices = settled(near.select(F.col("a").alias("s")).distinct())
+    sources = vertices if sources is None else sources.select(F.col("vid").alias("s"))
     out = None
-    for depth, level in enumerate(_levels(edges, sources)):
-        rows = level.where("instr(v, ':') = 0").select(F.col("s").cast("long"), F.col("v").cast("long"), F.lit(depth).cast("long").alias("distance"), "n_paths")
-        out = rows if out is None else out.union(rows)
+    for batch in _batches(sources, vertices.count(), batch_rows or BATCH_ROWS):
+        distance, _, rounds = _counted_rounds(near, settled(batch), vertices.select(F.col("s").alias("v"), F.lit(1).alias("mult")).limit(0))
+        counts = reduce(DataFrame.union, rounds) if rounds else None
+        if counts is not None:
+            rows = settled(distance.join(counts, ["s", "v"]).select("s", "v", F.col("d").alias("distance"), "n_paths"))
+            out = rows if out is None else out.union(rows)
     return out if out is not None else edges.sparkSession.createDataFrame([], "s long, v long, distance long, n_paths double")
 
 
-def frontier_betweenness(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """vid, score of ``betweenness`` as joins, for graphs of any size."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    unit, classes = _unit_edges(edges), classes.select("vid", "mult", "counted").checkpoint()
-    mult = classes.where("mult <> 1").select(F.col("vid").cast("string").alias("v"), "mult")
-    known = classes.select(F.col("vid").cast("string").alias("v"), F.col("mult").cast("double").alias("mult"), F.when(F.col("counted"), F.col("mult")).otherwise(0).cast("double").alias("hit"))
-    gains, after = None, None
-    for level in reversed(_levels(edges, classes.where("counted"), mult)):
-        here = level.join(known, "v", "left").select("s", "v", "n_paths", F.coalesce("mult", F.lit(1.0)).alias("mult"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
-        if after is None:
-            rows = here.withColumn("gain", F.lit(0.0))
-        else:
-            back = after.withColumnRenamed("v", "b").join(unit, "b").select("s", F.col("a").alias("v"), ((F.col("hit") + F.col("gain")) * F.col("mult") / F.col("n_paths")).alias("share"))
-            back = back.groupBy("s", "v").agg(F.sum("share").alias("share"))
-            rows = here.join(back, ["s", "v"], "left").withColumn("gain", F.coalesce(F.col("n_paths") * F.col("share"), F.lit(0.0))).drop("share")
-        after = rows.checkpoint()
-        part = after.where("s <> v and instr(v, ':') = 0").select("s", "v", "gain")
-        gains = part if gains is None else gains.union(part)
-    if gains is None:
+def frontier_betweenness(edges: DataFrame, classes: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """vid, score of ``betweenness`` as joins, for graphs of any size.
+
+    Sources go in batches whose states have a bounded number of rows, sources
+    times vertices; a batch ends as one row per vertex in the shared folder.
+    """
+    near, classes = settled(_adjacency(edges)), settled(classes.select("vid", "mult", "counted"))
+    mult = classes.where("mult <> 1").select(F.col("vid").alias("v"), "mult")
+    known = classes.select(F.col("vid").alias("v"), F.col("mult").cast("double").alias("mult"), F.when(F.col("counted"), F.col("mult")).otherwise(0).cast("double").alias("hit"))
+    total = None
+    for batch in _batches(classes.where("counted").select(F.col("vid").alias("s")), classes.count(), batch_rows or BATCH_ROWS):
+        _, steps, rounds = _counted_rounds(near, settled(batch), mult)
+        gains, waiting = [], None
+        for now in reversed(rounds):
+            rows = now.join(known, "v", "left")
+            rows = rows.withColumn("share", F.lit(0.0)) if waiting is None else rows.join(waiting, ["s", "v"], "left")
+            here = settled(rows.select("s", "v", "n_paths", "mult", "hit", (F.col("n_paths") * F.coalesce("share", F.lit(0.0))).alias("gain")))
+            gains.append(here.where("s <> v").select("s", "v", "gain"))
+            share = ((F.col("hit") + F.col("gain")) * F.col("mult") / F.col("n_paths")).alias("share")
+            sent = here.select("s", F.col("v").alias("b"), share).join(steps, ["s", "b"]).select("s", F.col("a").alias("v"), "share")
+            waiting = settled((sent if waiting is None else sent.union(waiting)).groupBy("s", "v").agg(F.sum("share").alias("share")))
+        if gains:
+            times = known.select(F.col("v").alias("s"), F.col("mult").alias("times"))
+            part = settled(reduce(DataFrame.union, gains).join(times, "s").groupBy(F.col("v").alias("vid")).agg(F.sum(F.col("gain") * F.col("times")).alias("sum")))
+            total = part if total is None else total.union(part)
+    if total is None:
         return classes.select("vid", F.lit(0.0).alias("score"))
-    of_source = classes.select(F.col("vid").cast("string").alias("s"), F.col("mult").alias("times"))
-    sums = gains.join(of_source, "s").groupBy(F.col("v").cast("long").alias("vid")).agg(F.sum(F.col("gain") * F.col("times")).alias("sum"))
+    sums = total.groupBy("vid").agg(F.sum("sum").alias("sum"))
     return classes.join(sums, "vid", "left").select("vid", F.coalesce(F.col("sum") / F.col("mult"), F.lit(0.0)).alias("score"))
 
 

@@ -7,36 +7,18 @@ sweep run as single jobs instead of a loop over budgets.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import betweenness_norm, percent
 from ..operators import connectivity as C
-from ..operators import contraction, graph, paths, removal
+from ..operators import contraction, graph, lengths, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 
 SPAN = 1 << 44
-#: Largest scale of lengths; distances then stay far below 64 bits.
-MOST_SCALE = 1 << 40
 STRATEGIES = {"prefix": removal.prefix_removed, "skip_fit": removal.skip_fit_removed}
 
 
-def common_scale(hours: DataFrame) -> int:
-    """The least number that every value of ``hours`` divides, so that lengths scale / hours are whole.
-
-    Hours whose common multiple exceeds MOST_SCALE are refused; a set of
-    distinct values gets there after a few dozen, so no more are read.
-    """
-    scale = 1
-    for row in hours.select("hours").distinct().where("hours >= 1").toLocalIterator():
-        scale = math.lcm(scale, row["hours"])
-        if scale > MOST_SCALE:
-            raise ValueError(f"the hours have no common multiple up to {MOST_SCALE}")
-    return scale
-
-
 def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students: DataFrame, counted_courses: DataFrame, grad: DataFrame) -> DataFrame:
     """kind ('s' or 'c'), id, score: raw ordered-pair sums, computed on merged students.
 
@@ -49,13 +31,12 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     classes = table.select("cid", "mult", F.col("grad.in_src").alias("counted"))
     edges = table.select("cid", F.explode("nbr").alias("crsid"))
     member = table.select("cid", F.explode("members").alias("stid"))
-    scale = common_scale(hours)
-    lengths = hours.select("crsid", F.expr(f"{scale} div hours").alias("length"))
-    vertex_edges = edges.join(lengths, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
+    by_course = lengths.with_length(hours.select("crsid", "hours")).select("crsid", "length")
+    vertex_edges = edges.join(by_course, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
     course_rows = pairs.select("crsid").distinct().join(counted_courses.select("crsid", F.lit(True).alias("counted")), "crsid", "left")
     vertices = classes.select((F.col("cid") * 2).alias("vid"), "mult", "counted").union(course_rows.select((F.col("crsid") * 2 + 1).alias("vid"), F.lit(1).cast("long"), F.coalesce("counted", F.lit(False)))).checkpoint()
     external = paths.betweenness(vertex_edges, vertices)
-    nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours, scale)
+    nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours)
     internal = contraction.internal_pairs(nearest).select((F.col("crsid") * 2 + 1).alias("vid"), "score")
     scores = external.unionByName(internal).groupBy("vid").agg(F.sum("score").alias("score")).checkpoint()  # students and courses both read it
     students = member.join(scores.where("vid % 2 = 0").select((F.col("vid") / 2).cast("long").alias("cid"), "score"), "cid").select(F.lit("s").alias("kind"), F.col("stid").alias("id"), "score")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import connectivity, contraction, graph, ordered, paths, removal
+from ..operators import connectivity, contraction, graph, lengths, ordered, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import readers
 from ..sources import views
@@ -196,8 +196,8 @@ def min_weight_neighbors(spark, sf_dir):
     pairs, students = _pairs(spark, sf_dir), _students(spark, sf_dir)
     classes = contraction.class_table(pairs, students)
     courses = _courses(spark, sf_dir)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses, analysis.common_scale(courses))
-    return nearest.groupBy("cid", "mult", "length").agg(F.count("*").alias("n_nearest"))
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses)
+    return lengths.with_length(nearest, courses).groupBy("cid", "mult", "length").agg(F.count("*").alias("n_nearest"))
 
 
 @query
@@ -205,7 +205,7 @@ def internal_pair_bc(spark, sf_dir):
     pairs, students = _pairs(spark, sf_dir, islands), _students(spark, sf_dir, islands)
     classes = contraction.class_table(pairs, students)
     courses = _courses(spark, sf_dir, islands)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses, analysis.common_scale(courses))
+    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses)
     return contraction.internal_pairs(nearest).select("crsid", F.round("score", 9).alias("score"))
 
 
@@ -268,8 +268,8 @@ def block_cut_forest(spark, sf_dir):
 
 def _lengths(spark, sf_dir, weighted):
     courses = _courses(spark, sf_dir, islands)
-    length = F.expr(f"{analysis.common_scale(courses)} div hours") if weighted else F.lit(1).cast("long")
-    by_vid = courses.select(fn.course_vid(F.col("crsid")).alias("b"), length.alias("length"))
+    timed = lengths.with_length(courses) if weighted else courses.withColumn("length", F.lit(1).cast("long"))
+    by_vid = timed.select(fn.course_vid(F.col("crsid")).alias("b"), "length")
     return _edges(spark, sf_dir, islands).join(by_vid, "b").select("a", "b", "length")
 
 

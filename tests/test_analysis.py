@@ -1,10 +1,11 @@
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from affilia.operators import graph
+from affilia.operators import graph, lengths
 from affilia.plans import analysis
 
 from .fixtures import MIXED, WC5, WC5_HOURS, parsed, roster
@@ -54,10 +55,37 @@ def test_hours_of_any_size(spark, hours):
     assert scores(spark, roster(spark, both))["c", 1] == 0  # the course of more hours is nearer
 
 
-def test_hours_without_a_common_multiple(spark):
-    rows = roster(spark, [(1, c, h) for c, h in enumerate((999983, 999979, 999961), 1)])
-    with pytest.raises(ValueError, match="common multiple"):
-        analysis.common_scale(rows)
+@pytest.mark.parametrize("hours", [range(1, 101), (999983, 999979, 999961, 1000003, 1000033, 1000037, 1000039)])
+def test_hours_without_a_small_common_multiple(spark, monkeypatch, hours):
+    """Lengths of several limbs, in the kernel and by joins."""
+    rng = random.Random(9)
+    rows = [(s, c, hours[c]) for s in range(1, 11) for c in rng.sample(range(len(hours)), min(len(hours), 40))[:4] + [s % len(hours), (s + 1) % len(hours)]]
+    rows = sorted(set(rows))
+    want = brute(rows)
+    close(scores(spark, roster(spark, rows)), want)
+    if len(hours) < 10:
+        monkeypatch.setattr(analysis.paths, "BROADCAST_EDGES", 0)
+        monkeypatch.setattr(analysis.paths, "BATCH_ROWS", 60)
+        close(scores(spark, roster(spark, rows)), want)
+
+
+def test_limbs(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(10 ** rng.randint(1, 50)), rng.randrange(10 ** rng.randint(1, 50))) for _ in range(60)] + [(lengths.LIMB - 1, 1), (lengths.LIMB**2 - 1, 1)]
+    kind = "struct<l0: long, l1: long, l2: long>"
+    df = spark.createDataFrame([(k, lengths.limbs(x, 3), lengths.limbs(y, 3)) for k, (x, y) in enumerate(pairs)], f"k int, x {kind}, y {kind}")
+    for r in df.select("k", lengths.plus(F.col("x"), F.col("y"), 3).alias("sum"), (F.col("x") < F.col("y")).alias("less"), F.least("x", "y").alias("least")).collect():
+        x, y = pairs[r["k"]]
+        assert lengths.number(r["sum"]) == x + y and r["less"] == (x < y) and lengths.number(r["least"]) == min(x, y)
+
+
+def test_very_unequal_lengths(spark):
+    """Lengths 1 and 10**9 in one graph, by joins and by the kernel."""
+    rng = random.Random(6)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(60)})
+    e = spark.createDataFrame([(a, b, rng.choice([1, 1, 10**9])) for a, b in pairs], "a long, b long, length long").coalesce(1)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(analysis.paths.frontier_paths(e, batch_rows=200)) == rows(analysis.paths.shortest_paths(e))
 
 
 def test_declared_courses_and_strategy(spark):
@@ -67,17 +95,15 @@ def test_declared_courses_and_strategy(spark):
     assert (one.removed_cost, one.n_vertices) == (0, 12) and (two.removed_cost, two.n_vertices) == (6, 9 + 8)
 
 
-M = 360360  # every hour up to 15 divides it
-
-
 def brute(rows):
     """All-pairs betweenness by Floyd-Warshall and path counting, normalised."""
+    scale = math.lcm(*(h for *_, h in rows))
     vs = sorted({("s", s) for s, _, _ in rows} | {("c", c) for _, c, _ in rows})
     length = {}
     for s, c, h in rows:
-        length["s", s, "c", c] = M // h
-        length["c", c, "s", s] = M // h
-    inf = 10**12
+        length["s", s, "c", c] = scale // h
+        length["c", c, "s", s] = scale // h
+    inf = scale * 10**6
     d = {(u, v): 0 if u == v else length.get((*u, *v), inf) for u in vs for v in vs}
     for k, u, v in itertools.product(vs, vs, vs):
         d[u, v] = min(d[u, v], d[u, k] + d[k, v])
