@@ -9,6 +9,7 @@ log(n) rounds. Lineage is cut in the shared checkpoint folder each round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only where none is set use a local one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affilia-checkpoint-"))
+    """Keep the cluster's ``spark.checkpoint.dir``; where none is set, a local master gets one of its own, a cluster is refused."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="affilia-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def settled(df: DataFrame) -> DataFrame:

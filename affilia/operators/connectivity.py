@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import forest
-from .components import ensure_checkpoint_dir, star_components
+from .components import ensure_checkpoint_dir, settled, star_components
 from .graph import vid_is_student
 from .kernels import blocks, least_reachable
 
@@ -36,6 +36,29 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ke
     return vertices.select("vid").join(labels, "vid", "left").select("vid", F.coalesce("comp_id", "vid").alias("comp_id"))
 
 
+def nested_components(edges: DataFrame, levels: int) -> list[DataFrame]:
+    """vid, comp_id at each of the levels 0 to ``levels`` - 1 of graphs that shrink from level to level.
+
+    edges: a, b, alive; an edge is there at the levels below alive. One spanning
+    forest of the longest-lived edges has the components of all levels: from the
+    last level to the first each of its edges joins two components once, so
+    edges are never copied per level. Vertices without an edge are left out.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = settled(edges.where("alive > 0"))
+    tree = settled(forest.spanning_forest(edges.select("a", "b", (-F.col("alive")).alias("w"))))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("vid"), "alive")
+    now = settled(ends.groupBy("vid").agg(F.max("alive").alias("alive")).select("vid", F.col("vid").alias("comp_id"), "alive"))
+    out = []
+    for level in reversed(range(levels)):
+        joining = tree.where(F.col("w") == -(level + 1))
+        of = lambda c: now.select(F.col("vid").alias(c), F.col("comp_id").alias(f"to_{c}"))
+        merged = star_components(joining.join(of("a"), "a").join(of("b"), "b").select("to_a", "to_b")).select(F.col("vid").alias("comp_id"), F.col("comp_id").alias("to"))
+        now = settled(now.join(merged, "comp_id", "left").select("vid", F.coalesce("to", "comp_id").alias("comp_id"), "alive"))
+        out.append(now.where(F.col("alive") > level).select("vid", "comp_id"))
+    return out[::-1]
+
+
 def _label_blocks(table: pa.Table) -> pa.Table:
     a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
     low, high = np.minimum(a, b), np.maximum(a, b)

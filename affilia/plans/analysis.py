@@ -7,16 +7,20 @@ sweep run as single jobs instead of a loop over budgets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import betweenness_norm, percent
+from ..functions.columns import betweenness_norm, course_vid, percent, student_vid
 from ..operators import connectivity as C
 from ..operators import contraction, graph, lengths, paths, removal
 from ..operators.components import ensure_checkpoint_dir
 
 SPAN = 1 << 44
 STRATEGIES = {"prefix": removal.prefix_removed, "skip_fit": removal.skip_fit_removed}
+#: Those by which a larger budget removes all that a smaller one does.
+NESTED = frozenset({"prefix"})
 
 
 def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students: DataFrame, counted_courses: DataFrame, grad: DataFrame) -> DataFrame:
@@ -44,6 +48,15 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     return students.union(courses)
 
 
+def _nested_labels(pairs: DataFrame, removed: DataFrame, order: list[int]) -> DataFrame:
+    """vid, comp_id of all thresholds' graphs; order: the thresholds by budget, each removes what those before it remove."""
+    gone = removed.groupBy("crsid").agg(F.count("*").alias("gone"))
+    alive = pairs.join(gone, "crsid", "left").select("stid", "crsid", (F.lit(len(order)) - F.coalesce("gone", F.lit(0))).cast("long").alias("alive"))
+    edges = alive.select(student_vid(F.col("stid")).alias("a"), course_vid(F.col("crsid")).alias("b"), "alive")
+    shifted = lambda df, t: df.select(*[(F.lit(2 * t * SPAN) + F.col(c)).alias(c) for c in ("vid", "comp_id")])
+    return reduce(DataFrame.union, [shifted(df, t) for t, df in zip(order, C.nested_components(edges, len(order)))])
+
+
 def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betweenness: bool = True, strategy: str = "prefix", n_courses: int | None = None) -> DataFrame:
     """One report row per budget: threshold_id, removed_cost, n_vertices, included(_pct), max_cc(_pct), max_bcc(_pct), max_bc.
 
@@ -58,14 +71,18 @@ def sweep(enrol: DataFrame, budgets: DataFrame, n_total: int | None = None, betw
     budgets = budgets.checkpoint()
     removed = STRATEGIES[strategy](courses, budgets).select("threshold_id", "crsid").join(courses.select("crsid", "cost"), "crsid").checkpoint()
     pairs = graph.memberships(enrol)
-    thresholds = [F.lit(r["threshold_id"]) for r in budgets.select("threshold_id").collect()]  # a constant relation
+    order = [r["threshold_id"] for r in sorted(budgets.collect(), key=lambda r: (r["max_cost"], r["threshold_id"]))]  # the caller's few budgets
+    thresholds = [F.lit(t) for t in order]
     live = pairs.withColumn("threshold_id", F.explode(F.array(*thresholds))).join(removed.select("threshold_id", "crsid"), ["threshold_id", "crsid"], "left_anti")
     shift = F.col("threshold_id") * F.lit(SPAN)
     live = live.select("threshold_id", (shift + F.col("stid")).alias("stid"), (shift + F.col("crsid")).alias("crsid")).checkpoint()
     of = lambda c: F.expr(f"cast({c} div {SPAN} as int)").alias("threshold_id")
     included = live.groupBy("threshold_id").agg(F.countDistinct("stid").alias("included"))
     edges = graph.vertex_edges(live)
-    labels = C.connected_components(edges).checkpoint()
+    if strategy in NESTED and live.count() > C.KERNEL_EDGES:
+        labels = _nested_labels(pairs, removed, order).checkpoint()
+    else:
+        labels = C.connected_components(edges).checkpoint()
     sizes = graph.component_sizes(labels).withColumn("threshold_id", F.expr(f"cast(comp_id div {2 * SPAN} as int)"))
     first = Window.partitionBy("threshold_id").orderBy(F.col("n_students").desc(), "comp_id")
     top = sizes.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("threshold_id", "comp_id", F.col("n_students").alias("max_cc")).checkpoint()

@@ -157,3 +157,22 @@ def test_beyond_the_broadcast_limit(spark, monkeypatch):
     close(far, near)
     row = analysis.sweep(roster(spark, [(1, 1, 1), (2, 1, 1), (3, 9, 1)]), budgets(spark, 0)).first()
     assert row.max_cc == 2 and abs(row.max_bc - 2 / 12) < 1e-8
+
+
+def test_nested_components(spark, monkeypatch):
+    """One forest for all budgets against a copy of the graph per budget, and the sweep by either."""
+    from affilia.operators import connectivity
+
+    rng = random.Random(12)
+    pairs = sorted({(rng.randint(1, 60), int(rng.paretovariate(0.9)) % 50 + 1) for _ in range(170)})
+    rows = roster(spark, [(s, c, 1) for s, c in pairs])
+    costs = budgets(spark, 0, 30, 31, 60, 90, 10**6)
+    plain = sorted(map(tuple, analysis.sweep(rows, costs, betweenness=False).collect()))
+    monkeypatch.setattr(connectivity, "KERNEL_EDGES", 0)
+    assert sorted(map(tuple, analysis.sweep(rows, costs, betweenness=False).collect())) == plain
+    assert len({r[5] for r in plain}) >= 4
+    lives = [(2 * s, 2 * c + 1, rng.randint(0, 4)) for s, c in pairs]
+    edges = spark.createDataFrame(lives, "a long, b long, alive long")
+    for level, labels in enumerate(connectivity.nested_components(edges, 4)):
+        want = connectivity.connected_components(edges.where(edges["alive"] > level), kernel_edges=10**6)
+        assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, want.collect()))
