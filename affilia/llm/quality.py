@@ -55,6 +55,23 @@ def indicators(texts):
         yield row, np.concatenate([used, np.array(more, used.dtype)]) if more else used
 
 
+class _Scaled:
+    """Rows of slots (uint16 bytes) as (slots, scaled indicators), made when they are asked for."""
+
+    def __init__(self, used: list[bytes], ratio: np.ndarray):
+        self.used, self.ratio = used, ratio
+
+    def __len__(self):
+        return len(self.used)
+
+    def __getitem__(self, k: int):
+        slots = np.frombuffer(self.used[k], np.uint16).astype(np.int64)
+        return np.append(slots, FEATURES), np.append(self.ratio[slots] / np.sqrt(max(1, len(slots))), 1.0)
+
+    def __iter__(self):
+        return (self[k] for k in range(len(self)))
+
+
 def dual_coordinate_descent(rows, labels, features: int, cost: float = COST, epochs: int = EPOCHS, seed: int = 1):
     """Weights of the L2-regularised squared-hinge model; rows: (slots, values), labels: +1 or -1."""
     w, alpha = np.zeros(features), np.zeros(len(rows))
@@ -121,30 +138,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     rows = cut(mapped(texts, _features(labelled), "doc_id long, used binary").join(known, "doc_id"))
 
     seen, total = np.zeros((2, FEATURES)), np.zeros(2)
-    for r in mapped(rows.select("quality", "used"), _class_counts, "quality int, slot int, n long").groupBy("quality", "slot").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        if r["slot"] < 0:
-            total[r["quality"]] = r["n"]
-        else:
-            seen[r["quality"], r["slot"]] = r["n"]
+    counts = mapped(rows.select("quality", "used"), _class_counts, "quality int, slot int, n long").groupBy("quality", "slot").agg(F.sum("n").alias("n")).toArrow()
+    label, slot, n = (counts.column(c).to_numpy() for c in ("quality", "slot", "n"))
+    seen[label[slot >= 0], slot[slot >= 0]], total[label[slot < 0]] = n[slot >= 0], n[slot < 0]
     if not total.all():
         return {"weights": np.zeros(FEATURES, np.float32), "bias": 0.0, "slope": 0.0, "offset": float(np.log((total[1] + 0.5) / (total[0] + 0.5)))}
     ratio = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
 
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("used").alias("used"))
-    sample = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["used"], r["quality"]))
-    y = np.array([r["quality"] for r in sample])
-    found = [np.frombuffer(r["used"], np.uint16).astype(np.int64) for r in sample]
+    sample = sample.select("used", "quality").toArrow()
+    sample = sorted(zip(sample.column("used").to_pylist(), sample.column("quality").to_pylist()))
+    y, found = np.array([label for _, label in sample]), [used for used, _ in sample]
     fitted = np.arange(len(y)) % 5 > 0
     if len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:
         fitted[:] = True
-    scaled = [(np.append(s, FEATURES), np.append(ratio[s] / np.sqrt(max(1, len(s))), 1.0)) for s, use in zip(found, fitted) if use]
+    scaled = _Scaled([used for used, use in zip(found, fitted) if use], ratio)
     w = dual_coordinate_descent(scaled, np.where(y[fitted] == 1, 1.0, -1.0), FEATURES + 1)
     mean = np.abs(w[:FEATURES]).mean()
     mixed = (1 - INTERPOLATION) * mean + INTERPOLATION * w[:FEATURES]
     model = {"weights": (mixed * ratio).astype(np.float32), "bias": float(w[FEATURES])}
     rest = fitted if fitted.all() else ~fitted
-    slope, offset = _platt(np.array([_margin(s, model) for s, use in zip(found, rest) if use]), y[rest])
+    slope, offset = _platt(np.array([_margin(np.frombuffer(s, np.uint16), model) for s, use in zip(found, rest) if use]), y[rest])
     del sample, found, scaled
     trim()
     return model | {"slope": slope, "offset": offset}
