@@ -168,7 +168,7 @@ def test_nested_components(spark, monkeypatch):
     rows = roster(spark, [(s, c, 1) for s, c in pairs])
     costs = budgets(spark, 0, 30, 31, 60, 90, 10**6)
     plain = sorted(map(tuple, analysis.sweep(rows, costs, betweenness=False).collect()))
-    monkeypatch.setattr(connectivity, "KERNEL_EDGES", 0)
+    monkeypatch.setattr(analysis, "NESTED_EDGES", 0)
     assert sorted(map(tuple, analysis.sweep(rows, costs, betweenness=False).collect())) == plain
     assert len({r[5] for r in plain}) >= 4
     lives = [(2 * s, 2 * c + 1, rng.randint(0, 4)) for s, c in pairs]
