@@ -16,7 +16,7 @@ ENROL = "stid long, crsid long, major int, grad boolean, hours long"
 
 def tokens(lines: DataFrame) -> DataFrame:
     """lines: value. Adds t, the line's tokens; empty lines go."""
-    return lines.select("value", F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t")).where(F.size("t") > 0)
+    return lines.withColumn("t", F.filter(F.split("value", r"\s+"), lambda x: x != "")).where(F.size("t") > 0)
 
 
 def _number(k: int):
@@ -24,9 +24,10 @@ def _number(k: int):
 
 
 def _records(rows: DataFrame, size: int, valid, major, grad, hours) -> DataFrame:
-    """The columns of a roster, and ``error``: the line where it isn't a valid record."""
+    """The columns of a roster, ``row_id`` where rows have it, and ``error``: the line where it isn't a valid record."""
     good = (F.size("t") == size) & (_number(0) >= 1) & (_number(1) >= 1) & valid
     return rows.select(
+        *[c for c in rows.columns if c == "row_id"],
         _number(0).alias("stid"),
         _number(1).alias("crsid"),
         major.cast("int").alias("major"),
@@ -77,14 +78,27 @@ def layout(lines: list[str]):
     raise ValueError(f"unknown roster format: {lines[0].strip() if lines else ''!r}")
 
 
-def read_roster(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """value, row_id: lines and their order, by file, place of the split in it and place in the split.
+
+    A split is read from its start on, so the order is that of the files,
+    however they are split.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("row_id"))
+
+
+def read_roster(spark: SparkSession, path: str, errors: str = "raise", ordered: bool = False) -> DataFrame:
     """A roster file of any layout.
 
+    ordered: with ``row_id``, the rows' order in the files, by which the last
+    row of a student or course gives its attributes.
+
     errors: "raise" refuses a file with lines that are no valid record, "keep"
     returns them (column ``error``), "drop" leaves them out. A later line that
     equals a line of the head counts as head.
     """
-    text = spark.read.text(path)
+    text = lines_in_order(spark, path) if ordered else spark.read.text(path)
     parser, head = layout([r["value"] for r in text.where("trim(value) <> ''").limit(3).collect()])
     rows = parser(text, head)
     if errors == "keep":

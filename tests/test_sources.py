@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from affilia.functions.columns import report_line
 from affilia.sources import readers
@@ -54,3 +55,29 @@ def test_random_roster(spark):
 def test_report_line():
     row = {"removed_cost": 0, "included": 3, "max_cc": 3, "max_bcc": 2, "max_bc": 7 / 12}
     assert report_line(row, 3) == "     0 100.0% 100.0%  66.7% 0.58333"
+
+
+def test_last_row_wins_in_any_number_of_splits(spark, tmp_path):
+    """Attributes come from the last row of the files, whether they are read in one split or fifty."""
+    import random
+
+    from affilia.operators import graph
+
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 40), rng.randint(1, 30), rng.randint(1, 6), rng.randint(0, 1), rng.randint(1, 9)) for _ in range(3000)]
+    lines = ["WC", "40 30", *(" ".join(map(str, r)) for r in rows)]
+    (tmp_path / "roster.txt").write_text("\n".join(lines) + "\n")
+    majors, hours = {r[0]: (r[2], bool(r[3])) for r in rows}, {r[1]: r[4] for r in rows}
+    size = (tmp_path / "roster.txt").stat().st_size
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for splits in (1, 50):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // splits + 1))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            enrol = readers.read_roster(spark, str(tmp_path / "roster.txt"), ordered=True)
+            assert enrol.select(F.spark_partition_id()).distinct().count() >= min(splits, 20)
+            assert {r["stid"]: (r["major"], r["grad"]) for r in graph.student_attributes(enrol).collect()} == majors
+            assert {r["crsid"]: r["hours"] for r in graph.course_attributes(enrol).collect()} == hours
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
