@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import course_vid, student_vid, vid_is_student
 
+#: Students in a block of a course's co-enrolment: a pair of blocks is up to 16 million student pairs.
+BLOCK_STUDENTS = 4096
+
 
 def memberships(enrol: DataFrame) -> DataFrame:
     """Distinct (stid, crsid): the topology."""
@@ -74,10 +77,19 @@ def masked_degrees(vertices: DataFrame, edges: DataFrame, live: DataFrame) -> Da
     return vertices.select("vid").join(counts, "vid", "left").select("vid", F.coalesce("d", F.lit(0)).alias("degree"))
 
 
-def co_enrolment(pairs: DataFrame) -> DataFrame:
-    """Student pairs and how many courses they share; the course is the join key."""
-    one, two = pairs.select("crsid", F.col("stid").alias("st1")), pairs.select("crsid", F.col("stid").alias("st2"))
-    return one.join(two, "crsid").where("st1 < st2").groupBy("st1", "st2").agg(F.count("*").alias("n_shared"))
+def co_enrolment(pairs: DataFrame, block: int = BLOCK_STUDENTS) -> DataFrame:
+    """Student pairs and how many courses they share.
+
+    A course's students are dealt into blocks of about ``block``, and each pair
+    of its blocks is a join key, so no key meets the square of a large course;
+    what a task counts is summed before it is shuffled. A course of one block
+    is one key and its rows stay single.
+    """
+    blocks = pairs.groupBy("crsid").agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
+    dealt = pairs.join(blocks, "crsid").select("crsid", "stid", F.pmod(F.xxhash64("stid"), "n").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    one = dealt.select("crsid", F.col("own").alias("i"), F.col("other").alias("j"), F.col("stid").alias("st1"))
+    two = dealt.select("crsid", F.col("other").alias("i"), F.col("own").alias("j"), F.col("stid").alias("st2"))
+    return one.join(two, ["crsid", "i", "j"]).where("st1 < st2").groupBy("st1", "st2").agg(F.count("*").alias("n_shared"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

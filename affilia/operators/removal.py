@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import settled
 from .ordered import ranked, running_total
 
-ORDER = ("degree", "crsid")
+#: Courses in a range of the skip-fit rule, about: a few MB in the task that folds one.
+RANGE_COURSES = 1 << 18
 
 
 def _by_size():
@@ -52,30 +57,55 @@ def removal_summary(removed: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(sums, "threshold_id", "left").select("threshold_id", "max_cost", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("c", F.lit(0)).alias("removed_cost"))
 
 
-def skip_fit_removed(courses: DataFrame, budgets: DataFrame) -> DataFrame:
+def _folded(table: pa.Table) -> pa.Table:
+    """The courses of one range that fit a budget one after the other, of which ``left`` is left before the first."""
+    table = table.sort_by([("degree", "descending"), ("crsid", "ascending")])
+    left, taken = table.column("left")[0].as_py() if table.num_rows else 0, []
+    for k, cost in enumerate(table.column("cost").to_pylist()):
+        if cost <= left:
+            left -= cost
+            taken.append(k)
+    return table.select(["threshold_id", "crsid", "cost"]).take(pa.array(taken, pa.int64()))
+
+
+def skip_fit_removed(courses: DataFrame, budgets: DataFrame, range_courses: int = RANGE_COURSES) -> DataFrame:
     """threshold_id, crsid: like ``prefix_removed``, but a course that doesn't fit is skipped.
 
-    The choice depends on all choices before, so it is a fold. It runs over
-    the sorted courses as a stream, one row at a time per budget, in one task
-    whose memory holds the budgets' totals only.
+    The choice depends on all choices before, but seldom on single courses: the
+    courses are cut into ranges of bounded size, and a budget passes over a
+    range that fits as a whole, or whose cheapest course doesn't fit, by the
+    range's total and minimum (all that the driver sees, a row per range). Only
+    the ranges in between are folded course by course, for all budgets in one
+    job. A course without a cost counts as free; a budget of null removes nothing.
     """
-    import pyarrow as pa
-
-    limits = {r["threshold_id"]: r["max_cost"] for r in budgets.collect()}
-
-    def fold(batches):
-        spent = dict.fromkeys(limits, 0)
-        for batch in batches:
-            taken = []
-            for crsid, cost in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t, limit in limits.items():
-                    if spent[t] + cost <= limit:
-                        spent[t] += cost
-                        taken.append((t, crsid))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in taken], pa.int32()), pa.array([x[1] for x in taken], pa.int64())], ["threshold_id", "crsid"])
-
-    ordered = courses.select("crsid", "cost", "degree").repartition(1).sortWithinPartitions(*_by_size())
-    return ordered.mapInArrow(fold, "threshold_id int, crsid long")
+    spark = courses.sparkSession
+    rows = settled(courses.select("crsid", F.coalesce("cost", F.lit(0)).cast("long").alias("cost"), "degree"))
+    width = max(1, -(-rows.count() // range_courses))
+    ranged = settled(rows.repartitionByRange(width, *_by_size()).withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy("range").agg(F.min("cost").alias("least"), F.sum("cost").alias("total")).orderBy("range").collect()
+    left = {r["threshold_id"]: r["max_cost"] for r in budgets.where("max_cost is not null").collect()}
+    at, whole, folded = dict.fromkeys(left, 0), [], []
+    while True:
+        opened = []
+        for t in left:
+            while at[t] < len(ranges):
+                r = ranges[at[t]]
+                at[t] += 1
+                if r["least"] >= 0 and r["total"] <= left[t]:
+                    left[t] -= r["total"]
+                    whole.append((t, r["range"]))
+                elif r["least"] <= left[t]:
+                    opened.append((t, r["range"], left[t]))
+                    break
+        if not opened:
+            break
+        starts = F.broadcast(spark.createDataFrame(opened, "threshold_id int, range int, left long"))  # a row per budget at most
+        some = ranged.where(F.col("range").isin([r for _, r, _ in opened])).join(starts, "range")
+        folded.append(settled(some.groupBy("threshold_id", "range").applyInArrow(_folded, "threshold_id int, crsid long, cost long")))
+        for r in folded[-1].groupBy("threshold_id").agg(F.sum("cost").alias("spent")).collect():
+            left[r["threshold_id"]] -= r["spent"]
+    passed = spark.createDataFrame(whole, "threshold_id int, range int")
+    return reduce(DataFrame.union, [df.select("threshold_id", "crsid") for df in (ranged.join(passed, "range"), *folded)])
 
 
 def course_ranks(courses: DataFrame) -> DataFrame:

@@ -33,10 +33,9 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     marked = grad.join(counted_students.select("stid", F.lit(True).alias("in_src")), "stid", "left").select("stid", F.struct("grad", F.coalesce("in_src", F.lit(False)).alias("in_src")).alias("grad"))
-    table = contraction.merged(pairs, marked).checkpoint()
-    classes = table.select("cid", "mult", F.col("grad.in_src").alias("counted"))
-    edges = table.select("cid", F.explode("nbr").alias("crsid"))
-    member = table.select("cid", F.explode("members").alias("stid"))
+    member = contraction.student_classes(pairs, marked)
+    classes = contraction.class_table(member).select("cid", "mult", F.col("grad.in_src").alias("counted")).checkpoint()
+    edges = contraction.class_edges(pairs, member).checkpoint()
     by_course = lengths.with_length(hours.select("crsid", "hours")).select("crsid", "length")
     vertex_edges = edges.join(by_course, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
     course_rows = pairs.select("crsid").distinct().join(counted_courses.select("crsid", F.lit(True).alias("counted")), "crsid", "left")

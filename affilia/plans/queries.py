@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import connectivity, contraction, graph, lengths, ordered, paths, removal
-from ..operators.components import ensure_checkpoint_dir
+from ..operators.components import ensure_checkpoint_dir, settled
 from ..sources import readers
 from ..sources import views
 from ..sources.views import islands, roster
@@ -168,14 +168,20 @@ def budget_greedy_removed(spark, sf_dir):
     return removal.skip_fit_removed(courses, removal.budgets_of(courses, views.SIZES, less=1))
 
 
+def _classes(spark, sf_dir, rows=roster):
+    """The pairs, and the classes of their students."""
+    pairs = settled(_pairs(spark, sf_dir, rows))
+    return pairs, contraction.student_classes(pairs, _students(spark, sf_dir, rows))
+
+
 @query
 def contract_students(spark, sf_dir):
-    return contraction.class_table(_pairs(spark, sf_dir), _students(spark, sf_dir))
+    return contraction.class_table(_classes(spark, sf_dir)[1])
 
 
 @query
 def contracted_edges(spark, sf_dir):
-    return contraction.class_edges(_pairs(spark, sf_dir), _students(spark, sf_dir))
+    return contraction.class_edges(*_classes(spark, sf_dir))
 
 
 @query
@@ -193,19 +199,17 @@ def compress_graph(spark, sf_dir):
 
 @query
 def min_weight_neighbors(spark, sf_dir):
-    pairs, students = _pairs(spark, sf_dir), _students(spark, sf_dir)
-    classes = contraction.class_table(pairs, students)
+    pairs, members = _classes(spark, sf_dir)
     courses = _courses(spark, sf_dir)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses)
+    nearest = contraction.shortest_neighbors(contraction.class_table(members), contraction.class_edges(pairs, members), courses)
     return lengths.with_length(nearest, courses).groupBy("cid", "mult", "length").agg(F.count("*").alias("n_nearest"))
 
 
 @query
 def internal_pair_bc(spark, sf_dir):
-    pairs, students = _pairs(spark, sf_dir, islands), _students(spark, sf_dir, islands)
-    classes = contraction.class_table(pairs, students)
+    pairs, members = _classes(spark, sf_dir, islands)
     courses = _courses(spark, sf_dir, islands)
-    nearest = contraction.shortest_neighbors(classes, contraction.class_edges(pairs, students), courses)
+    nearest = contraction.shortest_neighbors(contraction.class_table(members), contraction.class_edges(pairs, members), courses)
     return contraction.internal_pairs(nearest).select("crsid", F.round("score", 9).alias("score"))
 
 

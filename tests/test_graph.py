@@ -156,6 +156,8 @@ def test_removal_rules(spark):
     assert prefix == {(1, 1)} | {(2, k) for k in range(1, 5)}
     skip = {(r.threshold_id, r.crsid) for r in removal.skip_fit_removed(courses, budgets).collect()}
     assert skip == {(1, 1), (1, 3)} | {(2, k) for k in range(1, 5)}
+    for size in (1, 2):
+        assert {(r.threshold_id, r.crsid) for r in removal.skip_fit_removed(courses, budgets, range_courses=size).collect()} == skip
     assert {tuple(r) for r in removal.removal_summary(removal.prefix_removed(courses, budgets), budgets).collect()} == {(0, 0, 0, 0), (1, 60, 1, 50), (2, 200, 4, 102)}
 
 
@@ -171,3 +173,52 @@ def test_structural_classes(spark):
     classes = contraction.compressed(e, vertices).collect()
     assert len(classes) == 16 and [(r.cid, r.mult) for r in classes if r.mult > 1] == [(12, 3)]
     assert {r.cid for r in contraction.compression_map(e, vertices).where("vid in (12, 14, 15)").collect()} == {12}
+
+
+def test_skip_fit_by_ranges(spark):
+    """Ranges of any size, ties, courses without a cost, budgets of nothing, null and everything, no courses."""
+    rng = random.Random(8)
+    rows = [(k, rng.randint(1, 30), rng.choice([None, 0, *range(1, 90)])) for k in range(400)]
+    limits = {0: 0, 1: 50, 2: 1000, 3: 9000, 4: 10**9, 5: None}
+    want = set()
+    for t, limit in limits.items():
+        for crsid, _, cost in sorted(rows, key=lambda r: (-r[1], r[0])):
+            if limit is not None and (cost or 0) <= limit:
+                limit -= cost or 0
+                want.add((t, crsid))
+    courses = spark.createDataFrame(rows, "crsid long, degree long, cost long")
+    budgets = spark.createDataFrame(list(limits.items()), "threshold_id int, max_cost long")
+    for size in (30, 1000):
+        got = [tuple(r) for r in removal.skip_fit_removed(courses, budgets, range_courses=size).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert removal.skip_fit_removed(courses.limit(0), budgets).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_co_enrolment_in_blocks(spark, block):
+    rng = random.Random(9)
+    rows = {(s, 1) for s in range(40)} | {(rng.randint(0, 60), rng.randint(2, 9)) for _ in range(120)}
+    by_course = {c: [s for s, x in rows if x == c] for c in range(1, 10)}
+    want = {}
+    for students in by_course.values():
+        for one in students:
+            for two in students:
+                if one < two:
+                    want[one, two] = want.get((one, two), 0) + 1
+    got = graph.co_enrolment(spark.createDataFrame(sorted(rows), "stid long, crsid long"), block=block).collect()
+    assert {(r.st1, r.st2): r.n_shared for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("bits", [1, 64])
+def test_equal_sets(spark, bits):
+    """With hashes of one bit most classes start as collisions; nulls are alike, and so are vertices without items."""
+    rng = random.Random(10)
+    sets = {v: frozenset(rng.sample(range(4), rng.randint(0, 3))) for v in range(60)}
+    key = {v: rng.choice([None, True, False]) for v in sets}
+    least = {}
+    for v in sorted(sets):
+        least.setdefault((key[v], sets[v]), v)
+    items = spark.createDataFrame([(v, x) for v in sets for x in sets[v]], "vid long, item long")
+    got = contraction.equal_sets(items, spark.createDataFrame(list(key.items()), "vid long, grad boolean"), bits).collect()
+    assert {(r.vid, r.grad, r.size, r.cid) for r in got} == {(v, key[v], len(sets[v]), least[key[v], sets[v]]) for v in sets} and len(got) == 60
+    assert contraction.equal_sets(items.limit(0), spark.createDataFrame([], "vid long, grad boolean")).count() == 0
