@@ -105,15 +105,15 @@ MOST_LEVELS = 64
 class PathGraph:
     """Arrays that shortest-path kernels share; lengths are whole numbers."""
 
-    def __init__(self, n, x, y, length, mult=None, counted=None):
+    def __init__(self, n, x, y, length, mult=None, weight=None):
         self.n = n
         self.first, self.heads, edge = adjacency(n, x, y)
         # lengths beyond 64 bits are Python's numbers
         self.length = np.asarray(length, object if np.asarray(length).dtype == object else np.int64)[edge] if len(x) else np.zeros(0, np.int64)
         self.uniform = len(x) == 0 or bool((self.length == self.length[0]).all())
         self.mult = np.ones(n) if mult is None else np.asarray(mult, float)
-        self.counted = np.ones(n, bool) if counted is None else np.asarray(counted, bool)
-        self.weight = np.where(self.counted, self.mult, 0.0)
+        self.weight = self.mult.copy() if weight is None else np.asarray(weight, float)
+        self.parts = np.zeros(1, np.int64)
 
     def _out(self, nodes):
         sizes = self.first[nodes + 1] - self.first[nodes]
@@ -190,7 +190,7 @@ class PathGraph:
         searched. tree: the gain of every class from such pairs.
         """
         n, owner = self.n, np.repeat(np.arange(self.n), np.diff(self.first))
-        own = np.where(self.counted, self.mult, 0.0)
+        own = self.weight
         weight, squares, degree, alive = own.copy(), np.zeros(n), np.diff(self.first), np.ones(n, bool)
         while True:
             leaves = np.flatnonzero(alive & (degree == 1))
@@ -221,8 +221,8 @@ class PathGraph:
         place = np.full(n, -1, np.int64)
         place[kept] = np.arange(len(kept))
         edge = np.flatnonzero(inside)
-        core = PathGraph(len(kept), place[owner[edge]], place[self.heads[edge]], self.length[edge], self.mult[kept])
-        core.weight, core.parts, core.kept = weight[kept], np.flatnonzero(np.diff(label[kept], prepend=-1)), kept
+        core = PathGraph(len(kept), place[owner[edge]], place[self.heads[edge]], self.length[edge], self.mult[kept], weight[kept])
+        core.parts, core.kept = np.flatnonzero(np.diff(label[kept], prepend=-1)), kept
         return core, np.where(tree > 0, tree, 0.0)
 
     def batches(self, cells: int = 1 << 21, most: int = 64):

@@ -27,8 +27,14 @@ BROADCAST_EDGES = 2_000_000
 BATCH_ROWS = 1 << 28
 
 
+def weighed(classes: DataFrame) -> DataFrame:
+    """vid, mult, weight: what a class counts for as a source and target, its members if it is counted."""
+    weight = F.col("weight") if "weight" in classes.columns else F.when(F.col("counted"), F.col("mult")).otherwise(0)
+    return classes.select("vid", "mult", weight.cast("long").alias("weight"))
+
+
 def _arrays(edges: DataFrame, classes: DataFrame | None = None):
-    """(vids, x, y, length, mult, counted) of a graph small enough to broadcast."""
+    """(vids, x, y, length, mult, weight) of a graph small enough to broadcast."""
     e = edges.select("a", "b", "length").toArrow()
     a, b = (e.column(c).to_numpy() for c in ("a", "b"))
     if lengths.width(edges):
@@ -37,17 +43,17 @@ def _arrays(edges: DataFrame, classes: DataFrame | None = None):
         length = e.column("length").to_numpy()
     if classes is None:
         vids = np.unique(np.concatenate([a, b]))
-        mult, counted = np.ones(len(vids)), np.ones(len(vids), bool)
+        mult, weight = np.ones(len(vids)), np.ones(len(vids))
     else:
-        c = classes.select("vid", "mult", "counted").toArrow()
+        c = weighed(classes).toArrow()
         vids = c.column("vid").to_numpy()
         order = np.argsort(vids)
-        vids, mult, counted = vids[order], c.column("mult").to_numpy()[order], c.column("counted").to_numpy(zero_copy_only=False)[order]
-    return vids, np.searchsorted(vids, a), np.searchsorted(vids, b), length, mult, counted
+        vids, mult, weight = vids[order], c.column("mult").to_numpy()[order], c.column("weight").to_numpy()[order]
+    return vids, np.searchsorted(vids, a), np.searchsorted(vids, b), length, mult, weight
 
 
-def _sources(spark, vids, counted):
-    at = np.flatnonzero(counted)
+def _sources(spark, vids):
+    at = np.arange(len(vids))
     frame = spark.createDataFrame(pa.table({"i": at, "vid": vids[at]})) if len(at) else spark.createDataFrame([], "i long, vid long")
     return frame.repartition(max(1, min(len(at) // 16 + 1, 4 * spark.sparkContext.defaultParallelism)), "i")
 
@@ -57,7 +63,7 @@ def shortest_paths(edges: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
     if edges.count() > limit:
         return frontier_paths(edges)
     spark = edges.sparkSession
-    vids, x, y, length, mult, counted = _arrays(edges)
+    vids, x, y, length, *_ = _arrays(edges)
     held = spark.sparkContext.broadcast((vids, PathGraph(len(vids), x, y, length)))
 
     def run(batches):
@@ -67,7 +73,7 @@ def shortest_paths(edges: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
                 at, distance, paths = graph.search(i)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), vids[i])), pa.array(vids[at]), pa.array(distance), pa.array(paths)], ["s", "v", "distance", "n_paths"])
 
-    return _sources(spark, vids, counted).mapInArrow(run, "s long, v long, distance long, n_paths double")
+    return _sources(spark, vids).mapInArrow(run, "s long, v long, distance long, n_paths double")
 
 
 def _adjacency(edges: DataFrame) -> DataFrame:
@@ -146,11 +152,11 @@ def frontier_betweenness(edges: DataFrame, classes: DataFrame, batch_rows: int |
     Sources go in batches whose states have a bounded number of rows, sources
     times vertices; a batch ends as one row per vertex in the shared folder.
     """
-    near, classes = settled(_adjacency(edges)), settled(classes.select("vid", "mult", "counted"))
+    near, classes = settled(_adjacency(edges)), settled(weighed(classes))
     mult = classes.where("mult <> 1").select(F.col("vid").alias("v"), "mult")
-    known = classes.select(F.col("vid").alias("v"), F.col("mult").cast("double").alias("mult"), F.when(F.col("counted"), F.col("mult")).otherwise(0).cast("double").alias("hit"))
+    known = classes.select(F.col("vid").alias("v"), F.col("mult").cast("double").alias("mult"), F.col("weight").cast("double").alias("hit"))
     total = None
-    for batch in _batches(classes.where("counted").select(F.col("vid").alias("s")), classes.count(), batch_rows or BATCH_ROWS):
+    for batch in _batches(classes.where("weight > 0").select(F.col("vid").alias("s")), classes.count(), batch_rows or BATCH_ROWS):
         _, steps, rounds = _counted_rounds(near, settled(batch), mult)
         gains, waiting = [], None
         for now in reversed(rounds):
@@ -162,7 +168,7 @@ def frontier_betweenness(edges: DataFrame, classes: DataFrame, batch_rows: int |
             sent = here.select("s", F.col("v").alias("b"), share).join(steps, ["s", "b"]).select("s", F.col("a").alias("v"), "share")
             waiting = settled((sent if waiting is None else sent.union(waiting)).groupBy("s", "v").agg(F.sum("share").alias("share")))
         if gains:
-            times = known.select(F.col("v").alias("s"), F.col("mult").alias("times"))
+            times = known.select(F.col("v").alias("s"), F.col("hit").alias("times"))
             part = settled(reduce(DataFrame.union, gains).join(times, "s").groupBy(F.col("v").alias("vid")).agg(F.sum(F.col("gain") * F.col("times")).alias("sum")))
             total = part if total is None else total.union(part)
     if total is None:
@@ -176,13 +182,14 @@ def betweenness(edges: DataFrame, classes: DataFrame, limit: int | None = None)
 
     edges: a, b, length (whole numbers). classes: vid, mult, counted; counted
     classes are the sources and targets. Pairs inside a class aren't included.
+    A column weight in place of counted says how much each class counts.
     """
     edges = edges.select("a", "b", "length")
     if edges.count() > (BROADCAST_EDGES if limit is None else limit):
         return frontier_betweenness(edges, classes)
     spark = edges.sparkSession
-    vids, x, y, length, mult, counted = _arrays(edges, classes)
-    core, tree = PathGraph(len(vids), x, y, length, mult, counted).folded()
+    vids, x, y, length, mult, weight = _arrays(edges, classes)
+    core, tree = PathGraph(len(vids), x, y, length, mult, weight).folded()
     runs = core.batches()
     held = spark.sparkContext.broadcast((vids[core.kept], core, runs))
 

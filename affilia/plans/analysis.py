@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import betweenness_norm, course_vid, percent, student_vid
 from ..operators import connectivity as C
-from ..operators import contraction, graph, lengths, paths, removal
+from ..operators import blockcut, contraction, graph, lengths, removal
 from ..operators.components import ensure_checkpoint_dir
 
 SPAN = 1 << 44
@@ -40,7 +40,7 @@ def contracted_betweenness(pairs: DataFrame, hours: DataFrame, counted_students:
     vertex_edges = edges.join(by_course, "crsid").select((F.col("cid") * 2).alias("a"), (F.col("crsid") * 2 + 1).alias("b"), "length").checkpoint()
     course_rows = pairs.select("crsid").distinct().join(counted_courses.select("crsid", F.lit(True).alias("counted")), "crsid", "left")
     vertices = classes.select((F.col("cid") * 2).alias("vid"), "mult", "counted").union(course_rows.select((F.col("crsid") * 2 + 1).alias("vid"), F.lit(1).cast("long"), F.coalesce("counted", F.lit(False)))).checkpoint()
-    external = paths.betweenness(vertex_edges, vertices)
+    external = blockcut.betweenness(vertex_edges, vertices)
     nearest = contraction.shortest_neighbors(classes.where("counted"), edges, hours)
     internal = contraction.internal_pairs(nearest).select((F.col("crsid") * 2 + 1).alias("vid"), "score")
     scores = external.unionByName(internal).groupBy("vid").agg(F.sum("score").alias("score")).checkpoint()  # students and courses both read it

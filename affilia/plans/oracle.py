@@ -180,6 +180,12 @@ def _sql(full: str, live: str) -> dict[str, str]:
         "betweenness_norms": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
         "max_betweenness": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
         "weighted_betweenness": with_(parts, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "block_cut_betweenness": with_(
+            parts, G0, UNIT_PATHS,
+            """pb as (select x.v, sum(x.n * y.n / z.n) as raw from p x join p y on y.s = x.v join p z on z.s = x.s and z.v = y.v and z.d = x.d + y.d
+      where x.s <> x.v and y.v <> x.v and x.s <> y.v group by x.v)""",
+            then="select sv.v as vid, round(coalesce(raw, 0), 9)::double as score from sv left join pb on pb.v = sv.v",
+        ),
         "report_row": _report("bu.threshold_id = 2"),
         "threshold_report": _report(),
     }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import connectivity, contraction, graph, lengths, ordered, paths, removal
+from ..operators import blockcut, connectivity, contraction, graph, lengths, ordered, paths, removal
 from ..operators.components import ensure_checkpoint_dir, settled
 from ..sources import readers
 from ..sources import views
@@ -329,6 +329,15 @@ def weighted_betweenness(spark, sf_dir):
     return scores.select("vid", F.round(F.col("raw") * fn.betweenness_norm(1, n), 9).alias("score"))
 
 
+@query
+def block_cut_betweenness(spark, sf_dir):
+    """vid, score: raw ordered-pair betweenness of all vertices in all components, block by block."""
+    ensure_checkpoint_dir(spark)
+    edges = _lengths(spark, sf_dir, False).checkpoint()
+    classes = _vertices(edges).select("vid", F.lit(1).cast("long").alias("mult"), F.lit(True).alias("counted"))
+    return blockcut.block_betweenness(edges, classes).select("vid", F.round("score", 9).alias("score"))
+
+
 def _plain(spark, sf_dir):
     """The roster with uniform hours, and its budgets."""
     rows = islands(spark, sf_dir, weighted=False)

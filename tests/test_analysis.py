@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affilia.operators import graph, lengths
+from affilia.operators import graph, lengths, paths
 from affilia.plans import analysis
 
 from .fixtures import MIXED, WC5, WC5_HOURS, parsed, roster
@@ -64,8 +64,8 @@ def test_hours_without_a_small_common_multiple(spark, monkeypatch, hours):
     want = brute(rows)
     close(scores(spark, roster(spark, rows)), want)
     if len(hours) < 10:
-        monkeypatch.setattr(analysis.paths, "BROADCAST_EDGES", 0)
-        monkeypatch.setattr(analysis.paths, "BATCH_ROWS", 60)
+        monkeypatch.setattr(paths, "BROADCAST_EDGES", 0)
+        monkeypatch.setattr(paths, "BATCH_ROWS", 60)
         close(scores(spark, roster(spark, rows)), want)
 
 
@@ -85,7 +85,7 @@ def test_very_unequal_lengths(spark):
     pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(60)})
     e = spark.createDataFrame([(a, b, rng.choice([1, 1, 10**9])) for a, b in pairs], "a long, b long, length long").coalesce(1)
     rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(analysis.paths.frontier_paths(e, batch_rows=200)) == rows(analysis.paths.shortest_paths(e))
+    assert rows(paths.frontier_paths(e, batch_rows=200)) == rows(paths.shortest_paths(e))
 
 
 def test_declared_courses_and_strategy(spark):
@@ -150,9 +150,9 @@ def test_beyond_the_broadcast_limit(spark, monkeypatch):
     """Merged students and vertices that no source reaches, by joins; the sweep with the limit lowered."""
     e = spark.createDataFrame([(0, 1, 1), (2, 1, 1), (2, 3, 1), (4, 3, 1), (6, 7, 1)], "a long, b long, length long").coalesce(1)
     classes = spark.createDataFrame([(0, 2, True), (1, 1, True), (2, 3, True), (3, 1, False), (4, 1, True), (6, 2, False), (7, 1, False)], "vid long, mult long, counted boolean").coalesce(1)
-    near = {r.vid: r.score for r in analysis.paths.betweenness(e, classes).collect()}
-    monkeypatch.setattr(analysis.paths, "BROADCAST_EDGES", 0)
-    far = {r.vid: r.score for r in analysis.paths.betweenness(e, classes).collect()}
+    near = {r.vid: r.score for r in paths.betweenness(e, classes).collect()}
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 0)
+    far = {r.vid: r.score for r in paths.betweenness(e, classes).collect()}
     assert near[2] > 0 and far[7] == 0
     close(far, near)
     row = analysis.sweep(roster(spark, [(1, 1, 1), (2, 1, 1), (3, 9, 1)]), budgets(spark, 0)).first()

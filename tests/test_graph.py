@@ -129,7 +129,7 @@ def test_folded_batches():
         x, y = map(np.array, zip(*edges))
         length = np.full(len(x), 3) if turn % 3 == 0 else rng.integers(1, 4, len(x)) if turn % 3 == 1 else rng.choice([1, 2, 90], len(x))
         mult, counted = rng.choice([1, 1, 2, 3], n), rng.random(n) < 0.8
-        core, got = kernels.PathGraph(n, x, y, length, mult, counted).folded()
+        core, got = kernels.PathGraph(n, x, y, length, mult, np.where(counted, mult, 0)).folded()
         total = np.zeros(core.n)
         for run in core.batches(cells=40):
             core.add_batch(*run, total)
