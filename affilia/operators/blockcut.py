@@ -66,12 +66,13 @@ def _search(wide: bool):
     return run
 
 
-def block_betweenness(edges: DataFrame, classes: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+def block_betweenness(edges: DataFrame, classes: DataFrame, block_edges: int | None = None) -> DataFrame:
     """vid, score as of ``paths.betweenness``; edges: a, b (not negative), length, each edge once.
 
     classes: vid, mult and counted or weight. Bridges need no search.
     """
     ensure_checkpoint_dir(edges.sparkSession)
+    block_edges = BLOCK_EDGES if block_edges is None else block_edges
     classes = settled(paths.weighed(classes))
     edges = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "length"))
     found = settled(connectivity.block_edges(edges).join(edges, ["a", "b"]))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affilia.operators import graph, lengths, paths
+from affilia.operators import blockcut, graph, lengths, paths
 from affilia.plans import analysis
 
 from .fixtures import MIXED, WC5, WC5_HOURS, parsed, roster
@@ -66,6 +66,7 @@ def test_hours_without_a_small_common_multiple(spark, monkeypatch, hours):
     if len(hours) < 10:
         monkeypatch.setattr(paths, "BROADCAST_EDGES", 0)
         monkeypatch.setattr(paths, "BATCH_ROWS", 60)
+        monkeypatch.setattr(blockcut, "BLOCK_EDGES", 0)
         close(scores(spark, roster(spark, rows)), want)
 
 
