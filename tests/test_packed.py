@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from affilia.functions import columns as fn
-from affilia.operators import components, connectivity, paths
+from affilia.operators import components, connectivity, graph, paths
 from affilia.operators.kernels import PathGraph, block_scores
 
 from .test_blockcut import _cacti
@@ -81,3 +81,10 @@ def test_components_are_never_split(spark, monkeypatch):
     rows = spark.range(0, 1000).select((F.col("id") % 7).alias("k"), "id")
     seen = components.by_component(rows, "k", lambda t: [pa.table({"k": t.column("k").unique(), "n": [t.column("k").to_pylist().count(x) for x in t.column("k").unique().to_pylist()]})], "k long, n long", pack_rows=10)
     assert sorted(r.k for r in seen.collect()) == list(range(7)) and {r.n for r in seen.collect()} <= {142, 143}
+
+
+def test_hours_of_tied_rows(spark):
+    """Of rows with equal row_ids the first in the file counts, however they are dealt."""
+    rows = [(8, k, 1, 1 + k % 4, (k, 0)) for k in range(200, 0, -1)] + [(9, 1, 2, 3, (5, 0)), (9, 2, 2, 4, (4, 0)), (8, 3, 2, 1, (1, 0))]
+    enrol = spark.createDataFrame(rows, "row_id long, stid long, crsid long, hours long, place struct<row_index: long, file: long>").repartition(16)
+    assert {r.crsid: r.hours for r in graph.course_attributes(enrol).collect()} == {1: 2, 2: 4}
