@@ -59,3 +59,13 @@ def test_generic_and_empty(spark):
     assert all(abs(got[v] - plain[v]) < 1e-9 for v in plain) and abs(got[7] - 132) < 1e-9
     none = blockcut.block_betweenness(edges(spark, []), classes).collect()
     assert len(none) == 18 and not any(r.score for r in none)
+
+
+@pytest.mark.parametrize("block_edges", [blockcut.BLOCK_EDGES, 6, 0])
+def test_without_classes(spark, block_edges):
+    """Every vertex counts once, without a table of vertices."""
+    classes = spark.createDataFrame([(v, 1, True) for v in range(1, 19)], "vid long, mult long, counted boolean")
+    want = {r.vid: r.score for r in paths.betweenness(edges(spark, GENERIC), classes).collect()}
+    got = {r.vid: r.score for r in blockcut.block_betweenness(edges(spark, GENERIC), block_edges=block_edges).collect()}
+    assert got.keys() == {v for p in GENERIC for v in p} and all(abs(got[v] - want[v]) < 1e-9 for v in got)
+    assert blockcut.block_betweenness(edges(spark, [])).count() == 0
