@@ -40,7 +40,7 @@ def test_block_rows(spark, graph, kernel_edges):
     assert connectivity.block_rows(graph.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["block_cut_forest", "largest_block"])
+@pytest.mark.parametrize("name", ["block_cut_forest", "largest_block", "block_cut_counts"])
 def test_no_member_is_shuffled_by_block(spark, name):
     plan = REGISTRY[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(block", plan)
