@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import settled
@@ -46,10 +46,23 @@ def prefix_removed(courses: DataFrame, budgets: DataFrame) -> DataFrame:
     """threshold_id, crsid, cost: courses by size as long as their total stays within the budget.
 
     The running total never falls, so stopping at the first course that
-    doesn't fit is the same as comparing it with the budget.
+    doesn't fit is the same as comparing it with the budget. Sizes are added up
+    first, a row each: most of them fit as a whole or not at all, and only the
+    courses of the size at which a budget ends are put in order.
     """
-    totals = running_total(courses.select("crsid", "degree", "cost"), _by_size(), F.col("cost"), "spent")
-    return totals.join(F.broadcast(budgets), F.col("spent") <= F.col("max_cost")).select("threshold_id", "crsid", "cost")
+    sizes = courses.groupBy("degree").agg(F.sum("cost").alias("total"), F.min("cost").alias("least"))
+    sizes = running_total(sizes, [F.col("degree").desc()], F.col("total"), "spent")
+    met = sizes.withColumn("before", F.col("spent") - F.col("total")).join(F.broadcast(budgets), F.col("before") + F.col("least") <= F.col("max_cost"))
+    met = settled(met.select("threshold_id", "max_cost", "degree", "total", "before", (F.col("spent") <= F.col("max_cost")).alias("fits")))
+    whole = courses.join(met.where("fits").select("threshold_id", "degree"), "degree").select("threshold_id", "crsid", "cost")
+    ends = met.where("not fits")  # a row per budget at most
+    if ends.isEmpty():
+        return whole
+    earlier = F.sum("total").over(Window.orderBy(F.col("degree").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    cut = ends.select("degree", "total", "before").distinct().select("degree", (F.col("before") - F.coalesce(earlier, F.lit(0))).alias("before"))
+    totals = running_total(courses.select("crsid", "degree", "cost").join(F.broadcast(cut), "degree"), _by_size(), F.col("cost"), "spent")
+    part = totals.join(F.broadcast(ends.select("threshold_id", "max_cost", "degree")), "degree").where(F.col("before") + F.col("spent") <= F.col("max_cost"))
+    return whole.union(part.select("threshold_id", "crsid", "cost"))
 
 
 def removal_summary(removed: DataFrame, budgets: DataFrame) -> DataFrame:
