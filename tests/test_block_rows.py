@@ -1,5 +1,6 @@
 """Contraction of components, and blocks that leave the task of their component as one row each."""
 
+import os
 import re
 
 import pytest
@@ -44,3 +45,16 @@ def test_block_rows(spark, graph, kernel_edges):
 def test_no_member_is_shuffled_by_block(spark, name):
     plan = REGISTRY[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(block", plan)
+
+
+def test_contraction_holds_no_table_it_does_not_read(spark, monkeypatch):
+    """Only the edges and the links are on disk when the contraction begins, compressed well."""
+    tables, seen, write, contract = [], [], connectivity.settled, connectivity._contracted
+    folder = lambda t: t.settled_at.removeprefix("file:")
+    there = lambda: [t for t in tables if os.path.exists(folder(t))]
+    monkeypatch.setattr(connectivity, "settled", lambda df: tables.append(write(df)) or tables[-1])
+    monkeypatch.setattr(connectivity, "_contracted", lambda links, limit: seen.append([t.columns for t in there()]) or contract(links, limit))
+    pairs = settled(spark.range(200).selectExpr("2 * id as a", "2 * (id div 3) + 1 as b"))
+    assert connectivity.grouped_edges(pairs, kernel_edges=0).select("comp").distinct().count() == 67
+    assert seen == [[["a", "b"]]]
+    assert all(".zstd." in f for t in there() for f in os.listdir(folder(t)) if f.endswith(".parquet"))
