@@ -75,12 +75,14 @@ WEIGHTED_PATHS = """sv as materialized (select distinct t, a as v from g),
     pc(t, s, v, n) as (select t, v, v, 1::double from sv
       union all (select pc.t, pc.s, dag.b, sum(pc.n) from pc join dag on dag.t = pc.t and dag.s = pc.s and dag.a = pc.v group by 1, 2, 3)),
     p as materialized (select t, s, v, any_value(d) as d, sum(n) as n from pc join dm using (t, s, v) group by t, s, v)"""
-SCORES = """bs as (select x.t, x.v, sum(x.n * y.n / z.n) as raw
+#: only sources of the largest component
+IN_LARGEST = "      join cc o on o.t = x.t and o.v = x.s join big on big.t = x.t and big.l = o.l\n"
+SCORES = f"""bs as (select x.t, x.v, sum(x.n * y.n / z.n) as raw
       from p x join p y on y.t = x.t and y.s = x.v join p z on z.t = x.t and z.s = x.s and z.v = y.v and z.d = x.d + y.d
-      join cc o on o.t = x.t and o.v = x.s join big on big.t = x.t and big.l = o.l
-      where x.s <> x.v and y.v <> x.v and x.s <> y.v group by x.t, x.v),
+{IN_LARGEST}      where x.s <> x.v and y.v <> x.v and x.s <> y.v group by x.t, x.v),
     sc as materialized (select cc.t, cc.v as vid, coalesce(raw, 0) as raw from cc left join bs on bs.t = cc.t and bs.v = cc.v),
     nn as (select t, count(*) as n from cc group by t)"""
+ALL_SCORES = SCORES.replace(IN_LARGEST, "")
 NORM1 = "case when n > 2 then 1.0 / ((n - 2) * (n - 1)) else 0 end"
 LIVE = """bigc as (select crsid * 2 + 1 as vid from cr where degree >= {masked}),
     vt as (select distinct a as vid from ee), lv as materialized (select vid from vt where vid not in (select vid from bigc)),
@@ -179,7 +181,7 @@ def _sql(full: str, live: str) -> dict[str, str]:
         "betweenness": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
         "betweenness_norms": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select vid, round(raw * 0.5, 9) as norm0, round(raw * {NORM1}, 9) as norm1, round(raw / (n * (n - 1)), 9) as norm2 from sc join nn using (t)"),
         "max_betweenness": with_(parts, G0, CC, UNIT_PATHS, SCORES, then=f"select max(round(raw * {NORM1}, 9)) as max_bc from sc join nn using (t)"),
-        "weighted_betweenness": with_(parts, tiny_weighted, CC, WEIGHTED_PATHS, SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
+        "weighted_betweenness": with_(parts, tiny_weighted, CC, WEIGHTED_PATHS, ALL_SCORES, then=f"select vid, round(raw * {NORM1}, 9) as score from sc join nn using (t)"),
         "block_cut_betweenness": with_(
             parts, G0, UNIT_PATHS,
             """pb as (select x.v, sum(x.n * y.n / z.n) as raw from p x join p y on y.s = x.v join p z on z.s = x.s and z.v = y.v and z.d = x.d + y.d
