@@ -88,3 +88,15 @@ def test_hours_of_tied_rows(spark):
     rows = [(8, k, 1, 1 + k % 4, (k, 0)) for k in range(200, 0, -1)] + [(9, 1, 2, 3, (5, 0)), (9, 2, 2, 4, (4, 0)), (8, 3, 2, 1, (1, 0))]
     enrol = spark.createDataFrame(rows, "row_id long, stid long, crsid long, hours long, place struct<row_index: long, file: long>").repartition(16)
     assert {r.crsid: r.hours for r in graph.course_attributes(enrol).collect()} == {1: 2, 2: 4}
+
+
+def test_parts_together_by_length():
+    """Small parts of different lengths go through one search, with the gains of searches one by one."""
+    x, y, length = np.array([0, 0, 1, 1, 4, 4, 5]), np.array([1, 2, 3, 2, 5, 6, 6]), np.array([3, 12, 4, 6, 3, 6, 3])
+    graph = PathGraph(7, x, y, length)
+    graph.parts, got, want = np.array([0, 4]), np.zeros(7), np.zeros(7)
+    assert not graph.uniform and len(graph._together(0, 2, graph.weight > 0)[0]) == 4**2 + 3**2
+    graph.add_all(got)
+    for s in range(7):
+        graph.add_dependencies(s, want)
+    assert np.allclose(got, want) and graph._together(0, 2, graph.weight > 0)[2].max() == 13
