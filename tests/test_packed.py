@@ -99,4 +99,4 @@ def test_parts_together_by_length():
     graph.add_all(got)
     for s in range(7):
         graph.add_dependencies(s, want)
-    assert np.allclose(got, want) and graph._together(0, 2, graph.weight > 0)[2].max() == 13
+    assert np.allclose(got, want) and graph._together(0, 2, graph.weight > 0)[2].max() == 10
